@@ -35,3 +35,28 @@ def filesystem(spark: SparkSession, path: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def commit_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Create the file path with content; False, and nothing changed, if it already exists."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, Path = filesystem(spark, path)
+    try:
+        out = fs.create(Path(path), False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in str(error.java_exception):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
+def committed(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and content of each committed file of a folder."""
+    fs, Path = filesystem(spark, folder)
+    if not fs.exists(Path(folder)):
+        return {}
+    names = sorted(f.getPath().getName() for f in fs.listStatus(Path(folder)))
+    return {n: spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(Path(f"{folder}/{n}")), "UTF-8") for n in names}

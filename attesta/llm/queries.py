@@ -6,14 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate
+from attesta.llm import decontaminate, fingerprints, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity, urls
 from attesta.llm._shared import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.corpus_rollup(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its class (the least doc_id of the class), links to other texts, whether it stays."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), target_bytes=8 << 20, arrival_ids=256, scope_arrivals=32)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.document_lengths(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_decontaminate": op9_decontaminate,
+    f.__name__: f
+    for f in (op1_quality, op2_fingerprints, op3_urls, op4_token_counts, op5_near_dedup, op6_suffix_dedup, op7_toxicity, op8_sharding, op9_decontaminate, op10_packing)
 }
