@@ -104,6 +104,7 @@ def fingerprint_report(documents: DataFrame, width: int = 1024) -> DataFrame:
     order = Window.partitionBy(F.lit(0)).orderBy("block")
     heads = docs.groupBy("block").agg(F.max("place").alias("place"))
     heads = heads.select("place", F.coalesce(F.lead("block").over(order), F.min("block").over(Window.partitionBy(F.lit(0)))).alias("block"))
+    heads = stage(heads, "heads")  # read back with its size, by which Spark broadcasts it or not
     extra = docs.drop("block").join(heads, "place").select("doc_id", "text", "place", "block", F.lit(True).alias("extra"))
     rows = docs.select("doc_id", "text", "place", "block", F.lit(False).alias("extra")).unionByName(extra).repartition("block")
     rows = rows.sortWithinPartitions("block", "extra", F.desc("place"), "text").select("doc_id", "text", "extra")
