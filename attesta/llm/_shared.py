@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,15 @@ def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete these paths, and let Spark drop the shuffle files of frames that are no longer used."""
+    for path in paths:
+        fs, Path = filesystem(spark, path)
+        fs.delete(Path(path), True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(spark: SparkSession, path: str):
     """(FileSystem, Path class) of Hadoop for this path."""
     jvm = spark.sparkContext._jvm

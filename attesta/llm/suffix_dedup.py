@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm._shared import filesystem, shared_dir, stage
+from attesta.llm._shared import release, shared_dir, stage
 from attesta.llm._text import INVERSE, U, Bytes, mix, powers, slices
 
 LENGTH, ANCHOR = 200, 64
@@ -156,8 +156,7 @@ class IndexFamily:
             self.levels.append((2 * size, merged))
             for name in (a, b):
                 self.spark.sql(f"DROP TABLE {name}")
-                fs, Path = filesystem(self.spark, self.folder)
-                fs.delete(Path(f"{self.folder}/{name}"), True)
+                release(self.spark, f"{self.folder}/{name}")
         rows = texts.mapInArrow(_emit(True, self.length), ENTRY).repartition(self.buckets, "anchor")
         self.levels.append((1, self._write(self._summed(rows))))
 
@@ -171,12 +170,13 @@ class IndexFamily:
     def partial(self) -> DataFrame:
         """One entry of each run whose anchor has several different runs."""
         rows = self._summed(self.union())
-        many = rows.groupBy("anchor").agg(F.count("*").alias("runs")).filter("runs > 1").select("anchor")
-        return rows.join(many, "anchor")
+        many = rows.groupBy("anchor").agg(F.count("*").alias("runs"), F.min("n").alias("least")).filter("runs > 1 and least = 1")
+        return rows.join(many.select("anchor", "runs"), "anchor")
 
     def drop(self) -> None:
         for _, name in self.levels:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            release(self.spark, f"{self.folder}/{name}")
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,24 +200,101 @@ def cut(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes
     return int((hi - lo).sum()), len(lo), b"".join(kept)
 
 
-def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each string of the partial entries: (anchor, string hash, doc, at, open)."""
+PART = "anchor long, runs long, open boolean, doc long, lo int, piece binary"
+#: Runs of an anchor that one task compares at once; more are compared by shuffled rows.
+GROUP = 4096
+
+
+def _pieces(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of each partial entry of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
                 own = Bytes(b.column("text"))
-                h = Hashes(own.buf)
                 parts = b.column("parts").flatten()
-                size = np.diff(b.column("parts").offsets.to_numpy())
-                text = np.repeat(np.arange(b.num_rows), size)
-                anchor, lo, n, one = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "lo", "size", "n"))
-                at = np.repeat(own.at[:-1][text] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                which = np.repeat(np.arange(len(n)), n)
-                key = h.of(at, at + length)
-                doc = b.column("doc").to_numpy()[text[which]]
-                place = (at - own.at[:-1][text[which]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(one[which] == 1)], ["anchor", "key", "doc", "at", "open"])
+                text = np.repeat(np.arange(b.num_rows), np.diff(b.column("parts").offsets.to_numpy()))
+                lo, n = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "size"))
+                start = own.at[:-1][text] + lo
+                raw = own.buf.tobytes()
+                pieces = [raw[s:e] for s, e in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+                one = pa.array(parts.field("n").to_numpy(zero_copy_only=False) == 1)
+                doc = pa.array(b.column("doc").to_numpy()[text])
+                yield pa.RecordBatch.from_arrays([parts.field("anchor"), parts.field("runs"), one, doc, parts.field("lo"), pa.array(pieces, pa.binary())], ["anchor", "runs", "open", "doc", "lo", "piece"])
+
+    return run
+
+
+def _strings(b: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset in its piece, hash) of each string of the pieces."""
+    at = np.frombuffer(b.column("piece").cast(pa.large_binary()).buffers()[1], np.int64)
+    piece = b.column("piece").cast(pa.large_binary())
+    at = at[piece.offset : piece.offset + len(piece) + 1]
+    buf = np.frombuffer(piece.buffers()[2], np.uint8)[at[0] : at[-1]]
+    n = np.diff(at) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = (at[:-1] - at[0])[row] + place
+    return row, place, Hashes(buf).of(start, start + length)
+
+
+def _compared(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ranges of the open entries' strings that another run of the anchor has; rows come by anchor."""
+
+    def marks(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, place, key = _strings(b, length)
+        anchor = b.column("anchor").to_numpy()[row]
+        order = np.lexsort((key, anchor))
+        a, k = anchor[order], key[order]
+        equal = (a[1:] == a[:-1]) & (k[1:] == k[:-1])
+        shared = np.zeros(len(order), dtype=bool)
+        shared[order[1:]] |= equal
+        shared[order[:-1]] |= equal
+        hit = np.flatnonzero(shared & b.column("open").to_numpy(zero_copy_only=False)[row])
+        first = hit[np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])))] if len(hit) else hit
+        last = hit[np.concatenate(((hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]), [True]))] if len(hit) else hit
+        lo = b.column("lo").to_numpy()[row[first]]
+        arrays = [pa.array(b.column("doc").to_numpy()[row[first]]), pa.array((lo + place[first]).astype(np.int32)), pa.array((lo + place[last] + length).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            anchor = rows.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            held = rows.slice(cut)
+            for start in _whole_groups(anchor[:cut]):
+                yield marks(rows.slice(*start))
+        if held is not None:
+            yield marks(held)
+
+    return run
+
+
+def _whole_groups(anchor: np.ndarray, most: int = 4096) -> Iterator[tuple[int, int]]:
+    """(start, length) of stretches of whole anchors, of about ``most`` rows."""
+    start = 0
+    while start < len(anchor):
+        stop = min(start + most, len(anchor))
+        stop = int(np.searchsorted(anchor, anchor[stop - 1], "right"))
+        yield start, stop - start
+        start = stop
+
+
+def _exploded(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each string of the entries as a row (anchor, key, doc, at, open)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                b = batch.slice(start, 4096)
+                row, place, key = _strings(b, length)
+                lo = b.column("lo").to_numpy()[row]
+                arrays = [pa.array(b.column("anchor").to_numpy()[row]), pa.array(key.view(np.int64)), pa.array(b.column("doc").to_numpy()[row]), pa.array((lo + place).astype(np.int32)), pa.array(b.column("open").to_numpy(zero_copy_only=False)[row])]
+                yield pa.RecordBatch.from_arrays(arrays, ["anchor", "key", "doc", "at", "open"])
 
     return run
 
@@ -237,17 +314,24 @@ def repeats(documents: DataFrame, length: int = LENGTH, batches: int = 4) -> tup
         family.append(only.filter(F.pmod(F.shiftright("doc", 9), F.lit(batches)) == i))
         own = stage(family.repeated(), f"repeated-{i}", folder)
         found = own if found is None else found.unionByName(own)
+        release(spark)
     partial = stage(family.partial(), "partial", folder)
     family.drop()
-    whole = only.mapInArrow(_emit(False, length), ENTRY).join(found.distinct(), KEYS, "left_semi")
+    release(spark)
+    whole = only.mapInArrow(_emit(False, length), ENTRY).select(*KEYS, "doc", "lo", "size").join(found, KEYS, "left_semi")
     marks = stage(whole.select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + length - 1).alias("end")), "whole", folder)
-    per_doc = partial.groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "size", "n")).alias("parts"))
-    strings = only.dropDuplicates(["doc"]).join(per_doc, "doc").mapInArrow(_windows(length), "anchor long, key long, doc long, at int, open boolean")
-    strings = stage(strings, "strings", folder)
+    release(spark)
+    per_doc = partial.groupBy("doc").agg(F.collect_list(F.struct("anchor", "runs", "lo", "size", "n")).alias("parts"))
+    pieces = stage(only.join(per_doc, "doc").mapInArrow(_pieces(length), PART), "pieces", folder)
+    release(spark)
+    by_anchor = pieces.filter(F.col("runs") <= GROUP).repartition("anchor").sortWithinPartitions("anchor")
+    some = stage(by_anchor.mapInArrow(_compared(length), "doc long, start int, end int"), "some", folder)
+    strings = pieces.filter(F.col("runs") > GROUP).mapInArrow(_exploded(length), "anchor long, key long, doc long, at int, open boolean")
     shared = strings.groupBy("anchor", "key").agg(F.count("*").alias("k")).filter("k > 1").select("anchor", "key")
-    some = strings.filter("open").join(shared, ["anchor", "key"], "left_semi")
-    some = some.select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return texts, marks.unionByName(stage(some, "some", folder))
+    rest = strings.filter("open").join(shared, ["anchor", "key"], "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    rest = stage(rest, "rest", folder)
+    release(spark, f"{folder}/pieces", f"{folder}/partial")
+    return texts, marks.unionByName(some).unionByName(rest)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
