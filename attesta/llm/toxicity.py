@@ -2,7 +2,7 @@
 
 A word enters as the sum of a hashed word embedding and the mean of hashed
 embeddings of its character trigrams; a forward and a backward GRU read windows
-of ``SPAN`` words that overlap by half, attention pools their states and a
+of ``SPAN`` words, one every ``STEP`` words, attention pools their states and a
 logistic unit scores the window. All windows of the whole text are scored; the
 document has the highest window score. The network is trained in numpy on at
 most ``max_labelled`` labelled documents of each class (those of the least
@@ -24,11 +24,18 @@ from pyspark.sql import functions as F
 
 from attesta.llm._text import U, Bytes, Words, mix, slices
 
-SPAN, STEP = 16, 8
+SPAN, STEP = 32, 24
+#: Steps of an epoch of training.
+STEPS = 6
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 1 << 15, 1 << 13, 8, 8
 f4 = np.float32
 
 
+def _scatter(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of values by row number."""
+    return np.stack([np.bincount(at, values[:, j], minlength=rows) for j in range(values.shape[1])], axis=1).astype(f4)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -60,6 +67,20 @@ class Tokens:
         self.bounds = np.concatenate(([0], np.cumsum(self.windows_of)))
 
 
+class Part:
+    """Some windows of Tokens, with their words alone."""
+
+    def __init__(self, t: Tokens, chosen: np.ndarray):
+        used, number = np.unique(t.windows[chosen], return_inverse=True)
+        used = used[used > 0] - 1
+        number = number.reshape(-1, SPAN)
+        self.windows = number if 0 in t.windows[chosen] else number + 1
+        self.word, self.size = t.word[used], t.size[used]
+        start = (np.cumsum(t.size) - t.size)[used]
+        self.owner = np.repeat(np.arange(len(used)), self.size)
+        self.gram = t.gram[np.repeat(start - np.cumsum(self.size) + self.size, self.size) + np.arange(self.size.sum())]
+
+
 class Network:
     """Parameters, scores and gradients."""
 
@@ -74,7 +95,7 @@ class Network:
         for side in "fb":
             self.p |= {f"in_{side}": normal(d, 3 * h, scale=0.5), f"rec_{side}": normal(h, 3 * h, scale=0.3), f"b_{side}": np.zeros(3 * h, f4)}
 
-    def embed(self, t: Tokens) -> np.ndarray:
+    def embed(self, t: Tokens | Part) -> np.ndarray:
         chars = np.zeros((len(t.word) + 1, WIDTH), f4)
         if len(t.word):
             ends = np.cumsum(t.size)
@@ -114,9 +135,9 @@ class Network:
             keep.update(steps=steps, states=states, weight=weight, pooled=pooled)
         return pooled @ self.p["out"] + self.p["bias"][0]
 
-    def gradient(self, t: Tokens, windows: np.ndarray, target: np.ndarray, importance: np.ndarray) -> tuple[dict, float]:
+    def gradient(self, t: Part, target: np.ndarray, importance: np.ndarray) -> tuple[dict, float]:
         """Gradients of the weighted logistic loss, and the loss."""
-        table, kept, h, p = self.embed(t), {}, HIDDEN, self.p
+        table, windows, kept, h, p = self.embed(t), t.windows, {}, HIDDEN, self.p
         logit = self.forward(table, windows, kept)
         share = importance / importance.sum()
         loss = float((share * (np.logaddexp(0, logit) - target * logit)).sum())
@@ -132,7 +153,7 @@ class Network:
         d_table = np.zeros_like(table)
         for side, lo in (("f", 0), ("b", h)):
             rec, w_in = p[f"rec_{side}"], p[f"in_{side}"]
-            d_in, d_rec, d_b = np.zeros((len(table), 3 * h), f4), np.zeros_like(rec), np.zeros(3 * h, f4)
+            d_rec, d_b, seen = np.zeros_like(rec), np.zeros(3 * h, f4), []
             carry = np.zeros((len(windows), h), f4)
             for step, ids, state, z, g, new, r, live in reversed(kept["steps"][side]):
                 total = carry + d_states[step, :, lo : lo + h]
@@ -145,24 +166,68 @@ class Network:
                 carry = np.where(live, total * (1 - z), total) + d_r @ rec.T
                 d_rec += state.T @ d_r
                 d_b += d_x.sum(0)
-                np.add.at(d_in, ids, d_x)
+                seen.append((ids, d_x))
+            d_in = _scatter(np.concatenate([i for i, _ in seen]), np.concatenate([x for _, x in seen]), len(table))
             d_table += d_in @ w_in.T
             grad |= {f"in_{side}": table.T @ d_in, f"rec_{side}": d_rec, f"b_{side}": d_b}
-        grad["word"], grad["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        if len(t.word):
-            np.add.at(grad["word"], t.word, d_table[1:])
-            np.add.at(grad["char"], t.gram, (d_table[1:] / t.size[:, None])[t.owner])
+        grad["word"] = _scatter(t.word, d_table[1:], WORD_ROWS)
+        grad["char"] = _scatter(t.gram, (d_table[1:] / t.size[:, None])[t.owner], CHAR_ROWS)
         return grad, loss
 
-    def scores(self, texts: pa.Array, block: int = 1 << 15) -> np.ndarray:
+    def logits(self, table: np.ndarray, windows: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Logit of each window: as ``forward``, in place, block by block, for scoring."""
+        h, p = HIDDEN, self.p
+        tables = {}
+        for side in "fb":
+            x = table @ p[f"in_{side}"] + p[f"b_{side}"]
+            x[0, :h] = -80  # padding: the update gate is shut
+            tables[side] = np.ascontiguousarray(x[:, : 2 * h]), np.ascontiguousarray(2 * x[:, 2 * h :])
+        out = np.empty(len(windows), f4)
+        for start in range(0, len(windows), block):
+            ids = np.ascontiguousarray(windows[start : start + block].T)
+            energy, value = np.zeros(ids.shape, f4), np.zeros(ids.shape, f4)
+            for side, lo in (("f", 0), ("b", h)):
+                gate_in, new_in = tables[side]
+                rec = p[f"rec_{side}"]
+                gate_rec, new_rec = np.ascontiguousarray(rec[:, : 2 * h]), np.ascontiguousarray(2 * rec[:, 2 * h :])
+                read = np.stack((p["att"][lo : lo + h], p["out"][lo : lo + h]), axis=1)
+                state = np.zeros((ids.shape[1], h), f4)
+                for t in range(SPAN) if side == "f" else range(SPAN - 1, -1, -1):
+                    g = gate_in.take(ids[t], axis=0)
+                    g += state @ gate_rec
+                    np.negative(g, out=g)
+                    np.exp(g, out=g)
+                    g += 1
+                    np.reciprocal(g, out=g)
+                    n = state @ new_rec
+                    n *= g[:, h:]
+                    n += new_in.take(ids[t], axis=0)
+                    np.negative(n, out=n)
+                    np.exp(n, out=n)
+                    n += 1
+                    np.reciprocal(n, out=n)
+                    n *= 2
+                    n -= 1  # the hyperbolic tangent of half the argument
+                    n -= state
+                    n *= g[:, :h]
+                    state += n
+                    told = state @ read
+                    energy[t] += told[:, 0]
+                    value[t] += told[:, 1]
+            energy[ids == 0] = -1e4
+            weight = np.exp(energy - energy.max(0))
+            out[start : start + block] = (weight * value).sum(0) / weight.sum(0) + p["bias"][0]
+        return out
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         """Score of each text: that of its highest window."""
         t = Tokens(texts)
         table = self.embed(t)
-        logit = np.concatenate([self.forward(table, t.windows[i : i + block]) for i in range(0, len(t.windows), block)])
+        logit = self.logits(table, t.windows)
         return _sigmoid(np.maximum.reduceat(logit, t.bounds[:-1]).astype(np.float64))
 
 
-def train(texts: pa.Array, label: np.ndarray, epochs: int = 40, rate: float = 0.03, seed: int = 11) -> Network:
+def train(texts: pa.Array, label: np.ndarray, epochs: int = 24, rate: float = 0.03, seed: int = 11) -> Network:
     """Adam over the highest window of each document; at first that of the most telling words."""
     net, t = Network(seed), Tokens(texts)
     doc = np.repeat(np.arange(len(label)), t.windows_of)
@@ -178,7 +243,7 @@ def train(texts: pa.Array, label: np.ndarray, epochs: int = 40, rate: float = 0.
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     best = max(1.0, (len(label) - label.sum()) / max(1, label.sum()))
     importance = np.where(label == 1, best, 1.0)
-    draw = np.random.default_rng(seed)
+    draw, n = np.random.default_rng(seed), 0
     for epoch in range(1, epochs + 1):
         order = np.lexsort((logit, doc))
         top = order[t.bounds[1:] - 1]
@@ -186,17 +251,17 @@ def train(texts: pa.Array, label: np.ndarray, epochs: int = 40, rate: float = 0.
         clean = np.flatnonzero(label == 0)
         chosen = np.concatenate((top, other[clean]))
         target, weight = np.concatenate((label, label[clean])), np.concatenate((importance, importance[clean]))
-        for _ in range(4):
-            grad, _ = net.gradient(t, t.windows[chosen], target, weight)
+        for part in np.array_split(draw.permutation(len(chosen)), STEPS):
+            grad, _ = net.gradient(Part(t, chosen[part]), target[part], weight[part])
+            n += 1
             for k, g in grad.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                n = epoch * 4
                 net.p[k] -= (rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-7)).astype(f4)
         if epoch % 4 == 1:
             table = net.embed(t)
-            logit = np.concatenate([net.forward(table, t.windows[i : i + (1 << 15)]) for i in range(0, len(t.windows), 1 << 15)])
+            logit = net.logits(table, t.windows)
     return net
 
 
