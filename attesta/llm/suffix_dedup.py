@@ -105,7 +105,7 @@ def _emit(combine: bool, length: int) -> Callable[[Iterator[pa.RecordBatch]], It
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 19):
                 doc = b.column("doc").to_numpy()
                 text, anchor, key, lo, n = entries(Bytes(b.column("text")), length)
                 if not len(text):
@@ -116,7 +116,7 @@ def _emit(combine: bool, length: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     continue
                 parts.append(own)
                 held += len(n)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield _rows(combined(parts))
                     parts, held = [], 0
         if parts:
@@ -210,7 +210,7 @@ def _pieces(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 19):
                 own = Bytes(b.column("text"))
                 parts = b.column("parts").flatten()
                 text = np.repeat(np.arange(b.num_rows), np.diff(b.column("parts").offsets.to_numpy()))
@@ -274,7 +274,7 @@ def _compared(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _whole_groups(anchor: np.ndarray, most: int = 4096) -> Iterator[tuple[int, int]]:
+def _whole_groups(anchor: np.ndarray, most: int = 2048) -> Iterator[tuple[int, int]]:
     """(start, length) of stretches of whole anchors, of about ``most`` rows."""
     start = 0
     while start < len(anchor):
@@ -289,8 +289,8 @@ def _exploded(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                b = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, 2048):
+                b = batch.slice(start, 2048)
                 row, place, key = _strings(b, length)
                 lo = b.column("lo").to_numpy()[row]
                 arrays = [pa.array(b.column("anchor").to_numpy()[row]), pa.array(key.view(np.int64)), pa.array(b.column("doc").to_numpy()[row]), pa.array((lo + place).astype(np.int32)), pa.array(b.column("open").to_numpy(zero_copy_only=False)[row])]
