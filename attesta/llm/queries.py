@@ -28,11 +28,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, its class (the least doc_id of the class), links to other texts, whether it stays."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "repeat")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,7 +299,7 @@ def _exploded(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def repeats(documents: DataFrame, length: int = LENGTH, batches: int = 4) -> tuple[DataFrame, DataFrame]:
+def repeats(documents: DataFrame, length: int = LENGTH, batches: int = 4, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(texts, marks): texts (doc_id, doc, text); marks (doc, start, end) of repeated bytes.
 
     ``doc`` is a hash of id and text, so repeated rows share it. The documents
@@ -307,7 +307,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, batches: int = 4) -> tup
     """
     spark = documents.sparkSession
     folder = shared_dir(spark)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
     only = texts.select("doc", "text")
     family, found = IndexFamily(spark, length), None
     for i in range(batches):
@@ -334,23 +334,30 @@ def repeats(documents: DataFrame, length: int = LENGTH, batches: int = 4) -> tup
     return texts, marks.unionByName(some).unionByName(rest)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document."""
-    texts, marks = repeats(documents, length)
+def without_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every document.
+
+    kept_text lacks code points of which a byte was removed; ``carry`` names text columns to keep.
+    """
+    texts, marks = repeats(documents, length, carry=carry)
     spans = marks.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text, start, end in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                removed, n, kept = cut(raw, np.array(start or [], np.int64), np.array(end or [], np.int64))
-                for to, value in zip(out, (doc_id, len(raw), removed, n, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None), strict=True):
-                    to.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return texts.join(spans, "doc", "left").select("doc_id", "text", "starts", "ends").mapInArrow(run, RESULT)
+        for batch in batches:
+            for b in slices(batch, "text", 4 << 20):
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for doc_id, text, start, end in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends")), strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    removed, n, kept = cut(raw, np.array(start or [], np.int64), np.array(end or [], np.int64))
+                    shown = kept.decode("utf-8", "ignore") if keep_text else None
+                    for to, value in zip(out, (doc_id, len(raw), removed, n, hashlib.sha256(kept).hexdigest(), shown), strict=True):
+                        to.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                arrays = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(b.column(c) for c in carry)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry])
+
+    kind = RESULT + "".join(f", {c} string" for c in carry)
+    return texts.join(spans, "doc", "left").select("doc_id", "text", "starts", "ends", *carry).mapInArrow(run, kind)

@@ -279,18 +279,20 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = 1500) ->
     return train(pa.array(learn["text"], pa.large_string()), label)
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = 1500) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = 1500, carry_key: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; with text_key if carry_key."""
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(fitted(documents, labels, max_labelled))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 own = net.scores(b.column("text")) if net else np.zeros(b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(own)], ["doc_id", "text_key", "score"])
 
-    out = documents.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    out = rows.mapInArrow(scored, "doc_id long, text_key long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    keys = ["text_key"] if carry_key else []
+    return out.select("doc_id", *keys, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
