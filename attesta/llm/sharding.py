@@ -15,10 +15,12 @@ empty table commits an empty manifest.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.llm._shared import commit_once, committed, shared_dir
 
@@ -66,22 +68,23 @@ class ShardStore:
         placed = rows.join(runs, "__scope").withColumn("shard", F.element_at("__runs", F.col("__arrival"))).drop("__runs", "__scope")
         data = f"{self.folder}/data/{uuid.uuid4().hex}"
         placed.write.option("compression", "zstd").partitionBy("shard").parquet(data)
-        return self.publish(data)
+        return self.publish(data, placed.schema)
 
-    def publish(self, data: str) -> int:
-        """Commit the next manifest version, which names the data folder."""
+    def publish(self, data: str, schema: T.StructType) -> int:
+        """Commit the next manifest version, which names the data folder and its schema."""
+        content = json.dumps({"data": data, "schema": schema.jsonValue()})
         while True:
             version = 1 + max((int(v) for v in committed(self.spark, f"{self.folder}/manifests")), default=0)
-            if commit_once(self.spark, f"{self.folder}/manifests/{version}", data):
+            if commit_once(self.spark, f"{self.folder}/manifests/{version}", content):
                 return version
 
     def read(self, version: int | None = None) -> DataFrame:
         """The documents of a manifest version, the newest by default, with their shard."""
         named = committed(self.spark, f"{self.folder}/manifests")
         version = version or max(int(v) for v in named)
-        rows = self.spark.read.option("basePath", named[str(version)]).parquet(named[str(version)])
-        rows = rows if "shard" in rows.columns else rows.withColumn("shard", F.lit(None).cast("long"))
-        return rows.withColumn("version", F.lit(version)).withColumn("shard", F.col("shard").cast("long"))
+        manifest = json.loads(named[str(version)])
+        rows = self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(manifest["data"])
+        return rows.withColumn("version", F.lit(version))
 
 
 def sharded(documents: DataFrame, **options) -> DataFrame:
