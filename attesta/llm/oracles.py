@@ -31,7 +31,21 @@ SELECT source, lang, tokenizer, coalesce(n_docs, 0) AS n_docs, coalesce(n_tokens
 FROM every LEFT JOIN g USING (source, lang, tokenizer)
 """
 
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+s AS (SELECT doc_id, nth, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY ALL),
+e AS (SELECT doc_id, nth, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY nth), 0) AS start FROM s),
+p AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY nth) AS front FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(concat(coalesce(front, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_token_counts": TOKEN_COUNTS,
+    "op6_suffix_dedup": SUFFIX_DEDUP,
     "op9_decontaminate": DECONTAMINATE,
 }
