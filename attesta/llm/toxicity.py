@@ -40,11 +40,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+class _Joined:
+    """Words of many texts, found in parts of about a megabyte: what numpy holds at once stays small."""
+
+    def __init__(self, texts: pa.Array, part: int = 256):
+        parts = [Words(Bytes(texts.slice(i, part))) for i in range(0, max(len(texts), 1), part)]
+        shift = np.cumsum([0, *(len(w.low) for w in parts)])
+        count = np.cumsum([0, *(len(w.hash) for w in parts)])
+        self.hash, self.low = np.concatenate([w.hash for w in parts]), np.concatenate([w.low for w in parts])
+        self.start = np.concatenate([w.start + s for w, s in zip(parts, shift[:-1], strict=True)])
+        self.end = np.concatenate([w.end + s for w, s in zip(parts, shift[:-1], strict=True)])
+        self.at = np.concatenate([*(w.at[:-1] + n for w, n in zip(parts, count[:-1], strict=True)), count[-1:]])
+
+
 class Tokens:
     """Distinct words of texts and the windows over them, as rows of word numbers (0 is padding)."""
 
     def __init__(self, texts: pa.Array):
-        words = Words(Bytes(texts))
+        words = _Joined(texts)
         distinct, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
         self.word = (distinct >> U(20)).astype(np.int64) % WORD_ROWS
         start, size = words.start[first], (words.end - words.start)[first]
@@ -231,10 +244,10 @@ def train(texts: pa.Array, label: np.ndarray, epochs: int = 24, rate: float = 0.
     """Adam over the highest window of each document; at first that of the most telling words."""
     net, t = Network(seed), Tokens(texts)
     doc = np.repeat(np.arange(len(label)), t.windows_of)
-    seen = np.unique(np.stack((np.repeat(doc, SPAN), t.windows.ravel())), axis=1)
-    held = np.zeros((2, len(t.word) + 1))
-    for k in (0, 1):
-        held[k] = np.bincount(seen[1][label[seen[0]] == k], minlength=len(t.word) + 1)
+    many = len(t.word) + 1
+    seen = np.unique(np.repeat(doc, SPAN) * many + t.windows.ravel())
+    held = np.stack([np.bincount(seen[label[seen // many] == k] % many, minlength=many) for k in (0, 1)]).astype(float)
+    del seen
     telling = np.log((held[1] + 0.5) / (label.sum() + 1)) - np.log((held[0] + 0.5) / ((1 - label).sum() + 1))
     telling[(held.sum(0) < 3)] = 0  # too rare to tell
     telling[0] = 0
