@@ -65,15 +65,16 @@ def relax_window(rows: DataFrame, target: int | None, ranking: bool = False, cle
     cleaned = clean(rows).withColumn("tier", window_tier(F.col("outcome_window_days"), target))
     near = sum(w != target and abs(w - target) <= 5 for w in COMMON_WINDOWS)
     first = F.broadcast(cleaned.agg(F.coalesce(F.min("tier"), F.lit(near + 1)).alias("first")))
-    every = cleaned.drop("tier") if keep is None else clean(keep)
-    snapped = cleaned.join(first, F.col("tier") == F.col("first")).filter(F.col("first") <= near)
-    open_ = every.join(first.filter(F.col("first") > near), F.lit(True))
     exact = F.lit(f"Exact {target}-day window matched." if ranking else None).cast("string")
     word = "snapped to" if ranking else "showing"
     shown = F.concat(F.lit(f"No studies report {target}-day; {word} "), F.col("outcome_window_days").cast("string"), F.lit("-day."))
-    snapped = snapped.withColumns({"matched_window": F.col("outcome_window_days"), "note": F.when(F.col("tier") == 0, exact).otherwise(shown)})
-    open_ = open_.withColumns({"matched_window": F.lit(None).cast("int"), "note": F.lit(f"No exact match for {target}-day; showing all windows for this outcome.")})
-    return snapped.drop("tier", "first").unionByName(open_.drop("first"))
+    missed = F.lit(f"No exact match for {target}-day; showing all windows for this outcome.")
+    is_open = F.col("first") > near
+    rows = cleaned.join(first, F.lit(True)).filter((F.col("tier") == F.col("first")) | is_open if keep is None else (F.col("tier") == F.col("first")) & ~is_open)
+    if keep is not None:
+        rows = rows.unionByName(clean(keep).withColumn("tier", F.lit(near + 1)).join(first, F.lit(True)).filter(is_open))
+    rows = rows.withColumns({"matched_window": F.when(~is_open, F.col("outcome_window_days")), "note": F.when(is_open, missed).when(F.col("tier") == 0, exact).otherwise(shown)})
+    return rows.drop("tier", "first")
 
 
 def capped(rows: DataFrame, limit: int = 200) -> DataFrame:
