@@ -15,9 +15,11 @@ without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -284,12 +286,24 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = 1500) ->
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (part != 0))
     order = (F.xxhash64("doc_id"), "doc_id")
     known = known.filter("label = 1").orderBy(*order).limit(max_labelled).unionByName(known.filter("label = 0").orderBy(*order).limit(max_labelled))
-    learn = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").toPandas()
-    learn = learn.sort_values(["doc_id", "label", "text"], kind="stable")
-    label = learn["label"].to_numpy()
-    if not len(label) or label.min() == label.max():
+    learn = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.to_pandas() for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pd.concat(parts).sort_values(["doc_id", "label", "text"], kind="stable")
+        label = rows["label"].to_numpy().astype(np.int64)
+        if label.min() != label.max():
+            net = train(pa.array(rows["text"], pa.large_string()), label)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["net"])
+
+    found = learn.repartition(1).mapInArrow(run, "net binary").collect()  # the sample is bounded: one task trains on it
+    if not found:
         return None
-    return train(pa.array(learn["text"], pa.large_string()), label)
+    net = Network()
+    net.p = pickle.loads(bytes(found[0]["net"]))
+    return net
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = 1500, carry_key: bool = False) -> DataFrame:
