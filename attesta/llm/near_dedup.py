@@ -9,10 +9,11 @@ band's best-connected node and are verified by the weighted Jaccard similarity
 of the texts. Members of a band may be linked though its leader is linked to
 neither: in bands of up to SMALL_BAND nodes all pairs of different components
 are compared too, unless the triangle inequality or the total weights rule a
-link out; larger bands get LEADERS further leaders from outside the first leader's
-component. (All pairs of a large group would grow with its square; links
-that only further members of a band of over SMALL_BAND nodes would show can be
-missed. The README has figures.)
+link out. Larger bands first get LEADERS further leaders from outside the first leader's
+component, which decide most members at little cost; members of bands that still
+hold several components are then joined by the rare shingles that two texts of
+similarity THRESHOLD must share (prefix filtering by total weight), and every pair that
+this leaves is verified. No link between members of a band is given up.
 
 Defined cases: null and empty texts, and texts without words, are classes of
 their own rows and always kept; texts of one to four words are one shingle;
@@ -205,9 +206,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return both.mapInArrow(run, "x binary, y binary, sim double").dropDuplicates(["x", "y"])
 
 
-#: Bands of at most so many nodes are compared pair by pair; larger ones by so many further leaders.
+#: Bands of at most so many nodes are compared pair by pair; larger ones by so many further leaders, then by shared prefixes.
 SMALL_BAND = 32
 LEADERS = 4
+#: Steps of total weight within a factor of the threshold, by which partners are told apart in the join of prefixes.
+STEPS = 4
 
 
 def _labelled(met: DataFrame, edges: DataFrame) -> DataFrame:
@@ -232,12 +235,58 @@ def _leader_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
     rows = mixed.filter(F.col("n") > SMALL_BAND)
     first = rows.filter("x = y").select("band", F.col("label").alias("first_label"))
     outside = rows.join(first, "band").filter("label <> first_label")
-    drawn = [F.min(F.struct(F.xxhash64("x", F.lit(i)).alias("h"), "x", "label", "weight")) for i in range(LEADERS)]
+    drawn = [F.min(F.struct(F.xxhash64("x", "band", F.lit(i)).alias("h"), "x", "label", "weight")) for i in range(LEADERS)]
     leader = outside.groupBy("band").agg(F.array(*drawn).alias("ls")).select("band", F.explode(F.array_distinct(F.transform("ls", lambda v: F.struct(v["x"].alias("x"), v["label"].alias("label"), v["weight"].alias("weight"))))).alias("l"))
     near = (F.col("label") != F.col("l.label")) & (F.least("weight", "l.weight") >= threshold * F.greatest("weight", "l.weight") - 1e-9)
     return rows.join(leader, "band").filter(near).select("x", F.col("l.x").alias("y"))
 
 
+def prefixes(open_texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """(x, label, weight, feature, own, other, rest) of open_texts (x, label, text): the shingles that may be
+    the rarest one that x shares with a similar text whose weight is in step ``other``.
+
+    Shingles of a text stand in one order for all texts, rare ones first; rest is the weight from there to the
+    end. Texts of weights v and w and similarity t share t / (1 + t) * (v + w), so the first shingle that they
+    share has at least that rest in both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, step = shared.value, -np.log(threshold) / STEPS
+        for batch in batches:
+            for b in slices(batch, "text"):
+                bags = Bags(b.column("text"))
+                order = np.lexsort((bags.feature, -weights.idf[bags.slot()], bags.doc))
+                doc, feature, w = bags.doc[order], bags.feature[order], weights.of(bags)[order]
+                total = np.bincount(doc, w, minlength=b.num_rows)
+                run = np.cumsum(w)
+                before = np.concatenate(([0.0], run))[bags.at[:-1]]
+                rest = total[doc] - (run - w - before[doc])
+                own = np.floor(np.log(np.maximum(total, 1e-12)) / step).astype(np.int64)
+                for far in range(-STEPS - 1, STEPS + 2):
+                    least = np.maximum(np.exp((own + far) * step), threshold * total)
+                    need = threshold / (1 + threshold) * (total + least)
+                    i = np.flatnonzero(rest >= need[doc] * (1 - 1e-6))
+                    d = pa.array(doc[i])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("x").take(d), b.column("label").take(d), pa.array(total[doc[i]]), pa.array(feature[i].astype(np.int64)), pa.array(own[doc[i]]), pa.array(own[doc[i]] + far), pa.array(rest[i])],
+                        ["x", "label", "weight", "feature", "own", "other", "rest"],
+                    )
+
+    return open_texts.mapInArrow(run, "x binary, label binary, weight double, feature long, own long, other long, rest double")
+
+
+def _prefix_pairs(mixed: DataFrame, texts: DataFrame, shared, folder: str, threshold: float) -> DataFrame:
+    """All pairs (x, y) of different components in mixed that may be similar, whatever band they share."""
+    members = mixed.select("x", "label").distinct()
+    rows = stage(prefixes(texts.join(members, texts.node == members.x).select("x", "label", "text"), shared, threshold), "prefixes", folder)
+    one = rows.filter("own <= other").select("feature", F.col("own").alias("lo"), F.col("other").alias("hi"), *[F.col(c).alias(f"p_{c}") for c in ("x", "label", "weight", "rest")])
+    two = rows.filter("own >= other").select("feature", F.col("other").alias("lo"), F.col("own").alias("hi"), *[F.col(c).alias(f"q_{c}") for c in ("x", "label", "weight", "rest")])
+    need = F.lit(threshold / (1 + threshold) * (1 - 1e-6)) * (F.col("p_weight") + F.col("q_weight"))
+    near = F.least("p_weight", "q_weight") >= threshold * F.greatest("p_weight", "q_weight") * (1 - 1e-6)
+    may = (F.col("p_label") != F.col("q_label")) & ((F.col("lo") < F.col("hi")) | (F.col("p_x") < F.col("q_x"))) & near & (F.least("p_rest", "q_rest") >= need)
+    return one.join(two, ["feature", "lo", "hi"]).filter(may).select(F.least("p_x", "q_x").alias("x"), F.greatest("p_x", "q_x").alias("y")).distinct()
+
+
 class Texts:
     """Texts of nodes, written once in buckets by node: joins on the node do not move them."""
 
@@ -285,8 +334,14 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     mixed = stage(_labelled(met, edges), "mixed", folder)
     rest = stage(_small_pairs(mixed, links, threshold).unionByName(_leader_pairs(mixed, threshold)).distinct(), "rest", folder)
     new = stage(verified(rest, texts.table(), shared).filter(F.col("sim") >= threshold), "new", folder)
-    texts.drop()
     edges = edges.unionByName(new)
+    # members of large bands that the leaders have not joined
+    open_bands = stage(_labelled(met.filter(F.col("n") > SMALL_BAND), edges), "open", folder)
+    close = stage(_prefix_pairs(open_bands, texts.table(), shared, folder, threshold), "close", folder)
+    release(spark, f"{folder}/prefixes")
+    last = stage(verified(close, texts.table(), shared).filter(F.col("sim") >= threshold), "last", folder)
+    texts.drop()
+    edges = edges.unionByName(last)
     labels = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     release(spark, f"{folder}/members", f"{folder}/met")
     ends = edges.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -95,3 +95,34 @@ def test_connected_components(spark):
     e = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.label for r in connected_components(e).collect()} == {x: find(x) for x in parent}
     assert connected_components(e.filter(F.lit(False))).count() == 0
+
+
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    # two hundred families around one template: copies of a family are alike, families are not
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    template, docs = rng.choices(words, k=150), []
+    for _ in range(200):
+        base = list(template)
+        for at in rng.sample(range(150), 6):
+            base[at] = rng.choice(words)
+        for _ in range(2):
+            new = list(base)
+            new[rng.randrange(150)] = rng.choice(words)
+            docs.append(" ".join(new))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    links = brute(docs, N.document_frequencies(d))
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted(links):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    # one band for all: only the treatment of large bands decides
+    monkeypatch.setattr(N, "bands", lambda values: N.np.zeros((len(values), N.BANDS), N.np.int64))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(d).collect()}
+    assert len(set(got.values())) > 50 and got == {i: find(i) for i in got}
