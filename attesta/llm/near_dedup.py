@@ -3,8 +3,8 @@
 Texts are bags of five-word shingles weighted by TF times a damped IDF
 ((1 + log(N / df) / log N) ** IDF_POWER; document frequencies are counted over
 all documents, for hashed shingles). Each text gets ``SAMPLES`` consistent weighted samples;
-the least value of a sample's scale stands for the sampled shingle and its
-level. Equal texts (in words) are one node. Nodes that share a band meet at the
+the least value of a sample's scale, with the hash of its shingle, stands for the
+sampled shingle and its level. Equal texts (in words) are one node. Nodes that share a band meet at the
 band's best-connected node and are verified by the weighted Jaccard similarity
 of the texts. Members of a band may be linked though its leader is linked to
 neither: in bands of up to SMALL_BAND nodes all pairs of different components
@@ -82,10 +82,15 @@ def _randoms() -> np.ndarray:
 
 
 def samples(bags: Bags, log_weight: np.ndarray, block: int = 1024) -> np.ndarray:
-    """(texts, SAMPLES): least ln a of each sample; infinite for texts without words."""
+    """(texts, SAMPLES) of each sample: least ln a, in the upper half as ordered bits, and its shingle's hash.
+
+    Shingles that share a row of the table differ in the hash, which also decides
+    between them; all ones for texts without words.
+    """
     table = _randoms()
-    out = np.full((len(bags.at) - 1, SAMPLES), np.inf, f4)
-    row = (mix(bags.feature) >> U(40)).astype(np.int64) % TABLE
+    out = np.full((len(bags.at) - 1, SAMPLES), ~U(0), U)
+    mixed = mix(bags.feature)
+    row, own_hash = (mixed >> U(40)).astype(np.int64) % TABLE, mixed & U(0xFFFFFFFF)
     for start in range(0, len(row), block):
         own = table[row[start : start + block]]
         r = own[:, 0]
@@ -97,17 +102,20 @@ def samples(bags: Bags, log_weight: np.ndarray, block: int = 1024) -> np.ndarray
         np.subtract(own[:, 2], t, out=t)
         doc = bags.doc[start : start + block]
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        least = np.minimum.reduceat(t, first, axis=0)
+        sign = t.view(np.int32) >> 31
+        order = t.view(np.uint32) ^ (sign.view(np.uint32) | np.uint32(1 << 31))
+        value = (order.astype(U) << U(32)) | own_hash[start : start + block, None]
+        least = np.minimum.reduceat(value, first, axis=0)
         out[doc[first]] = np.minimum(out[doc[first]], least)
     return out
 
 
 def bands(values: np.ndarray) -> np.ndarray:
     """(texts, BANDS) hashes of the bands of samples."""
-    bits = np.ascontiguousarray(values).view(np.uint32).astype(U).reshape(len(values), BANDS, ROWS)
+    bits = values.reshape(len(values), BANDS, ROWS)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U) * U(0x632BE59BD9B4E019), (len(values), BANDS)).copy()
     for k in range(ROWS):
-        h = mix(h + bits[:, :, k] * U(0x9E3779B97F4A7C15))
+        h = mix(h + mix(bits[:, :, k] * U(0x9E3779B97F4A7C15)))
     return h.view(np.int64)
 
 

@@ -126,3 +126,13 @@ def test_large_bands_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(N, "bands", lambda values: N.np.zeros((len(values), N.BANDS), N.np.int64))
     got = {r.doc_id: r.class_id for r in N.near_duplicates(d).collect()}
     assert len(set(got.values())) > 50 and got == {i: find(i) for i in got}
+
+
+def test_long_texts_without_common_shingles_share_no_band():
+    rng = random.Random(3)
+    texts = [" ".join(f"{side}{rng.randrange(10**9)}" for _ in range(60_000)) for side in "ab"]
+    weights = N.Weights(2, N.np.ones(N.DF_SLOTS))
+    bags = N.Bags(pa.array([*texts, texts[0] + " more"]))
+    a, b, c = N.bands(N.samples(bags, weights.logs(bags)))
+    assert not set(a.tolist()) & set(b.tolist())
+    assert len(set(a.tolist()) & set(c.tolist())) > N.BANDS // 2
