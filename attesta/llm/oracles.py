@@ -21,14 +21,12 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 TOKEN_COUNTS = rf"""
-WITH c AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS nth,
+WITH c AS (SELECT source, lang, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS nth,
   len({_WORDS}) AS words, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS spaces FROM documents),
-t AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM c WHERE nth = 1
-  UNION ALL SELECT source, lang, 'spaces-1', spaces FROM c WHERE nth = 1),
-g AS (SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(least(n, 4096)) AS BIGINT) AS n_tokens FROM t GROUP BY ALL),
-every AS (SELECT DISTINCT source, lang, x.tokenizer FROM c, (VALUES ('words-1'), ('spaces-1')) AS x(tokenizer))
-SELECT source, lang, tokenizer, coalesce(n_docs, 0) AS n_docs, coalesce(n_tokens, 0) AS n_tokens
-FROM every LEFT JOIN g USING (source, lang, tokenizer)
+t AS (SELECT source, lang, nth, 'words-1' AS tokenizer, words AS n FROM c UNION ALL SELECT source, lang, nth, 'spaces-1', spaces FROM c)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens,
+  CAST(count(*) FILTER (nth = 1) AS BIGINT) AS unique_docs, CAST(coalesce(sum(n) FILTER (nth = 1), 0) AS BIGINT) AS unique_tokens
+FROM t GROUP BY ALL
 """
 
 SUFFIX_DEDUP = """

@@ -2,23 +2,27 @@
 
 A change is an insert (+1 document, +n tokens), a delete (-1, -n) or a revised
 count (0, new - old). A batch of changes is summed per group, written once and
-becomes visible by one exclusive create of its commit file: a batch that is
-sent again changes nothing. Totals are the sum of the committed batches.
+becomes visible by one exclusive commit under its name: a batch that is sent
+again changes nothing. Totals are the newest snapshot plus the batches committed
+since; ``fold`` sums these into the next snapshot, so that totals stay a read of
+few files however many batches there were.
 
 Defined cases: null or empty text has 0 tokens and counts as a document; null
-source or language is a group of its own; rows are told apart by position, so
-repeated rows count each; other columns are ignored; an empty table gives no
-groups.
+source or language is a group of its own, other types are read as text; rows are
+told apart by position, so repeated rows count each; other columns are ignored;
+an empty table gives no groups.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm._shared import commit_once, committed, filesystem, shared_dir, stage
+from attesta.llm._shared import commit_once, content, filesystem, names, shared_dir, stage
 from attesta.llm.decontaminate import word_count
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -39,37 +43,64 @@ def signed(changes: DataFrame) -> DataFrame:
     op = F.col("op")
     docs = F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0)
     tokens = F.when(op == "insert", F.col("n_tokens")).when(op == "delete", -F.col("n_tokens")).otherwise(F.col("n_tokens") - F.col("old_tokens"))
-    return changes.select(*GROUP, docs.cast("long").alias("d_docs"), tokens.cast("long").alias("d_tokens"))
+    return changes.select(*[F.col(c).cast("string").alias(c) for c in GROUP], docs.cast("long").alias("d_docs"), tokens.cast("long").alias("d_tokens"))
+
+
+SUMS = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
 
 
 class Rollup:
-    """Additive totals in a folder of committed batches."""
+    """Additive totals in a folder: data of batches, their commits, and snapshots of their sums."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder or shared_dir(spark)
+    def __init__(self, spark: SparkSession, folder: str | None = None, fold_every: int = 64):
+        self.spark, self.folder, self.fold_every = spark, folder or shared_dir(spark), fold_every
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of changes once; False if the batch was applied before."""
-        if batch in committed(self.spark, f"{self.folder}/commits"):
+        if batch in names(self.spark, f"{self.folder}/commits"):
             return False
         data = f"{batch}-{uuid.uuid4().hex}"
-        sums = signed(changes).groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        sums.coalesce(1).write.parquet(f"{self.folder}/data/{data}")
-        return commit_once(self.spark, f"{self.folder}/commits/{batch}", data)
+        signed(changes).groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.folder}/data/{data}")
+        done = commit_once(self.spark, f"{self.folder}/commits/{batch}", data)
+        if len(self._state()[1]) > self.fold_every:
+            self.fold()
+        return done
+
+    def _state(self) -> tuple[dict, list[str]]:
+        """The newest snapshot and the names of the batches that it lacks."""
+        number = max((int(n) for n in names(self.spark, f"{self.folder}/snapshots")), default=0)
+        snapshot = json.loads(content(self.spark, f"{self.folder}/snapshots/{number}")) if number else {"data": None, "batches": None}
+        folded = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/data/{snapshot['batches']}").collect()} if number else set()
+        return {"number": number, **snapshot}, [n for n in names(self.spark, f"{self.folder}/commits") if n not in folded]
+
+    def _sums(self, snapshot: dict, batches: list[str]) -> DataFrame:
+        named = [content(self.spark, f"{self.folder}/commits/{b}") for b in batches] + ([snapshot["data"]] if snapshot["data"] else [])
+        rows = self.spark.read.schema(SUMS).parquet(*[f"{self.folder}/data/{d}" for d in named]) if named else self.spark.createDataFrame([], SUMS)
+        return rows.groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
 
     def totals(self) -> DataFrame:
         """(group, n_docs, n_tokens) over the committed batches."""
-        paths = [f"{self.folder}/data/{d}" for d in committed(self.spark, f"{self.folder}/commits").values()]
-        kind = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
-        rows = self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.sql("SELECT '' source, '' lang, '' tokenizer, 0L d_docs, 0L d_tokens WHERE false")
-        return rows.groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-
-    def vacuum(self) -> None:
-        """Remove data folders that no commit names (left by lost attempts)."""
+        return self._sums(*self._state()).select(*GROUP, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
+
+    def fold(self) -> bool:
+        """Sum the snapshot and the batches since into the next snapshot; False if another writer was first."""
+        snapshot, batches = self._state()
+        data, listed = f"snapshot-{uuid.uuid4().hex}", f"batches-{uuid.uuid4().hex}"
+        self._sums(snapshot, batches).write.parquet(f"{self.folder}/data/{data}")
+        rows = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        if snapshot["batches"]:
+            rows = rows.unionByName(self.spark.read.schema("batch string").parquet(f"{self.folder}/data/{snapshot['batches']}"))
+        rows.write.parquet(f"{self.folder}/data/{listed}")
+        return commit_once(self.spark, f"{self.folder}/snapshots/{snapshot['number'] + 1}", json.dumps({"data": data, "batches": listed}))
+
+    def vacuum(self, hours: float = 24.0) -> None:
+        """Remove data folders that neither the snapshot nor a later batch names, if older than ``hours``."""
         fs, Path = filesystem(self.spark, self.folder)
-        named = set(committed(self.spark, f"{self.folder}/commits").values())
+        snapshot, batches = self._state()
+        live = {content(self.spark, f"{self.folder}/commits/{b}") for b in batches} | {snapshot["data"], snapshot["batches"]}
+        before = (time.time() - 3600 * hours) * 1000
         for f in fs.listStatus(Path(f"{self.folder}/data")):
-            if f.getPath().getName() not in named:
+            if f.getPath().getName() not in live and f.getModificationTime() <= before:
                 fs.delete(f.getPath(), True)
 
 
@@ -86,16 +117,27 @@ def by_tokenizer(rows: DataFrame, tokenizers: dict = TOKENIZERS) -> DataFrame:
     return rows.select("source", "lang", each.alias("t")).select("source", "lang", "t.tokenizer", "t.n_tokens")
 
 
-def corpus_rollup(documents: DataFrame, folder: str | None = None, longest: int = 4096) -> DataFrame:
-    """Totals after three batches: all documents inserted; exact copies deleted, but the
-    one with the least doc_id; counts above ``longest`` revised to it."""
-    rows, rollup = counted(documents), Rollup(documents.sparkSession, folder)
-    zero = F.lit(0).cast("long").alias("old_tokens")
+def corpus_rollup(documents: DataFrame, folder: str | None = None, tokenizers: dict = TOKENIZERS) -> DataFrame:
+    """(group, n_docs, n_tokens, unique_docs, unique_tokens) of all documents and tokenizers.
+
+    The load counts every tokenizer by the first one, the cheapest; a second batch revises what the others count
+    differently. These totals are n_docs and n_tokens. A third batch, sent twice, deletes exact copies but the
+    one of the least doc_id, which leaves unique_docs and unique_tokens.
+    """
+    rows, rollup = counted(documents, tokenizers), Rollup(documents.sparkSession, folder)
+    none = F.lit(0).cast("long").alias("old_tokens")
+    load = by_tokenizer(rows.withColumns({f"n_{i}": F.col("n_0") for i in range(len(tokenizers))}), tokenizers).select(F.lit("insert").alias("op"), "*", none)
+    both = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.col(f"n_{i}").alias("n_tokens")) for i, t in enumerate(tokenizers)]))
+    seen = rows.select("source", "lang", F.col("n_0").alias("old_tokens"), both.alias("t")).select(F.lit("revise").alias("op"), "source", "lang", "t.tokenizer", "t.n_tokens", "old_tokens")
     firsts = rows.groupBy("content").agg(F.min_by("uid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("uid"))).alias("uid")).select("uid")
-    copies, kept = rows.join(firsts, "uid", "left_anti"), rows.join(firsts, "uid", "left_semi")
-    load = by_tokenizer(rows).select(F.lit("insert").alias("op"), "*", zero)
-    drop = by_tokenizer(copies).select(F.lit("delete").alias("op"), "*", zero)
-    clip = by_tokenizer(kept).filter(F.col("n_tokens") > longest).select(F.lit("revise").alias("op"), *GROUP, F.lit(longest).cast("long").alias("n_tokens"), F.col("n_tokens").alias("old_tokens"))
-    for batch, changes in (("1-load", load), ("2-copies", drop), ("3-clip", clip), ("2-copies", drop)):  # the last is a retry
-        rollup.commit(batch, changes)
-    return rollup.totals()
+    copies = by_tokenizer(rows.join(firsts, "uid", "left_anti"), tokenizers).select(F.lit("delete").alias("op"), "*", none)
+    rollup.commit("1-load", load)
+    rollup.commit("2-revise", seen.filter("n_tokens <> old_tokens"))
+    everything = stage(rollup.totals(), "totals", rollup.folder)
+    rollup.commit("3-copies", copies)
+    rollup.commit("3-copies", copies)  # a retry changes nothing
+    unique = rollup.totals().select(*[F.col(c).alias(f"u_{c}") for c in GROUP], F.col("n_docs").alias("unique_docs"), F.col("n_tokens").alias("unique_tokens"))
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"u_{c}"))
+    return everything.join(unique, same).select(*GROUP, "n_docs", "n_tokens", "unique_docs", "unique_tokens")

@@ -3,9 +3,9 @@ import random
 
 import pyarrow as pa
 
-from attesta.llm import fingerprints, packing, sharding, token_counts, urls
+from attesta.llm import _shared, fingerprints, packing, token_counts, urls
 from attesta.llm._text import Bytes, Words, shingles
-from tests.llm.common import LONG, empty, odd
+from tests.llm.common import empty, odd
 
 
 def test_words_and_shingles():
@@ -57,10 +57,28 @@ def test_rollup_is_idempotent(spark):
     assert rollup.commit("a", one) and not rollup.commit("a", one) and rollup.commit("b", two) and not rollup.commit("b", one)
     assert {tuple(r) for r in rollup.totals().collect()} == {("s", "en", "t", 1, 4), (None, None, "t", 1, 1)}
     one.write.parquet(f"{rollup.folder}/data/lost")
-    rollup.vacuum()
+    rollup.vacuum(hours=0)
     assert rollup.totals().count() == 2
+    assert rollup.fold() and not rollup.commit("a", one) and rollup.commit("c", one) and rollup.fold()
+    rollup.vacuum(hours=0)
+    assert {tuple(r) for r in rollup.totals().collect()} == {("s", "en", "t", 3, 19), (None, None, "t", 2, 2)}
+    assert len(_shared.names(spark, f"{rollup.folder}/data")) == 2  # the snapshot and its list
+
+
+def test_many_batches_are_folded(spark):
+    rollup = token_counts.Rollup(spark, fold_every=2)
+    kind = "op string, source int, lang string, tokenizer string, n_tokens long, old_tokens long"
+    for i in range(4):
+        assert rollup.commit(f"b{i}", spark.createDataFrame([("insert", 7, "en", "t", i, 0)], kind))
+    assert _shared.names(spark, f"{rollup.folder}/snapshots") == ["1"] and [tuple(r) for r in rollup.totals().collect()] == [("7", "en", "t", 4, 6)]
+
+
+def test_corpus_rollup_counts_whole_documents(spark):
     rows = token_counts.corpus_rollup(odd(spark)).collect()
-    assert sum(r.n_docs for r in rows if r.tokenizer == "words-1") == 7  # null and empty text are alike
+    words = [r for r in rows if r.tokenizer == "words-1"]
+    assert sum(r.n_docs for r in words) == 9 and sum(r.unique_docs for r in words) == 7  # null and empty text are alike
+    assert sum(r.n_tokens for r in words) == 6 + 80 + 80 + 82 + 5 + 16000 and sum(r.n_tokens - r.unique_tokens for r in words) == 80
+    assert sum(r.n_tokens for r in rows if r.tokenizer == "spaces-1") == 6 + 80 + 80 + 82 + 6 + 16000 + 3
     assert token_counts.corpus_rollup(empty(spark)).count() == 0
 
 
@@ -106,23 +124,3 @@ def test_packing_odd_rows(spark):
     rows = packing.pack(packing.document_lengths(odd(spark)), capacity=64).collect()
     assert sum(r.n_tokens for r in rows if r.doc_id == 7) == 16000 and len({r.bin_id for r in rows if r.doc_id == 4 and r.piece == 1}) == 2
     assert packing.pack(packing.document_lengths(empty(spark))).count() == 0
-
-
-def test_compaction_keeps_every_row(spark):
-    docs = spark.createDataFrame([(i, "x" * (i % 50 * 10)) for i in range(3000)] + [(None, "y"), (3000, None), (3001, "z" * 90_000), (5, "twice")], "doc_id long, text string")
-    store = sharding.ShardStore(spark, target_bytes=20_000, arrival_ids=20, scope_arrivals=16)
-    version = store.compact(store.append(docs))
-    rows = store.read().collect()
-    assert version == 1 and sorted((r.doc_id or -1, r.text or "") for r in rows) == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
-    sizes = {}
-    for r in rows:
-        sizes.setdefault(r.shard, set()).add(r["__arrival"])
-    arrivals = {a for s in sizes.values() for a in s}
-    assert len(arrivals) > 2 * len(sizes) and sum(len(s) for s in sizes.values()) == len(arrivals)  # an arrival is in one shard
-    assert store.publish("other", docs.schema) == 2 and store.read(1).count() == len(rows)
-
-
-def test_sharding_odd_rows(spark):
-    assert sharding.sharded(odd(spark)).count() == 9
-    assert sharding.sharded(empty(spark)).count() == 0
-    assert LONG
