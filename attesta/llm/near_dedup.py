@@ -1,19 +1,12 @@
-"""Near-duplicate classes by improved consistent weighted sampling.
+"""Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-Texts are bags of five-word shingles weighted by TF times a damped IDF
-((1 + log(N / df) / log N) ** IDF_POWER; document frequencies are counted over
-all documents, for hashed shingles). Each text gets ``SAMPLES`` consistent weighted samples;
-the least value of a sample's scale, with the hash of its shingle, stands for the
-sampled shingle and its level. Equal texts (in words) are one node. Nodes that share a band meet at the
-band's best-connected node and are verified by the weighted Jaccard similarity
-of the texts. Members of a band may be linked though its leader is linked to
-neither: in bands of up to SMALL_BAND nodes all pairs of different components
-are compared too, unless the triangle inequality or the total weights rule a
-link out. Larger bands first get LEADERS further leaders from outside the first leader's
-component, which decide most members at little cost; members of bands that still
-hold several components are then joined by the rare shingles that two texts of
-similarity THRESHOLD must share (prefix filtering by total weight), and every pair that
-this leaves is verified. No link between members of a band is given up.
+Texts are bags of five-word shingles weighted by TF times IDF (``linking.Weights``;
+document frequencies are counted over all documents, for hashed shingles). Each
+text gets ``SAMPLES`` consistent weighted samples; the least value of a sample's
+scale, with the hash of its shingle, stands for the sampled shingle and its level.
+Bands of ``ROWS`` samples are joined, and links between members of a band are
+verified by the weighted Jaccard similarity of the texts (module ``linking``).
+A class is a connected component of links.
 
 Defined cases: null and empty texts, and texts without words, are classes of
 their own rows and always kept; texts of one to four words are one shingle;
@@ -24,8 +17,6 @@ no member has an id.
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,37 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm._shared import release, shared_dir, stage
-from attesta.llm._text import U, Bytes, Words, mix, shingles, slices
-from attesta.llm.graph import connected_components
+from attesta.llm._text import U, mix, slices
+from attesta.llm.linking import Bags, document_frequencies, first_rows, links, node_classes
 
-WORDS, THRESHOLD = 5, 0.8
+THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-DF_SLOTS, TABLE = 1 << 18, 1 << 15
-FEATURE_BITS = 44
-#: Damps the IDF, so that in a group of thousands of near copies the edits do not outweigh what all share.
-IDF_POWER = 0.25
+TABLE = 1 << 15
 f4 = np.float32
 
 
-class Bags:
-    """Distinct shingles of texts with their counts: sorted ``feature``, ``tf``, bounds ``at``."""
-
-    def __init__(self, texts: pa.Array):
-        self.words = Words(Bytes(texts))
-        h, at = shingles(self.words, WORDS)
-        doc = np.repeat(np.arange(len(at) - 1, dtype=U), np.diff(at))
-        key = np.sort((doc << U(FEATURE_BITS)) | (h >> U(64 - FEATURE_BITS)))
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.tf = np.diff(np.concatenate((first, [len(key)])))
-        self.feature = key[first] & U((1 << FEATURE_BITS) - 1)
-        self.doc = (key[first] >> U(FEATURE_BITS)).astype(np.int64)
-        self.at = np.searchsorted(self.doc, np.arange(len(at)))
-
-    def slot(self) -> np.ndarray:
-        return (self.feature >> U(FEATURE_BITS - 18)).astype(np.int64)
-
-
 @lru_cache(maxsize=1)
 def _randoms() -> np.ndarray:
     """(TABLE, 3, SAMPLES): r and ln c are Gamma(2, 1) draws, b is uniform; a shingle's row is its hash."""
@@ -119,201 +89,23 @@ def bands(values: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-class Weights:
-    """Normalised IDF of hashed shingles."""
-
-    def __init__(self, n_docs: int, df: np.ndarray):
-        n = max(2, n_docs + 1)
-        self.idf = ((1 + np.log(n / np.minimum(df + 1, n)) / np.log(n)) ** IDF_POWER).astype(f4)
-        self.log_idf, self.log_tf = np.log(self.idf), np.log(np.arange(1, 1 << 16, dtype=f4))
-
-    def of(self, bags: Bags) -> np.ndarray:
-        return self.idf[bags.slot()].astype(np.float64) * bags.tf
-
-    def logs(self, bags: Bags) -> np.ndarray:
-        return self.log_idf[bags.slot()] + self.log_tf[np.minimum(bags.tf, len(self.log_tf)) - 1]
-
-
-def document_frequencies(documents: DataFrame) -> Weights:
-    """Counts of documents for DF_SLOTS hashed shingles: a table of fixed size reaches the driver."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(DF_SLOTS + 1, np.int64), 0
-        for batch in batches:
-            for b in slices(batch, "text"):
-                df[:DF_SLOTS] += np.bincount(Bags(b.column("text")).slot(), minlength=DF_SLOTS)
-                n += b.num_rows
-        df[DF_SLOTS] = n
-        slot = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(df[slot])], ["slot", "n"])
-
-    rows = documents.select("text").mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(DF_SLOTS + 1)
-    df[rows["slot"]] = rows["n"]
-    return Weights(int(df[DF_SLOTS]), df[:DF_SLOTS])
-
-
-def weighted_jaccard(weights: Weights, left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Sum of least over sum of greatest weights, of each pair of texts."""
-    a, b = Bags(left), Bags(right)
-    wa, wb = weights.of(a), weights.of(b)
-    key = np.concatenate([(x.doc.astype(U) << U(FEATURE_BITS)) | x.feature for x in (a, b)])
-    weight = np.concatenate((wa, wb))
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
-    same = np.flatnonzero(key[1:] == key[:-1])
-    pair = (key >> U(FEATURE_BITS)).astype(np.int64)
-    both = np.bincount(pair[same], np.minimum(weight[same], weight[same + 1]), minlength=len(left))
-    total = np.bincount(pair, weight, minlength=len(left))
-    return both / np.maximum(total - both, 1e-12)
-
-
 def sketched(documents: DataFrame, shared) -> DataFrame:
-    """(uid, doc_id, text_key, node, weight, bands) of each row; node is null without words."""
+    """(uid, doc_id, text_key, node, bands) of each row; node is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
             for b in slices(batch, "text"):
                 bags = Bags(b.column("text"))
-                h, at = bags.words.hash, bags.words.at
-                nodes = [hashlib.blake2b(h[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(at[:-1], at[1:], strict=True)]
-                w = weights.of(bags)
-                total = np.bincount(bags.doc, w, minlength=b.num_rows).astype(np.float64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands(samples(bags, weights.logs(bags))).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("text_key"), pa.array(nodes, pa.binary()), pa.array(total), lists], ["uid", "doc_id", "text_key", "node", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("text_key"), pa.array(bags.nodes(), pa.binary()), lists], ["uid", "doc_id", "text_key", "node", "bands"])
 
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "uid long, doc_id long, text_key long, node binary, weight double, bands array<long>")
-
-
-def node_texts(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, from the first row of each."""
-    named = nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")).join(wanted, "node")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return docs.join(named, docs.doc_id.eqNullSafe(F.col("first_id")) & (docs.text_key == F.col("first_key"))).select("node", "text")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """pairs (x, y) of nodes with their weighted Jaccard similarity ``sim``.
-
-    A node that meets many is repeated under salts, of about 256 pairs each.
-    """
-    salts = pairs.groupBy("y").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-    salted = pairs.join(salts, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
-    ys = texts.join(salts, texts.node == salts.y).select("y", F.col("text").alias("ty"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = salted.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(ys, ["y", "salt"]).select("x", "y", "tx", "ty")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "tx"):
-                for start in range(0, b.num_rows, 512):
-                    c = b.slice(start, 512)
-                    yield pa.RecordBatch.from_arrays([c.column("x"), c.column("y"), pa.array(weighted_jaccard(shared.value, c.column("tx"), c.column("ty")))], ["x", "y", "sim"])
-
-    return both.mapInArrow(run, "x binary, y binary, sim double").dropDuplicates(["x", "y"])
-
-
-#: Bands of at most so many nodes are compared pair by pair; larger ones by so many further leaders, then by shared prefixes.
-SMALL_BAND = 32
-LEADERS = 4
-#: Steps of total weight within a factor of the threshold, by which partners are told apart in the join of prefixes.
-STEPS = 4
-
-
-def _labelled(met: DataFrame, edges: DataFrame) -> DataFrame:
-    """met (band, n, x, y, weight) of bands that still hold several components, with each node's label."""
-    labels = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    placed = met.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    return placed.join(mixed, "band")
-
-
-def _small_pairs(mixed: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components of small bands that the leader's similarities and the weights do not rule out."""
-    rows = mixed.filter(F.col("n") <= SMALL_BAND).join(links, ["x", "y"], "left").filter("x <> y")
-    one = rows.select("band", F.col("x").alias("p"), F.col("label").alias("pl"), F.col("weight").alias("pw"), F.col("sim").alias("ps"))
-    two = rows.select("band", F.col("x").alias("q"), F.col("label").alias("ql"), F.col("weight").alias("qw"), F.col("sim").alias("qs"))
-    may = (F.col("pl") < F.col("ql")) & (F.abs(F.col("ps") - F.col("qs")) <= 1 - threshold + 1e-9) & (F.least("pw", "qw") >= threshold * F.greatest("pw", "qw") - 1e-9)
-    return one.join(two, "band").filter(may).select(F.col("p").alias("x"), F.col("q").alias("y")).distinct()
-
-
-def _leader_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
-    """Nodes of large bands next to LEADERS further leaders, drawn by hash outside the first leader's component."""
-    rows = mixed.filter(F.col("n") > SMALL_BAND)
-    first = rows.filter("x = y").select("band", F.col("label").alias("first_label"))
-    outside = rows.join(first, "band").filter("label <> first_label")
-    drawn = [F.min(F.struct(F.xxhash64("x", "band", F.lit(i)).alias("h"), "x", "label", "weight")) for i in range(LEADERS)]
-    leader = outside.groupBy("band").agg(F.array(*drawn).alias("ls")).select("band", F.explode(F.array_distinct(F.transform("ls", lambda v: F.struct(v["x"].alias("x"), v["label"].alias("label"), v["weight"].alias("weight"))))).alias("l"))
-    near = (F.col("label") != F.col("l.label")) & (F.least("weight", "l.weight") >= threshold * F.greatest("weight", "l.weight") - 1e-9)
-    return rows.join(leader, "band").filter(near).select("x", F.col("l.x").alias("y"))
-
-
-def prefixes(open_texts: DataFrame, shared, threshold: float) -> DataFrame:
-    """(x, label, weight, feature, own, other, rest) of open_texts (x, label, text): the shingles that may be
-    the rarest one that x shares with a similar text whose weight is in step ``other``.
-
-    Shingles of a text stand in one order for all texts, rare ones first; rest is the weight from there to the
-    end. Texts of weights v and w and similarity t share t / (1 + t) * (v + w), so the first shingle that they
-    share has at least that rest in both.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, step = shared.value, -np.log(threshold) / STEPS
-        for batch in batches:
-            for b in slices(batch, "text"):
-                bags = Bags(b.column("text"))
-                order = np.lexsort((bags.feature, -weights.idf[bags.slot()], bags.doc))
-                doc, feature, w = bags.doc[order], bags.feature[order], weights.of(bags)[order]
-                total = np.bincount(doc, w, minlength=b.num_rows)
-                run = np.cumsum(w)
-                before = np.concatenate(([0.0], run))[bags.at[:-1]]
-                rest = total[doc] - (run - w - before[doc])
-                own = np.floor(np.log(np.maximum(total, 1e-12)) / step).astype(np.int64)
-                for far in range(-STEPS - 1, STEPS + 2):
-                    least = np.maximum(np.exp((own + far) * step), threshold * total)
-                    need = threshold / (1 + threshold) * (total + least)
-                    i = np.flatnonzero(rest >= need[doc] * (1 - 1e-6))
-                    d = pa.array(doc[i])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("x").take(d), b.column("label").take(d), pa.array(total[doc[i]]), pa.array(feature[i].astype(np.int64)), pa.array(own[doc[i]]), pa.array(own[doc[i]] + far), pa.array(rest[i])],
-                        ["x", "label", "weight", "feature", "own", "other", "rest"],
-                    )
-
-    return open_texts.mapInArrow(run, "x binary, label binary, weight double, feature long, own long, other long, rest double")
-
-
-def _prefix_pairs(mixed: DataFrame, texts: DataFrame, shared, folder: str, threshold: float) -> DataFrame:
-    """All pairs (x, y) of different components in mixed that may be similar, whatever band they share."""
-    members = mixed.select("x", "label").distinct()
-    rows = stage(prefixes(texts.join(members, texts.node == members.x).select("x", "label", "text"), shared, threshold), "prefixes", folder)
-    one = rows.filter("own <= other").select("feature", F.col("own").alias("lo"), F.col("other").alias("hi"), *[F.col(c).alias(f"p_{c}") for c in ("x", "label", "weight", "rest")])
-    two = rows.filter("own >= other").select("feature", F.col("other").alias("lo"), F.col("own").alias("hi"), *[F.col(c).alias(f"q_{c}") for c in ("x", "label", "weight", "rest")])
-    need = F.lit(threshold / (1 + threshold) * (1 - 1e-6)) * (F.col("p_weight") + F.col("q_weight"))
-    near = F.least("p_weight", "q_weight") >= threshold * F.greatest("p_weight", "q_weight") * (1 - 1e-6)
-    may = (F.col("p_label") != F.col("q_label")) & ((F.col("lo") < F.col("hi")) | (F.col("p_x") < F.col("q_x"))) & near & (F.least("p_rest", "q_rest") >= need)
-    return one.join(two, ["feature", "lo", "hi"]).filter(may).select(F.least("p_x", "q_x").alias("x"), F.greatest("p_x", "q_x").alias("y")).distinct()
-
-
-class Texts:
-    """Texts of nodes, written once in buckets by node: joins on the node do not move them."""
-
-    def __init__(self, rows: DataFrame, folder: str):
-        self.spark, self.name, self.path = rows.sparkSession, f"texts_{uuid.uuid4().hex}", f"{folder}/texts"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        writer = rows.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node").option("compression", "zstd")
-        writer.option("path", self.path).saveAsTable(self.name)
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")
-        release(self.spark, self.path)
+    return rows.mapInArrow(run, "uid long, doc_id long, text_key long, node binary, bands array<long>")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, class_id, n_links, kept, repeat) of each row: its class and whether it stays.
+    """(doc_id, text_key, class_id, kept, repeat) of each row: its class and whether it stays.
 
     repeat: another row has the same id and text, so that these do not tell the rows apart.
     """
@@ -321,44 +113,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     folder = shared_dir(spark)
     shared = spark.sparkContext.broadcast(document_frequencies(documents))
     rows = stage(sketched(documents, shared), "rows", folder)
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), "uid", "doc_id", "text_key")).alias("first")
-    nodes = rows.filter("node is not null").groupBy("node").agg(first, F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    nodes = stage(nodes, "nodes", folder)
-    # members of bands with two nodes or more
-    each = nodes.select("node", "weight", F.explode("bands").alias("band"))
-    sizes = each.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stage(each.join(sizes, "band"), "members", folder)
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "node")
-    leaders = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("y"))
-    met = stage(members.join(leaders, "band").select("band", "n", F.col("node").alias("x"), "y", "weight"), "met", folder)
-    release(spark)
-    texts = Texts(node_texts(nodes, members.select("node").distinct(), documents), folder)
+    nodes = stage(first_rows(rows), "nodes", folder)
+    classes = node_classes(nodes, links(nodes, documents, shared, threshold, folder))
     release(spark)
-    links = stage(verified(met.filter("x <> y").select("x", "y").distinct(), texts.table(), shared), "links", folder)
-    release(spark)
-    edges = links.filter(F.col("sim") >= threshold)
-    # what the first leaders have not decided
-    mixed = stage(_labelled(met, edges), "mixed", folder)
-    rest = stage(_small_pairs(mixed, links, threshold).unionByName(_leader_pairs(mixed, threshold)).distinct(), "rest", folder)
-    new = stage(verified(rest, texts.table(), shared).filter(F.col("sim") >= threshold), "new", folder)
-    edges = edges.unionByName(new)
-    # members of large bands that the leaders have not joined
-    open_bands = stage(_labelled(met.filter(F.col("n") > SMALL_BAND), edges), "open", folder)
-    close = stage(_prefix_pairs(open_bands, texts.table(), shared, folder, threshold), "close", folder)
-    release(spark, f"{folder}/prefixes")
-    last = stage(verified(close, texts.table(), shared).filter(F.col("sim") >= threshold), "last", folder)
-    texts.drop()
-    edges = edges.unionByName(last)
-    labels = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    release(spark, f"{folder}/members", f"{folder}/met")
-    ends = edges.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.select("node", "first").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = named.groupBy("label").agg(F.min("first").alias("kept"))
-    named = named.join(classes, "label").select("node", F.col("kept.doc_id").alias("class_id"), F.col("kept.uid").alias("class_uid"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("uid", "doc_id", "text_key", "node").join(named, "node", "left")
-    alone = F.col("class_uid").isNull()
-    kept = alone | (F.col("uid") == F.col("class_uid"))
+    out = rows.select("uid", "doc_id", "text_key", "node").join(classes, "node", "left")
     again = rows.filter("node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
     out = out.join(again, out.doc_id.eqNullSafe(again.again_id) & (out.text_key == again.again_key), "left")
-    return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"), F.col("again_key").isNotNull().alias("repeat"))
+    alone = F.col("class_uid").isNull()
+    kept = alone | (F.col("uid") == F.col("class_uid"))
+    return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"), F.col("again_key").isNotNull().alias("repeat"))

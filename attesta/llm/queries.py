@@ -27,7 +27,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, its class (the least doc_id of the class), links to other texts, whether it stays."""
+    """doc_id, its class (the least doc_id of the class), whether it stays."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "repeat")
 
 

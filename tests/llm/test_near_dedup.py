@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from attesta.llm import linking as L
 from attesta.llm import near_dedup as N
 from attesta.llm.graph import connected_components
 from tests.llm.common import empty, odd
@@ -59,16 +60,6 @@ def test_classes_are_those_of_all_pairs(spark):
     assert sum(r.kept for r in got.values()) == len({r.class_id for r in got.values()})
 
 
-def test_large_bands_use_further_leaders(spark, monkeypatch):
-    monkeypatch.setattr(N, "SMALL_BAND", 2)
-    docs = corpus(4)
-    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    monkeypatch.undo()
-    want = {r.doc_id: r.class_id for r in N.near_duplicates(d).collect()}
-    monkeypatch.setattr(N, "SMALL_BAND", 2)
-    assert {r.doc_id: r.class_id for r in N.near_duplicates(d).collect()} == want
-
-
 def test_odd_rows(spark):
     rows = N.near_duplicates(odd(spark)).collect()
     assert len(rows) == 9
@@ -131,8 +122,24 @@ def test_large_bands_lose_no_link(spark, monkeypatch):
 def test_long_texts_without_common_shingles_share_no_band():
     rng = random.Random(3)
     texts = [" ".join(f"{side}{rng.randrange(10**9)}" for _ in range(60_000)) for side in "ab"]
-    weights = N.Weights(2, N.np.ones(N.DF_SLOTS))
+    weights = L.Weights(2, N.np.ones(L.SLOTS))
     bags = N.Bags(pa.array([*texts, texts[0] + " more"]))
     a, b, c = N.bands(N.samples(bags, weights.logs(bags)))
     assert not set(a.tolist()) & set(b.tolist())
     assert len(set(a.tolist()) & set(c.tolist())) > N.BANDS // 2
+
+
+def test_repeated_rows_bring_one_text(spark):
+    docs = corpus(6)[:30]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(docs) for _ in range(5)], "doc_id long, text string")
+    once = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    got = N.near_duplicates(d).collect()
+    assert len(got) == 150 and {r.doc_id: r.class_id for r in got} == once and sum(r.kept for r in got) == len(set(once.values()))
+
+
+def test_weights_are_inverse_document_frequencies():
+    df = N.np.zeros(L.SLOTS)
+    df[:3] = 1, 10, 1000
+    assert N.np.allclose(L.Weights(1000, df).idf[:4], [1 + N.np.log(1000), 1 + N.np.log(100), 1, 1 + N.np.log(1000)])
+    crowded = df + 50  # every slot holds as many others
+    assert N.np.allclose(L.Weights(1000, crowded).idf[:3], L.Weights(1000, df).idf[:3])
