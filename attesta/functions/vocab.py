@@ -13,10 +13,10 @@ from attesta.functions.text import norm_field, text_of
 # The categories, names, patterns and synonyms below define results.
 
 CATEGORIES = {
-    "biomarker": "lactate, il-6, il6, interleukin-6, crp, c-reactive protein, procalcitonin, pct, presepsin, lymphocyte count, lymphocytes, neutrophil count, neutrophils, platelets, white blood cells, wbc, creatinine, bilirubin, ddimer, d-dimer, ferritin",
-    "score": "sofa, apache ii, apache-ii, apacheii, saps, saps ii, qsofa, news, news2, mews, sirs",
-    "demographic": "age, sex, gender, race, ethnicity, bmi",
-    "physiologic": "heart rate, hr, respiratory rate, rr, blood pressure, map, mean arterial pressure, temperature, spo2, oxygen saturation, gcs, glasgow coma scale",
+    "biomarker": ("lactate", "il-6", "il6", "interleukin-6", "crp", "c-reactive protein", "procalcitonin", "pct", "presepsin", "lymphocyte count", "lymphocytes", "neutrophil count", "neutrophils", "platelets", "white blood cells", "wbc", "creatinine", "bilirubin", "ddimer", "d-dimer", "ferritin"),
+    "score": ("sofa", "apache ii", "apache-ii", "apacheii", "saps", "saps ii", "qsofa", "news", "news2", "mews", "sirs"),
+    "demographic": ("age", "sex", "gender", "race", "ethnicity", "bmi"),
+    "physiologic": ("heart rate", "hr", "respiratory rate", "rr", "blood pressure", "map", "mean arterial pressure", "temperature", "spo2", "oxygen saturation", "gcs", "glasgow coma scale"),
 }
 
 METHODS = (
@@ -55,56 +55,56 @@ SETTINGS = (
 )
 
 PREDICTORS = {
-    "lactate": "lactate, lac, serum lactate, blood lactate",
-    "qSOFA": "qsofa, quick sofa, q-sofa",
-    "SOFA": "sofa, sofa score, sequential organ failure assessment",
-    "APACHE_II": "apache ii, apache 2, apache-ii, apache ii score",
-    "APACHE_IV": "apache iv, apache 4, apache-iv",
-    "SAPS_II": "saps ii, saps 2, saps-ii, simplified acute physiology score ii",
-    "APS_III": "aps iii, aps 3, aps-iii",
-    "OASIS": "oasis",
-    "SIRS": "sirs, systemic inflammatory response syndrome",
-    "LODS": "lods, logistic organ dysfunction",
-    "MEWS": "mews",
-    "NEWS": "news",
-    "SMRS": "smrs",
-    "age": "age",
-    "sex": "sex, gender, male, female",
-    "race": "race, ethnicity",
-    "DBP": "dbp, diastolic blood pressure",
-    "SBP": "sbp, systolic blood pressure",
-    "MAP": "map, mean arterial pressure",
-    "respiratory_rate": "respiratory rate, resp rate, rr",
-    "ALP": "alp, alkaline phosphatase",
-    "LDH": "ldh, lactate dehydrogenase",
-    "CK": "ck, creatine kinase",
-    "RBC": "rbc, red blood cell",
-    "albumin": "albumin",
-    "hemoglobin": "hemoglobin, hb, hgb",
-    "potassium": "potassium, k+",
-    "calcium": "calcium, ca2+",
-    "mechanical_ventilation": "mechanical ventilation, mech vent, ventilation",
-    "vasopressor": "vasopressor, vasopressors, noradrenaline, norepinephrine",
-    "EDV": "edv, end-diastolic velocity, end diastolic velocity",
-    "PSV": "psv, peak systolic velocity",
-    "RI": "resistive index",
-    "IL-6": "il-6, il 6, il_6, interleukin-6, interleukin 6, interleukin6",
-    "IL-8": "il-8, il 8, il_8, interleukin-8, interleukin 8",
-    "IL-10": "il-10, il 10, il_10, interleukin-10, interleukin 10",
-    "PCT": "pct, procalcitonin",
-    "CRP": "crp, c-reactive protein, c reactive protein",
-    "WBC": "wbc, white blood cell, white blood cell count, leukocyte",
+    "lactate": ("lactate", "lac", "serum lactate", "blood lactate"),
+    "qSOFA": ("qsofa", "quick sofa", "q-sofa"),
+    "SOFA": ("sofa", "sofa score", "sequential organ failure assessment"),
+    "APACHE_II": ("apache ii", "apache 2", "apache-ii", "apache ii score"),
+    "APACHE_IV": ("apache iv", "apache 4", "apache-iv"),
+    "SAPS_II": ("saps ii", "saps 2", "saps-ii", "simplified acute physiology score ii"),
+    "APS_III": ("aps iii", "aps 3", "aps-iii"),
+    "OASIS": ("oasis",),
+    "SIRS": ("sirs", "systemic inflammatory response syndrome"),
+    "LODS": ("lods", "logistic organ dysfunction"),
+    "MEWS": ("mews",),
+    "NEWS": ("news",),
+    "SMRS": ("smrs",),
+    "age": ("age",),
+    "sex": ("sex", "gender", "male", "female"),
+    "race": ("race", "ethnicity"),
+    "DBP": ("dbp", "diastolic blood pressure"),
+    "SBP": ("sbp", "systolic blood pressure"),
+    "MAP": ("map", "mean arterial pressure"),
+    "respiratory_rate": ("respiratory rate", "resp rate", "rr"),
+    "ALP": ("alp", "alkaline phosphatase"),
+    "LDH": ("ldh", "lactate dehydrogenase"),
+    "CK": ("ck", "creatine kinase"),
+    "RBC": ("rbc", "red blood cell"),
+    "albumin": ("albumin",),
+    "hemoglobin": ("hemoglobin", "hb", "hgb"),
+    "potassium": ("potassium", "k+"),
+    "calcium": ("calcium", "ca2+"),
+    "mechanical_ventilation": ("mechanical ventilation", "mech vent", "ventilation"),
+    "vasopressor": ("vasopressor", "vasopressors", "noradrenaline", "norepinephrine"),
+    "EDV": ("edv", "end-diastolic velocity", "end diastolic velocity"),
+    "PSV": ("psv", "peak systolic velocity"),
+    "RI": ("resistive index",),
+    "IL-6": ("il-6", "il 6", "il_6", "interleukin-6", "interleukin 6", "interleukin6"),
+    "IL-8": ("il-8", "il 8", "il_8", "interleukin-8", "interleukin 8"),
+    "IL-10": ("il-10", "il 10", "il_10", "interleukin-10", "interleukin 10"),
+    "PCT": ("pct", "procalcitonin"),
+    "CRP": ("crp", "c-reactive protein", "c reactive protein"),
+    "WBC": ("wbc", "white blood cell", "white blood cell count", "leukocyte"),
 }
 
 WINDOWS = (("28-day", 28), ("28 day", 28), ("30-day", 30), ("30 day", 30), ("60-day", 60), ("90-day", 90), ("180-day", 180), ("1-year", 365), ("one-year", 365), ("365-day", 365))
 
 OUTCOMES = {
-    "ICU": "in-icu, in icu, icu, icu mortality, in-icu mortality, in icu mortality",
-    "HOSPITAL": "in-hospital, in hospital, hospital mortality, in-hospital mortality, in hospital mortality",
-    "28D": "28-day, 28 day, 28d, 28-day mortality, 28 day mortality",
-    "30D": "30-day, 30 day, 30d, 30-day mortality, 30 day mortality",
-    "90D": "90-day, 90 day, 90d, 90-day mortality, 90 day mortality",
-    "1Y": "1-year, 1 year, one-year, one year, 365-day, 1-year mortality, one-year mortality, one year mortality",
+    "ICU": ("in-icu", "in icu", "icu", "icu mortality", "in-icu mortality", "in icu mortality"),
+    "HOSPITAL": ("in-hospital", "in hospital", "hospital mortality", "in-hospital mortality", "in hospital mortality"),
+    "28D": ("28-day", "28 day", "28d", "28-day mortality", "28 day mortality"),
+    "30D": ("30-day", "30 day", "30d", "30-day mortality", "30 day mortality"),
+    "90D": ("90-day", "90 day", "90d", "90-day mortality", "90 day mortality"),
+    "1Y": ("1-year", "1 year", "one-year", "one year", "365-day", "1-year mortality", "one-year mortality", "one year mortality"),
 }
 
 ABBREVIATIONS = {
@@ -129,7 +129,7 @@ def predictor_category(c: Column) -> Column:
     key = F.lower(F.trim(text_of(c)))
     out = F.when(key == "", "other")
     for name, words in CATEGORIES.items():
-        out = out.when(key.isin(*words.split(", ")), name)
+        out = out.when(key.isin(*words), name)
     return out.otherwise("other")
 
 
@@ -152,9 +152,9 @@ def care_setting(*texts: Column) -> Column:
     return F.coalesce(*[_first(t, SETTINGS) for t in texts], F.lit("unknown"))
 
 
-def any_synonym(words: str) -> str:
+def any_synonym(words: tuple[str, ...]) -> str:
     """Pattern that finds any of the words, bounded by other characters than letters and digits."""
-    return "|".join(_bounded(w) for w in words.split(", "))
+    return "|".join(_bounded(w) for w in words)
 
 
 def mentioned_predictor(c: Column) -> Column:
@@ -181,8 +181,8 @@ def outcome_class(c: Column) -> Column:
     short = F.trim(F.regexp_replace(n, r"\s*mortality\s*$", ""))
     whole, trimmed, part = F.when(n == "", ""), F.when(n == "", ""), F.when(n == "", "")
     for name, words in OUTCOMES.items():
-        whole, trimmed = whole.when(n.isin(*words.split(", ")), name), trimmed.when(short.isin(*words.split(", ")), name)
-        part = part.when(n.rlike("|".join(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" for w in words.split(", "))), name)
+        whole, trimmed = whole.when(n.isin(*words), name), trimmed.when(short.isin(*words), name)
+        part = part.when(n.rlike("|".join(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" for w in words)), name)
     return F.coalesce(whole, trimmed, part, n)
 
 

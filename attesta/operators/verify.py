@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.effects import parse_effect
+from attesta.functions.effects import with_parsed
 from attesta.functions.text import cohort_size, text_of
 
 FIELDS = ("effect_value", "ci_lo", "ci_hi", "p_value", "auc", "auc_ci_lo", "auc_ci_hi", "sens", "spec", "ppv", "npv", "c_index")
@@ -19,7 +19,7 @@ def span_numbers(c: Column) -> Column:
 
 def atoms(rows: DataFrame, span: str = "span") -> DataFrame:
     """Adds atoms: array of (field, state) for every field that the claim has."""
-    rows = rows.withColumns({"__n": span_numbers(F.col(span)), "__p": parse_effect(F.col(span))})
+    rows = with_parsed(rows.withColumn("__n", F.array_distinct(span_numbers(F.col(span)))), span, "__p")
 
     def near(v: Column) -> Column:
         return F.exists("__n", lambda x: F.abs(x - v) < 1e-3)

