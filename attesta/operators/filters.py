@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import text_of
@@ -82,14 +82,29 @@ def capped(rows: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def scope_rows(rows: DataFrame, refs: DataFrame, held_out: DataFrame | None = None) -> DataFrame:
-    """Rows whose paper_ref and cohort_id hold a reference (column ref), case-insensitively, and no held-out one."""
-    name = F.lower(F.concat_ws(" ", "paper_ref", "cohort_id"))
-    rows = rows.join(F.broadcast(refs.select(F.lower("ref").alias("__ref"))), name.contains(F.col("__ref")), "left_semi")
+    """Rows whose paper_ref and cohort_id hold a reference (column ref), case-insensitively, and no held-out one.
+
+    Names repeat over many rows, so the distinct names are tested, and rows are kept by an equi-join on the name.
+    """
+    rows = rows.withColumn("__name", F.lower(F.concat_ws(" ", "paper_ref", "cohort_id")))
+    names = rows.select("__name").distinct()
+    names = names.join(refs.select(F.lower("ref").alias("__ref")), F.col("__name").contains(F.col("__ref")), "left_semi")
     if held_out is not None:
-        rows = rows.join(F.broadcast(held_out.select(F.lower("ref").alias("__ref"))), name.contains(F.col("__ref")), "left_anti")
-    return rows
+        names = names.join(held_out.select(F.lower("ref").alias("__ref")), F.col("__name").contains(F.col("__ref")), "left_anti")
+    return rows.join(names, "__name", "left_semi").drop("__name")
+
+
+def key_hashes(keys: list[Column]) -> list[Column]:
+    """128 bits that stand for the values of the keys, NULLs included."""
+    told = [x for k in keys for x in (k.isNull(), k)]
+    return [F.xxhash64(*told).alias("__h1"), F.xxhash64(F.lit("second"), *told).alias("__h2")]
 
 
 def first_by(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__nth = 1").drop("__nth")
+    """The first row of each key, by ascending order, then row_id, which tells rows apart.
+
+    Winners are found on hashes of the key and narrow orders, with partial combine: no window over a hot key.
+    """
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "row_id")
+    won = rows.select(*key_hashes(keys), place.alias("place")).groupBy("__h1", "__h2").agg(F.min("place").alias("first"))
+    return rows.join(won.select("first.row_id"), "row_id", "left_semi")
