@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DASHES = "‐‑‒–—―−"
 SPACES = "              　"
@@ -28,15 +32,26 @@ def norm_predictor(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text_of(c)), "[^a-z0-9]+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form; only texts with other characters than ASCII leave the JVM, in Arrow batches."""
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
+
+
 def norm_anchor(c: Column) -> Column:
-    """Exotic spaces and dashes made plain, thousands commas removed, collapsed, lower-cased."""
-    plain = F.translate(text_of(c), SPACES + DASHES, " " * len(SPACES) + "-" * len(DASHES))
+    """NFKC, exotic spaces and dashes made plain, thousands commas removed, collapsed, lower-cased."""
+    plain = F.translate(nfkc(text_of(c)), SPACES + DASHES, " " * len(SPACES) + "-" * len(DASHES))
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?<=\d),(?=\d{3})", ""), r"\s+", " ")))
 
 
 def norm_field(c: Column) -> Column:
-    """Dashes unified, lower case, year ranges with a hyphen, trailing punctuation dropped."""
-    plain = F.lower(F.trim(F.translate(text_of(c), DASHES, "-" * len(DASHES))))
+    """NFKC, dashes unified, lower case, year ranges with a hyphen, trailing punctuation dropped."""
+    plain = F.lower(F.trim(F.translate(nfkc(text_of(c)), DASHES, "-" * len(DASHES))))
     ranged = F.regexp_replace(plain, r"(\d{4})\s*to\s*(\d{4})", "$1-$2")
     return F.regexp_replace(F.regexp_replace(ranged, r"\s+", " "), "[.,;:]+$", "")
 

@@ -73,30 +73,54 @@ def demote_unresolved(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"rationale": F.when(lost, tagged).otherwise(F.col("rationale")), "verifier_verdict": F.when(lost, "partial").otherwise(F.col("verifier_verdict"))})
 
 
-def anchor_audit(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows per status of (row_id, page) before and after: gain, lost, changed, unchanged, none."""
-    both = old.select("row_id", F.col("page").alias("a")).join(new.select("row_id", F.col("page").alias("b")), "row_id", "full")
-    a, b = F.col("a"), F.col("b")
-    status = F.when(a.isNull() & b.isNull(), "none").when(a.isNull(), "gain").when(b.isNull(), "lost").when(a != b, "changed").otherwise("unchanged")
-    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+def _resolved(old: DataFrame, hits: DataFrame) -> DataFrame:
+    """Old rows with status: gain, lost, changed (a box moved by a point or more), unchanged or missed."""
+
+    def box(c: str) -> Column:
+        return F.transform(F.split(F.col(c), ","), lambda x: x.try_cast("double"))
+
+    rows = old.join(hits.select("row_id", F.col("bbox").alias("__bbox"), F.lit(True).alias("__hit")), "row_id", "left")
+    had, hit = text_of(F.col("bbox")).isin("", "null") == F.lit(False), F.col("__hit").isNotNull()
+    moved = F.exists(F.zip_with(box("bbox"), box("__bbox"), lambda x, y: F.abs(x - y) >= 1.0), lambda x: F.coalesce(x, F.lit(False)))
+    status = F.when(had & ~hit, "lost").when(had & F.coalesce(moved, F.lit(False)), "changed").when(had, "unchanged").when(hit, "gain").otherwise("missed")
+    return rows.withColumn("status", status).drop("__bbox", "__hit")
+
+
+def anchor_audit(old: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per table of old rows (row_id, table, bbox) against resolved hits (row_id, bbox): rows of each status, and
+    preserved ones, which are those that had a box and still have a hit."""
+    names = ("gain", "lost", "changed", "unchanged", "missed")
+    counts = [F.count_if(F.col("status") == n).alias(f"n_{n}") for n in names]
+    return _resolved(old, hits).groupBy("table").agg(*counts).withColumn("n_preserved", F.col("n_changed") + F.col("n_unchanged"))
+
+
+def top_gains(old: DataFrame, hits: DataFrame, held_out: DataFrame, k: int = 15) -> DataFrame:
+    """(paper, n_gain): the papers with most new anchors, without the held-out ones (column paper)."""
+    won = _resolved(old, hits).filter("status = 'gain'").groupBy("paper").agg(F.count("*").alias("n_gain"))
+    return won.join(held_out.select("paper"), "paper", "left_anti").orderBy(F.desc("n_gain"), "paper").limit(k)
+
+
+TABLE_KEY = ("doc_id", "caption", "table")
+BOX = ("x0", "y0", "x1", "y1")
 
 
 def row_union(cells: DataFrame) -> DataFrame:
-    """(table, row, text, x0, y0, x1, y1) of cells (table, row, col, text, x0, y0, x1, y1)."""
+    """(doc_id, caption, table, row, text, x0, y0, x1, y1, page) of cells of these and col."""
     box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
-    out = cells.groupBy("table", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"), *box)
+    out = cells.groupBy(*TABLE_KEY, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"), *box, F.min("page").alias("page"))
     return out.withColumn("text", F.array_join("c.text", " ")).drop("c")
 
 
 def slabs(rows: DataFrame, most: int = 3) -> DataFrame:
-    """Unions of 2 to ``most`` consecutive rows of a table: (table, row, n, text, box)."""
-    order = Window.partitionBy("table").orderBy("row")
+    """Unions of 2 to ``most`` consecutive rows of a table: (doc_id, caption, table, row, n, text, box)."""
+    order = Window.partitionBy(*TABLE_KEY).orderBy("row")
     parts = []
     for n in range(2, most + 1):
-        ahead = [F.lead(F.struct("row", "text", "x0", "y0", "x1", "y1"), i).over(order) for i in range(1, n)]
+        ahead = [F.lead(F.struct("row", "text", *BOX), i).over(order) for i in range(1, n)]
         wide = rows.withColumns({f"r{i}": a for i, a in enumerate(ahead, 1)}).filter(F.col(f"r{n - 1}.row") == F.col("row") + n - 1)
         every = lambda c, n=n: [F.col(c), *[F.col(f"r{i}.{c}") for i in range(1, n)]]
-        parts.append(wide.select("table", "row", F.lit(n).alias("n"), F.concat_ws(" ", *every("text")).alias("text"), F.least(*every("x0")).alias("x0"), F.least(*every("y0")).alias("y0"), F.greatest(*every("x1")).alias("x1"), F.greatest(*every("y1")).alias("y1")))
+        box = [(F.least if c in ("x0", "y0") else F.greatest)(*every(c)).alias(c) for c in BOX]
+        parts.append(wide.select(*TABLE_KEY, "row", F.lit(n).alias("n"), F.concat_ws(" ", *every("text")).alias("text"), *box))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -118,19 +142,39 @@ def caption_matches(a: Column, b: Column) -> Column:
 def cross_page_slabs(rows: DataFrame) -> DataFrame:
     """Pairs of the last row of a page and the first of the next under one caption: text of both, box of the first."""
     rows = rows.withColumn("canon", F.lower(strip_continued(F.col("caption"))))
-    order = Window.partitionBy("doc_id", "canon").orderBy("page", "row")
-    nxt = F.lead(F.struct("page", "text")).over(order)
-    wide = rows.withColumn("nxt", nxt).filter(F.col("nxt.page") == F.col("page") + 1)
-    return wide.select("doc_id", "canon", "page", "row", F.concat_ws(" ", "text", "nxt.text").alias("text"), "x0", "y0", "x1", "y1")
+    order = Window.partitionBy("doc_id", "canon").orderBy("page", "table", "row")
+    wide = rows.withColumn("nxt", F.lead(F.struct("page", "text")).over(order)).filter(F.col("nxt.page") == F.col("page") + 1)
+    return wide.select(*TABLE_KEY, "row", F.lit(2).alias("n"), F.concat_ws(" ", "text", "nxt.text").alias("text"), *BOX, "canon", "page")
+
 
+def _in_scope(anchors: DataFrame, rows: DataFrame, only_named: bool = False) -> DataFrame:
+    """Pairs of anchors (anchor_id, doc_id, anchor, anchor_caption) and rows of their document: of the named
+    caption; without a name, if its tables have one caption only, of that (never, if ``only_named``)."""
+    named = text_of(F.col("anchor_caption")) != ""
+    if only_named:
+        pairs, ok = anchors.join(rows, "doc_id"), F.lit(False)
+    else:
+        one = rows.groupBy("doc_id").agg((F.countDistinct(F.lower(strip_continued(F.col("caption")))) <= 1).alias("__one"))
+        pairs, ok = anchors.join(one, "doc_id").join(rows, "doc_id"), F.col("__one")
+    return pairs.filter(F.when(named, caption_matches(F.col("caption"), F.col("anchor_caption"))).otherwise(ok)).drop("__one")
 
-def slab_hits(anchors: DataFrame, wide: DataFrame) -> DataFrame:
-    """(anchor_id, row, n): the smallest slab of the anchor's table that holds it, or 0.8 of its words."""
-    a, s = anchors.withColumn("aw", words(F.col("anchor"))), wide.withColumn("sw", words(F.col("text")))
+
+def _slab_hits(anchors: DataFrame, wide: DataFrame) -> DataFrame:
+    pairs = _in_scope(anchors, wide).withColumns({"aw": words(F.col("anchor")), "sw": words(F.col("text"))})
     cover = F.size(F.array_intersect("aw", "sw")) / F.greatest(F.size("aw"), F.lit(1))
-    ok = norm_anchor(F.col("text")).contains(norm_anchor(F.col("anchor"))) | (cover >= 0.8)
-    best = a.join(s, "table").filter(ok).groupBy("anchor_id").agg(F.min(F.struct("n", "row")).alias("b"))
-    return best.select("anchor_id", "b.row", "b.n")
+    needle = norm_anchor(F.col("anchor"))
+    ok = (needle != "") & (norm_anchor(F.col("text")).contains(needle) | (cover >= 0.8))
+    best = pairs.filter(ok).groupBy("anchor_id").agg(F.min(F.struct("n", "table", "row", *BOX)).alias("b"))
+    return best.select("anchor_id", "b.*")
+
+
+def slab_hits(anchors: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
+    """(anchor_id, kind, n, table, row, box): the smallest union of consecutive rows, in the scope of the anchor's
+    caption, that holds the anchor or 0.8 of its words; where there is none, such a union across two pages."""
+    first = _slab_hits(anchors, slabs(rows, most))
+    rest = anchors.join(first.select("anchor_id"), "anchor_id", "left_anti")
+    second = _slab_hits(rest, cross_page_slabs(rows).drop("canon", "page"))
+    return first.withColumn("kind", F.lit("rows")).unionByName(second.withColumn("kind", F.lit("pages")))
 
 
 def numbers(c: Column) -> Column:
@@ -139,12 +183,13 @@ def numbers(c: Column) -> Column:
 
 
 def fingerprint_hits(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """(anchor_id, row): the one row of the anchor's table that holds all of its three or more numbers with the fewest others."""
+    """(anchor_id, table, row): the one row under the anchor's caption that holds all of its three or more numbers
+    with the fewest others."""
     a, r = anchors.withColumn("an", numbers(F.col("anchor"))).filter(F.size("an") >= 3), rows.withColumn("rn", numbers(F.col("text")))
-    held = a.join(r, "table").filter(F.size(F.array_except("an", "rn")) == 0).withColumn("extra", F.size(F.array_except("rn", "an")))
-    per = held.groupBy("anchor_id", "extra").agg(F.count("*").alias("n"), F.min("row").alias("row"))
-    best = per.groupBy("anchor_id").agg(F.min(F.struct("extra", "n", "row")).alias("b"))
-    return best.filter("b.n = 1").select("anchor_id", "b.row")
+    held = _in_scope(a, r, only_named=True).filter(F.size(F.array_except("an", "rn")) == 0).withColumn("extra", F.size(F.array_except("rn", "an")))
+    per = held.groupBy("anchor_id", "extra").agg(F.count("*").alias("n"), F.min(F.struct("table", "row")).alias("at"))
+    best = per.groupBy("anchor_id").agg(F.min(F.struct("extra", "n", "at")).alias("b"))
+    return best.filter("b.n = 1").select("anchor_id", "b.at.*")
 
 
 def screen_box(rows: DataFrame, height: float = 792.0) -> DataFrame:

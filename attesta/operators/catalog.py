@@ -82,3 +82,46 @@ def evidence_order(key: str, descending: bool = False) -> list[Column]:
     else:
         value = F.lower(text_of(F.col(key)))
     return [value.desc() if descending else value.asc(), F.col("row_id")]
+
+
+def phenotype_diagnostics(summaries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Anchors and verdicts of phenotype facts (study, anchor_page, verifier_verdict), summaries and clusters
+    together: a row for each study and one, with study NULL, for all."""
+    columns = ("study", "anchor_page", "verifier_verdict")
+    facts = summaries.select(*columns).unionByName(clusters.select(*columns))
+    facts = facts.withColumns({"anchored": F.col("anchor_page").isNotNull(), "bucket": bucket(F.col("verifier_verdict"))})
+    counts = [F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in BUCKETS]
+    out = facts.groupingSets([["study"], []], "study").agg(F.count("*").alias("n"), F.count_if("anchored").alias("n_anchored"), *counts, F.grouping("study").alias("g"))
+    share = F.try_divide(F.col("n_anchored").cast("double"), F.col("n"))
+    return out.select("study", (F.col("g") == 1).alias("overall"), "n", "n_anchored", share.alias("anchor_rate"), *[f"n_{b}" for b in BUCKETS])
+
+
+def quality_rates(rows: DataFrame, by: list[str], tolerance: float = 0.01) -> DataFrame:
+    """Per group: share of rows with a bound anchor, share of stored boxes (bbox_text) that agree with the
+    resolved one (found_bbox) in all four numbers, share of rejected rows. NULL without any to judge."""
+
+    def box(c: str):
+        return F.transform(F.split(F.col(c), ","), lambda x: x.try_cast("double"))
+
+    near = F.zip_with(box("anchor_bbox"), box("found_bbox"), lambda a, b: F.abs(a - b) <= tolerance)
+    both = F.col("anchor_bbox").isNotNull() & F.col("found_bbox").isNotNull()
+    agree = F.size(box("anchor_bbox")) == 4
+    agree = agree & F.forall(near, lambda x: F.coalesce(x, F.lit(False)))
+    rejected = F.lower(F.trim(text_of(F.col("verifier_verdict")))) == "reject"
+    return rows.groupBy(*by).agg(
+        F.avg(F.col("anchor_page").isNotNull().cast("double")).alias("bound_rate"),
+        F.avg(F.when(both, agree.cast("double"))).alias("bbox_rate"),
+        F.avg(rejected.cast("double")).alias("reject_rate"),
+    )
+
+
+def export_manifest(rows: DataFrame, content: list[str], generated_at: str, version: str = "1") -> DataFrame:
+    """One row: rows, papers, a hash of the content columns that no order of rows changes, time and version.
+
+    The hash is the exclusive or of 48 bits of each row's MD5, and their sum modulo 2 to the 31: equal rows
+    that come in pairs still count.
+    """
+    text = F.concat_ws("\x1f", *[text_of(F.col(c)) for c in content])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
+    out = rows.agg(F.count("*").alias("n_rows"), F.countDistinct("paper_ref").alias("n_papers"), F.bit_xor(bits).alias("x"), F.sum(F.pmod(bits, F.lit(2**31))).alias("s"))
+    return out.select("n_rows", "n_papers", F.concat_ws("-", F.coalesce("x", F.lit(0)), F.pmod(F.coalesce("s", F.lit(0)), F.lit(2**31))).alias("content"), F.lit(generated_at).alias("generated_at"), F.lit(version).alias("schema_version"))

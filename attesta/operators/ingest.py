@@ -54,10 +54,15 @@ def ingest_responses(raw: DataFrame, schema: str = "k int, score double, verdict
     return rows.withColumns({"k": F.col("__j.k"), "verdict": verdict, "score": score, "reason": reason}).drop("__j")
 
 
-def ingest_phenotypes(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(summaries, clusters) of positive classifications (study, positive, clusters array)."""
+def ingest_phenotypes(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summaries, clusters, done) of classifications (study, positive, clusters array).
+
+    A positive one gives a summary and its clusters, which carry the summary's id; a negative one gives no
+    facts, but its study is done all the same.
+    """
     yes = responses.filter("positive").withColumn("summary_id", F.sha2(F.col("study").cast("string"), 256))
-    return yes.select("summary_id", "study", F.size("clusters").alias("n_clusters")), yes.select("summary_id", F.explode("clusters").alias("c")).select("summary_id", "c.*")
+    done = responses.select("study", F.coalesce("positive", F.lit(False)).alias("positive"), F.lit(0).alias("n_errors"))
+    return yes.select("summary_id", "study", F.size("clusters").alias("n_clusters")), yes.select("summary_id", F.explode("clusters").alias("c")).select("summary_id", "c.*"), done
 
 
 def fact_id(columns: list[str]) -> Column:
@@ -65,7 +70,14 @@ def fact_id(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[text_of(F.col(c)) for c in columns]), 256)
 
 
-EXPORT = (("row_id", "string"), ("cohort_id", "string"), ("paper_ref", "string"), ("cohort_size_n", "int"), ("predictors", "string"), ("predictor_canonical", "string"), ("outcome", "string"), ("outcome_type", "string"), ("outcome_window_days", "int"), ("effect_type", "string"), ("effect_value", "double"), ("ci_lo", "double"), ("ci_hi", "double"), ("p_value", "double"), ("auc", "double"), ("cutoff", "double"), ("verifier_verdict", "string"), ("anchor_page", "int"), ("anchor_text", "string"))
+# The exported columns in their order, with their types.
+EXPORT = (
+    ("row_id", "string"), ("paper_ref", "string"), ("cohort_label", "string"), ("file_name", "string"), ("cohort_size_n", "int"),
+    ("population_description", "string"), ("population_location", "string"), ("study_design", "string"), ("mortality_rate_pct", "double"), ("mortality_timepoint", "string"),
+    ("predictors", "string"), ("predictor_canonical", "string"), ("outcome", "string"), ("outcome_type", "string"), ("outcome_window_days", "int"), ("model_specification", "string"),
+    ("effect_size_str", "string"), ("effect_type", "string"), ("effect_value", "double"), ("ci_lo", "double"), ("ci_hi", "double"), ("p_value", "double"), ("auc", "double"),
+    ("anchor_page", "int"), ("anchor_bbox", "string"), ("anchor_text", "string"), ("anchor_section", "string"), ("verifier_verdict", "string"), ("verifier_score", "double"),
+)
 
 
 def export_rows(rows: DataFrame) -> DataFrame:
@@ -120,9 +132,23 @@ def pick_title(items: DataFrame) -> DataFrame:
 
 
 def grounding_context(titles: DataFrame, bodies: DataFrame, cells: DataFrame, most: int = 150_000) -> DataFrame:
-    """(doc_id, context): title, body and the tables' rows in order, at most ``most`` characters."""
-    rows = cells.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"))
-    rows = rows.select("doc_id", "row", F.array_join("c.text", " | ").alias("line"))
-    tables = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("r")).select("doc_id", F.array_join("r.line", "\n").alias("tables"))
+    """(doc_id, context): title, body and each table's rows in order, at most ``most`` characters.
+
+    Cells are (doc_id, table, row, col, text); tables stand in their order, apart by blank lines.
+    """
+    rows = cells.groupBy("doc_id", "table", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"))
+    rows = rows.select("doc_id", "table", "row", F.array_join("c.text", " | ").alias("line"))
+    tables = rows.groupBy("doc_id", "table").agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("r"))
+    tables = tables.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("table", F.array_join("r.line", "\n").alias("lines")))).alias("t"))
+    tables = tables.select("doc_id", F.array_join("t.lines", "\n\n").alias("tables"))
     out = titles.join(bodies, "doc_id", "left").join(tables, "doc_id", "left")
     return out.select("doc_id", F.substring(F.concat_ws("\n\n", F.concat(F.lit("TITLE: "), "title"), "body", "tables"), 1, most).alias("context"))
+
+
+BULKY = ("full_text", "offsets")
+
+
+def slim_documents(documents: DataFrame, most: int = 200_000) -> DataFrame:
+    """(doc_id, slim): each document as JSON without its bulky columns, at most ``most`` characters."""
+    kept = [c for c in documents.columns if c not in BULKY]
+    return documents.select("doc_id", F.substring(F.to_json(F.struct(*kept)), 1, most).alias("slim"))

@@ -68,3 +68,19 @@ def supporting_rows(rows: DataFrame, ranked: DataFrame, most: int = 20) -> DataF
     rows = rankable(rows).join(ranked.select("predictor_canonical", "best_ord"), "predictor_canonical")
     order = Window.partitionBy("predictor_canonical").orderBy((F.col("ord") != F.col("best_ord")).cast("int"), "ord")
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most).drop("best_ord")
+
+
+def coverage(ranked: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
+    """(best_metric, n_predictors) for every metric of the priority, 0 included."""
+    metrics = ranked.sparkSession.createDataFrame([(m,) for m in priority], "best_metric string")
+    counts = ranked.groupBy("best_metric").agg(F.count("*").alias("n"))
+    return metrics.join(counts, "best_metric", "left").select("best_metric", F.coalesce("n", F.lit(0)).alias("n_predictors"))
+
+
+def top_overlap(ranked: DataFrame, targets: DataFrame, k: int = 10, least: int = 3) -> DataFrame:
+    """One row: how many of the first k predictors are among the targets (predictor_canonical), which, and whether
+    they are at least ``least``."""
+    top = ranked.orderBy(*ranking_order()).limit(k).select("predictor_canonical")
+    seen = top.join(targets.select("predictor_canonical").distinct().withColumn("hit", F.lit(True)), "predictor_canonical", "left")
+    names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("predictor_canonical")))), ",")
+    return seen.agg(F.count("*").alias("n_top"), F.count("hit").alias("n_overlap"), names.alias("overlap")).withColumn("passed", F.col("n_overlap") >= least)

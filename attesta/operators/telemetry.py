@@ -45,20 +45,35 @@ def undo_repeated_cost(rows: DataFrame, call: list[str], by: list[str]) -> DataF
 
 
 def call_quality(calls: DataFrame) -> DataFrame:
-    """Per stage: calls, error rate, cost with unbilled calls imputed from tokens (micro-dollars)."""
+    """Per stage: calls, error rate, share of input tokens read from a cache, cost with unbilled calls imputed
+    from tokens (micro-dollars)."""
     imputed = F.when(F.col("cost_microusd") > 0, F.col("cost_microusd")).otherwise(F.col("tokens_in") + 5 * F.col("tokens_out"))
-    return calls.groupBy(named("stage").alias("stage")).agg(F.count("*").alias("n_calls"), F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"), F.sum(imputed).alias("cost"))
+    cached = F.try_divide(F.sum(F.coalesce("tokens_cached", F.lit(0))), F.sum("tokens_in"))
+    return calls.groupBy(named("stage").alias("stage")).agg(F.count("*").alias("n_calls"), F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"), cached.alias("cache_share"), F.sum(imputed).alias("cost"))
 
 
-def run_manifest(rows: DataFrame) -> DataFrame:
-    """Totals of a run: cohorts, rows, accepted and rejected rows."""
-    return rows.agg(F.countDistinct("cohort_id").alias("n_cohorts"), F.count("*").alias("n_rows"), F.count_if(F.col("verifier_verdict") == "ok").alias("n_ok"), F.count_if(F.col("verifier_verdict") == "reject").alias("n_reject"))
+VERDICTS = ("ok", "partial", "reject")
 
 
-def transitions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(old, new, n, flipped) over rows (row_id, verdict) of two verifications."""
-    both = old.select("row_id", F.coalesce("verdict", F.lit("none")).alias("old")).join(new.select("row_id", F.coalesce("verdict", F.lit("none")).alias("new")), "row_id")
-    return both.groupBy("old", "new").agg(F.count("*").alias("n")).withColumn("flipped", F.col("old") != F.col("new"))
+def run_manifest(rows: DataFrame, calls: DataFrame) -> DataFrame:
+    """Totals of a run, in one row: cohorts, rows, rows of each verdict and without one, calls, cost, latency."""
+    verdict = F.lower(F.trim(F.coalesce("verifier_verdict", F.lit(""))))
+    counts = [F.count_if(verdict == v).alias(f"n_{v}") for v in VERDICTS]
+    told = rows.agg(F.countDistinct("cohort_id").alias("n_cohorts"), F.count("*").alias("n_rows"), *counts, F.count_if(~verdict.isin(*VERDICTS)).alias("n_other"))
+    zero = F.lit(0)
+    spent = calls.agg(F.count("*").alias("n_calls"), F.coalesce(F.sum("cost_microusd"), zero).alias("cost"), F.coalesce(F.sum("latency_ms"), zero).alias("latency_ms"))
+    return told.join(F.broadcast(spent), F.lit(True))  # one row each
+
+
+def reverify_report(results: DataFrame) -> DataFrame:
+    """(old, new, n, flipped, cost, cache_hits, errors) of re-verified rows
+    (old, new, cost_microusd, cache_hit, error); a failed call keeps the old verdict."""
+    old = F.coalesce("old", F.lit("none"))
+    new = F.when(F.col("error").isNotNull(), old).otherwise(F.coalesce("new", F.lit("none")))
+    rows = results.select(old.alias("old"), new.alias("new"), "cost_microusd", "cache_hit", "error")
+    paid = F.sum(F.when(F.coalesce("cache_hit", F.lit(False)), 0).otherwise(F.coalesce("cost_microusd", F.lit(0))))
+    out = rows.groupBy("old", "new").agg(F.count("*").alias("n"), paid.alias("cost"), F.count_if("cache_hit").alias("cache_hits"), F.count("error").alias("errors"))
+    return out.withColumn("flipped", F.col("old") != F.col("new"))
 
 
 def write_back(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -66,3 +81,11 @@ def write_back(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]
     new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     out = rows.join(new, key, "left")
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def write_back_counts(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """What write_back would do, in one row: updates, updates of unknown keys, and changed values of each column."""
+    new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__u"))
+    both = new.join(rows.select(key, *columns, F.lit(True).alias("__r")), key, "left")
+    changed = [F.count_if(F.col("__r") & F.col(f"__{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(f"changed_{c}") for c in columns]
+    return both.agg(F.count("__u").alias("n_updates"), F.count_if(F.col("__r").isNull()).alias("n_unknown"), *changed)

@@ -37,26 +37,29 @@ _LAB = "CASE WHEN item = 0 AND doc_id % 5 = 0 THEN 'title' WHEN item < 3 THEN 's
 _UP = "CASE WHEN length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.75 * greatest(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1) AND NOT contains(text, ' ') THEN true ELSE false END"
 
 
-@query("s15_pick_title", f"""WITH i AS (SELECT doc_id, item, substr(text, 1, 60) AS text, {_LAB} AS label FROM {ITEMS}),
+@query("s15_pick_title", f"""WITH i AS (SELECT doc_id, item, text, {_LAB} AS label FROM {ITEMS}),
 a AS (SELECT doc_id, arg_min(text, item) AS t FROM i WHERE label = 'title' AND trim(text) <> '' GROUP BY 1),
 b AS (SELECT doc_id, arg_max(text, (length(text), text)) AS t FROM i WHERE label = 'section_header' AND length(text) >= 15 AND regexp_matches(text, '[A-Za-z]') AND NOT {_UP} AND lower(text) NOT IN ('original article', 'research article', 'open access') GROUP BY 1)
 SELECT d.doc_id, coalesce(a.t, b.t, concat('document-', d.doc_id)) AS title FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def _(spark, d):
-    rows = items(spark, d).withColumns({"text": F.substring("text", 1, 60), "page": F.lit(1)})
     label = F.when((F.col("item") == 0) & (F.col("doc_id") % 5 == 0), "title").when(F.col("item") < 3, "section_header").otherwise("text")
-    return ingest.pick_title(rows.withColumn("label", label))
+    return ingest.pick_title(items(spark, d).withColumns({"page": F.lit(1), "label": label}))
 
 
-_CELLS = "SELECT l_orderkey % 100 AS doc_id, l_orderkey * 8 + l_linenumber AS row, unnest([0, 1, 2]) AS col, unnest([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR)]) AS text FROM lineitem WHERE l_linenumber = 3"
+#: Every line of an order is a table row of the document that the order's part of the corpus has; two tables or more a document.
+_OF = "l_orderkey % (SELECT count(*) FROM documents)"
+_CELLS = f"SELECT {_OF} AS doc_id, l_orderkey AS \"table\", l_linenumber * 1000000 + l_partkey AS row, unnest([0, 1, 2]) AS col, unnest([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR)]) AS text FROM lineitem"
 
 
-@query("s16_grounding_context", f"""WITH c AS ({_CELLS}), r AS (SELECT doc_id, row, string_agg(text, ' | ' ORDER BY col, text) AS line FROM c GROUP BY ALL),
-t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY row, line) AS tables FROM r GROUP BY 1)
-SELECT doc_id, substr(concat_ws(chr(10) || chr(10), concat('TITLE: Document ', doc_id), text, tables), 1, 150000) AS context FROM documents LEFT JOIN t USING (doc_id) WHERE doc_id < 100""")
+@query("s16_grounding_context", f"""WITH c AS ({_CELLS}), r AS (SELECT doc_id, "table", row, string_agg(text, ' | ' ORDER BY col, text) AS line FROM c GROUP BY ALL),
+t AS (SELECT doc_id, "table", string_agg(line, chr(10) ORDER BY row, line) AS lines FROM r GROUP BY 1, 2), u AS (SELECT doc_id, string_agg(lines, chr(10) || chr(10) ORDER BY "table") AS tables FROM t GROUP BY 1)
+SELECT doc_id, substr(concat_ws(chr(10) || chr(10), concat('TITLE: Document ', doc_id), text, tables), 1, 150000) AS context FROM documents LEFT JOIN u USING (doc_id)""")
 def _(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 100")  # the tables belong to these
-    cells = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_linenumber = 3")
-    cells = cells.select((F.col("l_orderkey") % 100).alias("doc_id"), (F.col("l_orderkey") * 8 + 3).alias("row"), F.posexplode(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))).alias("col", "text"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").join(F.broadcast(n), F.lit(True))
+    texts = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    cells = lines.select((F.col("l_orderkey") % F.col("n")).alias("doc_id"), F.col("l_orderkey").alias("table"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("row"), F.posexplode(texts).alias("col", "text"))
     titles = docs.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
     return ingest.grounding_context(titles, docs.select("doc_id", F.col("text").alias("body")), cells)
 
@@ -143,23 +146,46 @@ def _(spark, d):
     return anchors.demote_unresolved(_bound(spark, d)).select("row_id", "verifier_verdict", "rationale")
 
 
-@query("a17_anchor_audit", f"SELECT CASE WHEN o.page IS NULL AND b.page IS NULL THEN 'none' WHEN o.page IS NULL THEN 'gain' WHEN b.page IS NULL THEN 'lost' WHEN o.page <> b.page THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS n FROM ({_OLD}) o JOIN {_BOUND} b ON b.row_id = o.row_id GROUP BY 1")
+_AUDITED = f"SELECT row_id, CASE WHEN outcome_type = 'los' THEN 'secondary' ELSE 'primary' END AS \"table\", coalesce(paper_ref, 'none') AS paper, CASE WHEN anchor_page % 4 = 0 THEN NULL ELSE anchor_bbox END AS bbox FROM {EV}"
+_FOUND = f"SELECT row_id, CASE WHEN anchor_page > 6 THEN concat('9', anchor_bbox) ELSE coalesce(anchor_bbox, '1,2,3,4') END AS bbox FROM {EV} WHERE anchor_page <> 3"
+_STATUS = f"(SELECT o.*, CASE WHEN o.bbox IS NOT NULL AND h.row_id IS NULL THEN 'lost' WHEN o.bbox IS NOT NULL AND o.bbox <> h.bbox THEN 'changed' WHEN o.bbox IS NOT NULL THEN 'unchanged' WHEN h.row_id IS NOT NULL THEN 'gain' ELSE 'missed' END AS status FROM ({_AUDITED}) o LEFT JOIN ({_FOUND}) h ON h.row_id = o.row_id)"
+
+
+def _audit(spark, d):
+    rows = evidence(spark, d)
+    return rows.selectExpr("row_id", "CASE WHEN outcome_type = 'los' THEN 'secondary' ELSE 'primary' END AS table", "coalesce(paper_ref, 'none') AS paper", "CASE WHEN anchor_page % 4 = 0 THEN NULL ELSE anchor_bbox END AS bbox"), rows.filter("anchor_page <> 3").selectExpr("row_id", "CASE WHEN anchor_page > 6 THEN concat('9', anchor_bbox) ELSE coalesce(anchor_bbox, '1,2,3,4') END AS bbox")
+
+
+@query("a17_anchor_audit", "SELECT \"table\", " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("gain", "lost", "changed", "unchanged", "missed")) + f", count(*) FILTER (status IN ('changed', 'unchanged')) AS n_preserved FROM {_STATUS} GROUP BY 1")
 def _(spark, d):
-    return anchors.anchor_audit(view(spark, d, _OLD), _bound(spark, d))
+    return anchors.anchor_audit(*_audit(spark, d))
 
 
-_CELL = "SELECT l_orderkey AS table_id, l_linenumber AS r, l_partkey AS k, l_suppkey AS s, CAST(l_quantity AS INT) AS q FROM {lineitem}"
+@query("a17_top_gains", f"SELECT paper, count(*) AS n_gain FROM {_STATUS} WHERE status = 'gain' AND paper NOT LIKE '%1' GROUP BY 1 ORDER BY n_gain DESC, paper LIMIT 15")
+def _(spark, d):
+    old, hits = _audit(spark, d)
+    return anchors.top_gains(old, hits, old.filter("paper like '%1'").select("paper").distinct())
 
 
-def _rows(spark, d) -> DataFrame:
-    base = view(spark, d, f"SELECT table_id, r, min(k) AS k, min(s) AS s, min(q) AS q FROM ({_CELL}) GROUP BY table_id, r")
-    cells = base.select(F.col("table_id").alias("table"), F.col("r").alias("row"), F.posexplode(F.array("k", "s", F.col("q").cast("long"))).alias("col", "v"))
-    cells = cells.select("table", "row", "col", F.col("v").cast("string").alias("text"), (F.col("col") * 10).alias("x0"), (F.col("row") * 5).alias("y0"), (F.col("col") * 10 + 8).alias("x1"), (F.col("row") * 5 + 4).alias("y1"))
-    return anchors.row_union(cells)
+#: Tables: four orders a document, one caption each, of which every second one continues that before; two lines a page.
+_CELL = """SELECT l_orderkey // 16 AS doc_id, l_orderkey AS tab, concat('Table ', CAST((l_orderkey // 2) % 8 AS VARCHAR(4)), CASE WHEN l_orderkey % 2 = 1 THEN ' (continued)' ELSE '' END) AS caption,
+ CAST((l_orderkey % 16) * 4 + l_linenumber // 2 AS INT) AS page, l_linenumber AS r, min(l_partkey) AS k, min(l_suppkey) AS s, min(CAST(l_quantity AS INT)) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+_ROWS = f"(SELECT doc_id, caption, tab AS \"table\", r AS row, concat_ws(' ', k, s, q) AS text, 0 AS x0, r * 5 AS y0, 28 AS x1, r * 5 + 4 AS y1, page FROM ({_CELL}))"
+_TEXT2, _TEXT3 = "concat_ws(' ', a.text, b.text)", "concat_ws(' ', a.text, b.text, c.text)"
+_ON = "{0}.\"table\" = a.\"table\" AND {0}.row = a.row + {1}"
+_SLABS = f"(SELECT a.doc_id, a.caption, a.\"table\", a.row, 2 AS n, {_TEXT2} AS text, a.y0, b.y1 FROM {_ROWS} a JOIN {_ROWS} b ON {_ON.format('b', 1)} UNION ALL SELECT a.doc_id, a.caption, a.\"table\", a.row, 3, {_TEXT3}, a.y0, c.y1 FROM {_ROWS} a JOIN {_ROWS} b ON {_ON.format('b', 1)} JOIN {_ROWS} c ON {_ON.format('c', 2)})"
+_CANON = "lower(replace(caption, ' (continued)', ''))"
+_ACROSS = f"(SELECT doc_id, caption, \"table\", row, 2 AS n, concat_ws(' ', text, lead(text) OVER w) AS text, {_CANON} AS canon, page, lead(page) OVER w AS np FROM {_ROWS} WINDOW w AS (PARTITION BY doc_id, {_CANON} ORDER BY page, \"table\", row))"
 
 
-_ROWS = f"(SELECT table_id AS \"table\", r AS row, concat_ws(' ', min(k), min(s), min(q)) AS text, 0 AS x0, r * 5 AS y0, 28 AS x1, r * 5 + 4 AS y1 FROM ({_CELL}) GROUP BY table_id, r)"
-_SLABS = f"(SELECT a.\"table\", a.row, 2 AS n, concat_ws(' ', a.text, b.text) AS text, a.y0, b.y1 FROM {_ROWS} a JOIN {_ROWS} b ON b.\"table\" = a.\"table\" AND b.row = a.row + 1 UNION ALL SELECT a.\"table\", a.row, 3, concat_ws(' ', a.text, b.text, c.text), a.y0, c.y1 FROM {_ROWS} a JOIN {_ROWS} b ON b.\"table\" = a.\"table\" AND b.row = a.row + 1 JOIN {_ROWS} c ON c.\"table\" = a.\"table\" AND c.row = a.row + 2)"
+def _rows(spark, d) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", F.col("l_linenumber").alias("row")).agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"), F.min(F.col("l_quantity").cast("int")).alias("q"))
+    key = F.col("l_orderkey")
+    caption = F.concat(F.lit("Table "), (F.floor(key / 2) % 8).cast("string"), F.when(key % 2 == 1, " (continued)").otherwise(""))
+    page = ((key % 16) * 4 + F.floor(F.col("row") / 2)).cast("int")
+    cells = lines.select(F.floor(key / 16).alias("doc_id"), caption.alias("caption"), key.alias("table"), "row", page.alias("page"), F.posexplode(F.array("k", "s", F.col("q").cast("long"))).alias("col", "v"))
+    box = {"x0": F.col("col") * 10, "y0": F.col("row") * 5, "x1": F.col("col") * 10 + 8, "y1": F.col("row") * 5 + 4}
+    return anchors.row_union(cells.withColumn("text", F.col("v").cast("string")).withColumns(box).drop("v"))
 
 
 @query("w06_table_row_union", f"SELECT * FROM {_ROWS}")
@@ -169,36 +195,57 @@ def _(spark, d):
 
 @query("w03_row_slabs", f"SELECT * FROM {_SLABS}")
 def _(spark, d):
-    return anchors.slabs(_rows(spark, d)).select("table", "row", "n", "text", "y0", "y1")
+    return anchors.slabs(_rows(spark, d)).select("doc_id", "caption", "table", "row", "n", "text", "y0", "y1")
 
 
-_PAGED = f"(SELECT r.\"table\" % 50 AS doc_id, concat('Table ', CAST(r.\"table\" % 3 AS VARCHAR(4)), CASE WHEN r.row > 3 THEN ' (continued)' ELSE '' END) AS caption, CAST(r.row AS INT) AS page, r.\"table\" AS row, text, x0, y0, x1, y1 FROM {_ROWS} r WHERE r.row < 6)"
+@query("w04_cross_page_slabs", f"SELECT doc_id, canon, page, \"table\", row, text FROM {_ACROSS} WHERE np = page + 1")
+def _(spark, d):
+    return anchors.cross_page_slabs(_rows(spark, d)).select("doc_id", "canon", "page", "table", "row", "text")
 
 
-@query("w04_cross_page_slabs", f"SELECT doc_id, canon, page, row, text FROM (SELECT doc_id, lower(regexp_replace(caption, ' \\(continued\\)', '')) AS canon, page, row, concat_ws(' ', text, lead(text) OVER w) AS text, lead(page) OVER w AS np FROM {_PAGED} WINDOW w AS (PARTITION BY doc_id, lower(regexp_replace(caption, ' \\(continued\\)', '')) ORDER BY page, row)) WHERE np = page + 1")
-def _(spark, d):
-    caption = F.concat(F.lit("Table "), (F.col("table") % 3).cast("string"), F.when(F.col("row") > 3, " (continued)").otherwise(""))
-    rows = _rows(spark, d).filter("row < 6").withColumns({"doc_id": F.col("table") % 50, "caption": caption, "page": F.col("row").cast("int")})
-    return anchors.cross_page_slabs(rows.withColumn("row", F.col("table"))).select("doc_id", "canon", "page", "row", "text")
+#: Anchors: a pair of rows shuffled, a pair across two pages, three rows, a row of another caption, and no caption.
+_KIND = "CASE {t} % 5 WHEN 0 THEN concat_ws(' ', b.text, a.text) WHEN 1 THEN concat_ws(' ', a.text, b.text, c.text) ELSE concat_ws(' ', a.text, b.text) END"
+_WANTED = f"(SELECT concat('a', a.\"table\", '-', a.row) AS anchor_id, a.doc_id, {_KIND.format(t='a.' + chr(34) + 'table' + chr(34))} AS anchor, CASE a.\"table\" % 7 WHEN 3 THEN 'Table 99' WHEN 4 THEN NULL ELSE a.caption END AS anchor_caption FROM {_ROWS} a JOIN {_ROWS} b ON b.doc_id = a.doc_id AND ((b.\"table\" = a.\"table\" AND b.row = a.row + 1) OR (b.\"table\" = a.\"table\" + 1 AND a.\"table\" % 2 = 0 AND b.row = 1 AND b.page = a.page + 1)) LEFT JOIN {_ROWS} c ON c.\"table\" = a.\"table\" AND c.row = a.row + 2 WHERE a.row % 2 = 1)"
+_TAG = "regexp_extract({}, 'Table (\\d+)', 1)"
+_SCOPE = f"CASE WHEN a.anchor_caption IS NOT NULL THEN {_TAG.format('a.anchor_caption')} = {_TAG.format('s.caption')} ELSE a.doc_id IN (SELECT doc_id FROM {_ROWS} GROUP BY 1 HAVING count(DISTINCT {_CANON}) <= 1) END"
+
+
+def _held(a: str, s: str) -> str:
+    return f"(contains({s}, {a}) OR len(list_intersect({_w(a)}, {_w(s)})) >= 0.8 * len({_w(a)}))"
+
+
+_FIRST = f"(SELECT anchor_id, min((n, s.\"table\", s.row)) AS b FROM {_WANTED} a JOIN {_SLABS} s ON s.doc_id = a.doc_id AND {_SCOPE} AND {_held('a.anchor', 's.text')} GROUP BY 1)"
+_SECOND = f"(SELECT anchor_id, min((n, s.\"table\", s.row)) AS b FROM {_WANTED} a JOIN (SELECT * FROM {_ACROSS} WHERE np = page + 1) s ON s.doc_id = a.doc_id AND {_SCOPE} AND {_held('a.anchor', 's.text')} WHERE anchor_id NOT IN (SELECT anchor_id FROM {_FIRST}) GROUP BY 1)"
+
+
+def _wanted(spark, d) -> DataFrame:
+    rows = _rows(spark, d).select("doc_id", "caption", "table", "row", "text", "page")
+    a, b, c = (rows.select(*[F.col(x).alias(f"{n}_{x}") for x in rows.columns]) for n in "abc")
+    near = ((F.col("b_table") == F.col("a_table")) & (F.col("b_row") == F.col("a_row") + 1)) | ((F.col("b_table") == F.col("a_table") + 1) & (F.col("a_table") % 2 == 0) & (F.col("b_row") == 1) & (F.col("b_page") == F.col("a_page") + 1))
+    pairs = a.filter("a_row % 2 = 1").join(b, (F.col("a_doc_id") == F.col("b_doc_id")) & near).join(c, (F.col("c_table") == F.col("a_table")) & (F.col("c_row") == F.col("a_row") + 2), "left")
+    kind = F.when(F.col("a_table") % 5 == 0, F.concat_ws(" ", "b_text", "a_text")).when(F.col("a_table") % 5 == 1, F.concat_ws(" ", "a_text", "b_text", "c_text")).otherwise(F.concat_ws(" ", "a_text", "b_text"))
+    caption = F.when(F.col("a_table") % 7 == 3, "Table 99").when(F.col("a_table") % 7 != 4, F.col("a_caption"))
+    return pairs.select(F.concat(F.lit("a"), F.col("a_table").cast("string"), F.lit("-"), F.col("a_row").cast("string")).alias("anchor_id"), F.col("a_doc_id").alias("doc_id"), kind.alias("anchor"), caption.alias("anchor_caption"))
 
 
-@query("t08_slab_anchor", f"SELECT anchor_id, min(row) AS row, 2 AS n FROM (SELECT concat('a', a.\"table\") AS anchor_id, s.row FROM (SELECT \"table\", arg_min(text, row) AS anchor FROM {_SLABS} WHERE n = 2 GROUP BY 1) a JOIN {_SLABS} s ON s.\"table\" = a.\"table\" AND s.n = 2 AND (contains(s.text, a.anchor) OR len(list_intersect({_w('a.anchor')}, {_w('s.text')})) >= 0.8 * len({_w('a.anchor')}))) GROUP BY 1")
+@query("t08_slab_anchor", f"SELECT anchor_id, kind, b[1] AS n, b[2] AS \"table\", b[3] AS row FROM (SELECT *, 'rows' AS kind FROM {_FIRST} UNION ALL SELECT *, 'pages' FROM {_SECOND})")
 def _(spark, d):
-    wide = anchors.slabs(_rows(spark, d))
-    own = wide.filter("n = 2").groupBy("table").agg(F.min_by("text", "row").alias("anchor")).withColumn("anchor_id", F.concat(F.lit("a"), F.col("table").cast("string")))
-    return anchors.slab_hits(own, wide)
+    return anchors.slab_hits(_wanted(spark, d), _rows(spark, d)).select("anchor_id", "kind", "n", "table", "row")
 
 
 _NUMS = "list_distinct(regexp_extract_all({}, '\\d+(?:\\.\\d+)?'))"
+_SINGLE = f"(SELECT concat('a', \"table\") AS anchor_id, doc_id, CASE WHEN \"table\" % 3 = 0 THEN concat('of ', arg_max(text, row), ' x') ELSE arg_max(text, row) END AS anchor, CASE WHEN \"table\" % 7 <> 4 THEN max(caption) END AS anchor_caption FROM {_ROWS} GROUP BY doc_id, \"table\")"
 
 
-@query("t09_numeric_fingerprint", f"""WITH r AS (SELECT *, {_NUMS.format('text')} AS rn FROM {_ROWS}), a AS (SELECT concat('a', "table") AS anchor_id, "table", {_NUMS.format('arg_max(text, row)')} AS an FROM {_ROWS} GROUP BY "table"),
-h AS (SELECT anchor_id, row, len(rn) - len(an) AS extra FROM a JOIN r USING ("table") WHERE len(an) >= 3 AND len(list_intersect(an, rn)) = len(an)),
+@query("t09_numeric_fingerprint", f"""WITH r AS (SELECT *, {_NUMS.format('text')} AS rn FROM {_ROWS}), a AS (SELECT *, {_NUMS.format('anchor')} AS an FROM {_SINGLE}),
+h AS (SELECT anchor_id, "table", row, len(rn) - len(an) AS extra FROM a JOIN r ON r.doc_id = a.doc_id AND {_TAG.format('anchor_caption')} = {_TAG.format('caption')} WHERE len(an) >= 3 AND len(list_intersect(an, rn)) = len(an)),
 m AS (SELECT *, min(extra) OVER (PARTITION BY anchor_id) AS least FROM h)
-SELECT anchor_id, min(row) AS row FROM m WHERE extra = least GROUP BY 1 HAVING count(*) = 1""")
+SELECT anchor_id, min("table") AS "table", min(row) AS row FROM m WHERE extra = least GROUP BY 1 HAVING count(*) = 1""")
 def _(spark, d):
     rows = _rows(spark, d)
-    own = rows.groupBy("table").agg(F.max_by("text", "row").alias("anchor")).withColumn("anchor_id", F.concat(F.lit("a"), F.col("table").cast("string")))
+    own = rows.groupBy("doc_id", "table").agg(F.max_by("text", "row").alias("last"), F.max("caption").alias("c"))
+    anchor = F.when(F.col("table") % 3 == 0, F.concat(F.lit("of "), "last", F.lit(" x"))).otherwise(F.col("last"))
+    own = own.select(F.concat(F.lit("a"), F.col("table").cast("string")).alias("anchor_id"), "doc_id", anchor.alias("anchor"), F.when(F.col("table") % 7 != 4, F.col("c")).alias("anchor_caption"))
     return anchors.fingerprint_hits(own, rows)
 
 
@@ -257,10 +304,10 @@ def _(spark, d):
     return verify.cohort_context(rows, view(spark, d, COHORTS), ["population_description", "population_location"]).select("row_id", "population_description", "population_location")
 
 
-@query("p17_reverify_selection", f"SELECT row_id FROM {EV} WHERE lower(paper_ref) LIKE '%france%' AND verifier_verdict IS NULL AND outcome_type <> 'los'")
+@query("p17_reverify_selection", f"SELECT row_id FROM {EV} WHERE lower(paper_ref) LIKE '%nation_3 %' AND verifier_verdict IS NULL AND outcome_type <> 'los'")
 def _(spark, d):
     rows = evidence(spark, d).withColumn("run_id", F.when(F.col("outcome_type") == "los", "r9").when(F.col("outcome_type") == "mortality", "r1"))
-    return verify.reverify_selection(rows, "France", only_missing=True, run_id="r9").select("row_id")
+    return verify.reverify_selection(rows, "Nation_3 ", only_missing=True, run_id="r9").select("row_id")
 
 
 @query("l08_vector_top_k", "SELECT vec_id, round(CAST(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS DOUBLE), 6) AS cosine FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")

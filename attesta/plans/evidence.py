@@ -48,9 +48,9 @@ def _(spark, d):
     return evidence(spark, d).select("row_id", "cohort_id", "paper_ref", "cohort_label")
 
 
-@query("j02_paper_evidence", f"SELECT row_id, m.cohort_id, file_name FROM ({MODELS}) m JOIN ({COHORTS}) c ON c.cohort_id = m.cohort_id WHERE file_name LIKE 'FRANCE%'")
+@query("j02_paper_evidence", f"SELECT row_id, m.cohort_id, file_name FROM ({MODELS}) m JOIN ({COHORTS}) c ON c.cohort_id = m.cohort_id WHERE file_name LIKE 'NATION_7%'")
 def _(spark, d):
-    cohorts = view(spark, d, COHORTS).filter(stem(F.col("file_name")).startswith("FRANCE"))
+    cohorts = view(spark, d, COHORTS).filter(stem(F.col("file_name")).startswith("NATION_7"))
     return view(spark, d, MODELS).join(cohorts, "cohort_id").select("row_id", "cohort_id", "file_name")
 
 
@@ -64,7 +64,8 @@ def _(spark, d):
     return filters.rank_filter(evidence(spark, d), "mortality", 90, "199", "icu").select("row_id")
 
 
-@query("p07_relax_window", f"SELECT row_id, 30 AS matched_window, 'No studies report 33-day; showing 30-day.' AS note FROM {EV} WHERE outcome_type = 'mortality' AND outcome_window_days = 30")
+@query("p07_relax_window", f"""WITH m AS (SELECT row_id, outcome_window_days AS w FROM {EV} WHERE outcome_type = 'mortality'), best AS (SELECT w AS b FROM m WHERE w IN (28, 30, 60, 90, 180, 365) AND abs(w - 33) <= 5 ORDER BY abs(w - 33), w LIMIT 1)
+SELECT row_id, CASE WHEN (SELECT count(*) FROM m WHERE w = 33) > 0 THEN 33 ELSE b END AS matched_window, CASE WHEN (SELECT count(*) FROM m WHERE w = 33) = 0 THEN concat('No studies report 33-day; showing ', b, '-day.') END AS note FROM m, best WHERE w = CASE WHEN (SELECT count(*) FROM m WHERE w = 33) > 0 THEN 33 ELSE b END""")
 def _(spark, d):
     rows = filters.evidence_filter(evidence(spark, d), "mortality")
     return filters.relax_window(rows, 33).select("row_id", "matched_window", "note")
@@ -72,7 +73,7 @@ def _(spark, d):
 
 @query("p07_relax_window_open", f"SELECT row_id, CAST(NULL AS INT) AS matched_window, 'No exact match for 200-day; showing all windows for this outcome.' AS note FROM {EV} WHERE outcome_type = 'los'")
 def _(spark, d):
-    rows = filters.evidence_filter(evidence(spark, d), "los", paper_ref="GERMANY")
+    rows = filters.evidence_filter(evidence(spark, d), "los", paper_ref="NATION_9")
     return filters.relax_window(rows, 200, keep=filters.evidence_filter(evidence(spark, d), "los")).select("row_id", "matched_window", "note")
 
 
@@ -81,12 +82,12 @@ def _(spark, d):
     return filters.drop_rejected(evidence(spark, d)).select("row_id", "verifier_verdict")
 
 
-@query("p16_scope_rows", f"SELECT row_id FROM {EV} WHERE (lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%france%' OR lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%c12%') AND lower(concat_ws(' ', paper_ref, cohort_id)) NOT LIKE '%germany%'")
+@query("p16_scope_rows", f"SELECT row_id FROM {EV} WHERE (lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%nation_3%' OR lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%c12%') AND lower(concat_ws(' ', paper_ref, cohort_id)) NOT LIKE '%c121%'")
 def _(spark, d):
     def refs(*x):
         return spark.sql("SELECT explode(array({})) AS ref".format(", ".join(f"'{v}'" for v in x)))
 
-    return filters.scope_rows(evidence(spark, d), refs("France", "c12"), refs("Germany")).select("row_id")
+    return filters.scope_rows(evidence(spark, d), refs("Nation_3", "c12"), refs("C121")).select("row_id")
 
 
 @query("l04_row_cap", f"SELECT row_id FROM {EV} WHERE outcome_type = 'mortality' ORDER BY row_id LIMIT 200")
@@ -197,9 +198,10 @@ def _except(a: str, b: str) -> str:
     return f"list_max(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
 
 
-_PAIRS = f"""WITH e AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY row_id) AS nth FROM {EV} WINDOW w AS (PARTITION BY paper_ref, predictors, anchor_page)),
+def pairs_sql(name: str) -> str:
+    return f"""WITH e AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY row_id) AS nth FROM {EV} WINDOW w AS (PARTITION BY paper_ref, {name}, anchor_page)),
 p AS (SELECT a.row_id AS ida, b.row_id AS idb, a.anchor_text AS ta, b.anchor_text AS tb, a.p_value AS pa, b.p_value AS pb, a.effect_size_str AS ea, b.effect_size_str AS eb, a.cohort_size_n AS na, b.cohort_size_n AS nb
- FROM e a JOIN e b ON a.n = 2 AND b.n = 2 AND a.nth = 1 AND b.nth = 2 AND a.paper_ref IS NOT DISTINCT FROM b.paper_ref AND a.predictors IS NOT DISTINCT FROM b.predictors AND a.anchor_page IS NOT DISTINCT FROM b.anchor_page),
+ FROM e a JOIN e b ON a.n = 2 AND b.n = 2 AND a.nth = 1 AND b.nth = 2 AND a.paper_ref IS NOT DISTINCT FROM b.paper_ref AND a.{name} IS NOT DISTINCT FROM b.{name} AND a.anchor_page IS NOT DISTINCT FROM b.anchor_page),
 t AS (SELECT *, length(tb) > length(ta) AS swap, {_ints('ta')} AS ia, {_ints('tb')} AS ib, {_lab('ta')} AS la, {_lab('tb')} AS lb FROM p
  WHERE CASE WHEN len({_tok('ta')}) >= 3 AND len({_tok('tb')}) >= 3 THEN len(list_intersect(list_distinct({_tok('ta')}), list_distinct({_tok('tb')}))) >= 0.6 * len(list_distinct(list_concat({_tok('ta')}, {_tok('tb')}))) ELSE coalesce(abs(pa - pb) <= 1e-3, false) END),
 m AS (SELECT *, coalesce(TRY_CAST(coalesce(na, nb) AS BIGINT), list_max(list_intersect(ia, ib))) AS total, {_except('ia', 'ib')} AS xa, {_except('ib', 'ia')} AS xb FROM t),
@@ -211,12 +213,21 @@ merged AS (SELECT CASE WHEN swap THEN idb ELSE ida END AS row_id,
 SELECT * FROM merged UNION ALL SELECT row_id, effect_size_str, NULL, NULL FROM e WHERE row_id NOT IN (SELECT ida FROM m UNION ALL SELECT idb FROM m)"""
 
 
-@query("d01_collapse_descriptive_pairs", _PAIRS)
+@query("d01_collapse_descriptive_pairs", pairs_sql("predictors"))
 def _(spark, d):
     return dedupe.collapse_pairs(evidence(spark, d), "predictors").select("row_id", "effect_size_str", "merged_sample_size", "evidence_type")
 
 
-@query("d04_dedupe_rows")
+def _exact_of(rows: str) -> str:
+    key = f"paper_ref, cohort_id, predictor_canonical, outcome, effect_type, {norm('effect_size_str')}, {norm('model_specification')}"
+    return f"(SELECT * FROM {rows} WHERE {norm('effect_size_str')} = '' UNION ALL SELECT * FROM (SELECT * FROM {rows} WHERE {norm('effect_size_str')} <> '' QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY row_id) = 1))"
+
+
+_MERGED = f"(SELECT e.* REPLACE (m.effect_size_str AS effect_size_str), m.evidence_type FROM {EV} e JOIN ({pairs_sql('predictor_canonical')}) m ON m.row_id = e.row_id)"
+_ALL = f"SELECT row_id, effect_size_str, evidence_type FROM {repeated_sql(_exact_of(_MERGED))}"
+
+
+@query("d04_dedupe_rows", _ALL)
 def _(spark, d):
     return dedupe.dedupe_rows(evidence(spark, d)).select("row_id", "effect_size_str", "evidence_type")
 
@@ -230,7 +241,7 @@ c AS (SELECT * FROM b WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY pred
 s AS (SELECT predictor_canonical, count(DISTINCT cohort_id) AS n_studies, min(ord) AS first_ord FROM r GROUP BY predictor_canonical)
 SELECT predictor_canonical, n_studies, ['AUC', 'c_index', 'OR', 'HR', 'RR'][mr + 1] AS best_metric, value AS best_value, CASE WHEN mr >= 2 THEN ci_lo END AS best_ci_lo, CASE WHEN mr >= 2 THEN ci_hi END AS best_ci_hi,
  paper_ref AS best_paper_ref, cohort_id AS best_cohort_id, CASE WHEN k >= 2 THEN round(med, 6) END AS median_value, mr AS metric_rank, ord AS best_ord, first_ord FROM c JOIN s USING (predictor_canonical))"""
-_ORDER = "metric_rank, CASE WHEN metric_rank < 2 THEN best_value ELSE abs(best_value - 1) END DESC, n_studies DESC, first_ord"
+RANK_ORDER = _ORDER = "metric_rank, CASE WHEN metric_rank < 2 THEN best_value ELSE abs(best_value - 1) END DESC, n_studies DESC, first_ord"
 
 
 def cleaned(spark, d) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.operators import catalog, rank, telemetry
-from attesta.plans.evidence import EV, evidence
+from attesta.plans.evidence import EV, RANK_ORDER, RANKED, cleaned, evidence
 from attesta.plans.registry import query
 from attesta.sources.adapters import CALLS, COHORTS, MODELS, PAPERS, view
 
@@ -37,11 +37,11 @@ def _(spark, d):
     return _catalog(spark, d).select("stem")
 
 
-@query("j12_known_keys", f"SELECT stem FROM (SELECT DISTINCT {_STEM} AS stem FROM ({COHORTS})) WHERE stem LIKE 'J%' OR stem LIKE 'F%'")
+@query("j12_known_keys", f"SELECT DISTINCT {_STEM} AS stem FROM ({COHORTS}) WHERE file_name LIKE '%1_%'")
 def _(spark, d):
-    keys = view(spark, d, COHORTS).select(F.regexp_replace("file_name", r"\.pdf$", "").alias("stem")).distinct()
-    extra = keys.select(F.concat(F.lit("no_"), "stem").alias("stem"))
-    return catalog.known_keys(keys.filter("stem like 'J%' or stem like 'F%'").unionByName(extra), view(spark, d, PAPERS), view(spark, d, COHORTS))
+    keys = view(spark, d, COHORTS).filter("file_name like '%1_%'").select(F.regexp_replace("file_name", r"\.pdf$", "").alias("stem")).distinct()
+    unknown = keys.select(F.concat(F.lit("no_"), "stem").alias("stem"))
+    return catalog.known_keys(keys.unionByName(unknown), view(spark, d, PAPERS), view(spark, d, COHORTS))
 
 
 @query("j13_document_states", f"SELECT stem, stem IN (SELECT stem FROM ({LISTING})) AS parsed, contains(stem, 'A') AS translated FROM (SELECT DISTINCT {_STEM} AS stem FROM ({COHORTS}))")
@@ -91,25 +91,39 @@ def _(spark, d):
     return view(spark, d, CALLS).filter(F.col("ts") > telemetry.since("2024-01-03T12:00:00")).select("call_id")
 
 
-@query("a09_run_manifest", f"SELECT count(DISTINCT cohort_id) AS n_cohorts, count(*) AS n_rows, count(*) FILTER (verifier_verdict = 'ok') AS n_ok, count(*) FILTER (verifier_verdict = 'reject') AS n_reject FROM {EV}")
+_V = "lower(trim(coalesce(verifier_verdict, '')))"
+
+
+@query("a09_run_manifest", f"SELECT * FROM (SELECT count(DISTINCT cohort_id) AS n_cohorts, count(*) AS n_rows, count(*) FILTER ({_V} = 'ok') AS n_ok, count(*) FILTER ({_V} = 'partial') AS n_partial, count(*) FILTER ({_V} = 'reject') AS n_reject, count(*) FILTER ({_V} NOT IN ('ok', 'partial', 'reject')) AS n_other FROM {EV}), (SELECT count(*) AS n_calls, CAST(sum(cost_microusd) AS BIGINT) AS cost, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM ({CALLS}) WHERE run_id = 'run_1')")
 def _(spark, d):
-    return telemetry.run_manifest(evidence(spark, d))
+    return telemetry.run_manifest(evidence(spark, d), view(spark, d, CALLS).filter("run_id = 'run_1'"))
 
 
 _NEW = "CASE WHEN verifier_score > 0.5 AND verifier_verdict = 'partial' THEN 'ok' WHEN anchor_page = 3 THEN 'reject' ELSE verifier_verdict END"
+_AGAIN = f"SELECT row_id, verifier_verdict AS old, {_NEW} AS new, CAST(anchor_page * 10 AS BIGINT) AS cost_microusd, anchor_page IN (2, 4) AS cache_hit, CASE WHEN anchor_page = 7 THEN 'timeout' END AS error FROM ({MODELS})"
+_AFTER = "CASE WHEN error IS NULL THEN coalesce(new, 'none') ELSE coalesce(old, 'none') END"
 
 
-@query("a10_verdict_transitions", f"SELECT coalesce(verifier_verdict, 'none') AS old, coalesce({_NEW}, 'none') AS new, count(*) AS n, coalesce(verifier_verdict, 'none') <> coalesce({_NEW}, 'none') AS flipped FROM {EV} GROUP BY ALL")
+@query("a10_reverify_report", f"SELECT coalesce(old, 'none') AS old, {_AFTER} AS new, count(*) AS n, coalesce(old, 'none') <> {_AFTER} AS flipped, CAST(sum(CASE WHEN cache_hit THEN 0 ELSE cost_microusd END) AS BIGINT) AS cost, count(*) FILTER (cache_hit) AS cache_hits, count(error) AS errors FROM ({_AGAIN}) GROUP BY 1, 2")
 def _(spark, d):
-    rows = evidence(spark, d)
-    return telemetry.transitions(rows.select("row_id", F.col("verifier_verdict").alias("verdict")), rows.select("row_id", F.expr(_NEW).alias("verdict")))
+    return telemetry.reverify_report(view(spark, d, _AGAIN))
+
 
+_PAGE3 = f"SELECT row_id, 'reject' AS verifier_verdict, 0.25 AS verifier_score, CASE WHEN anchor_bbox IS NULL THEN '0,0,1,1' END AS anchor_bbox FROM ({MODELS}) WHERE anchor_page = 3"
+_WRITTEN = ["verifier_verdict", "verifier_score", "anchor_bbox"]
 
-@query("s07_write_back_verdicts", f"SELECT row_id, CASE WHEN anchor_page = 3 THEN 'reject' ELSE verifier_verdict END AS verifier_verdict, CASE WHEN anchor_page = 3 THEN 0.25 ELSE verifier_score END AS verifier_score FROM {EV}")
+
+@query("s07_write_back_verdicts", f"SELECT row_id, CASE WHEN anchor_page = 3 THEN 'reject' ELSE verifier_verdict END AS verifier_verdict, CASE WHEN anchor_page = 3 THEN 0.25 ELSE verifier_score END AS verifier_score, CASE WHEN anchor_page = 3 THEN coalesce(anchor_bbox, '0,0,1,1') ELSE anchor_bbox END AS anchor_bbox FROM {EV}")
 def _(spark, d):
-    rows = evidence(spark, d)
-    updates = rows.filter("anchor_page = 3").select("row_id", F.lit("reject").alias("verifier_verdict"), F.lit(0.25).alias("verifier_score"))
-    return telemetry.write_back(rows, updates, "row_id", ["verifier_verdict", "verifier_score"]).select("row_id", "verifier_verdict", "verifier_score")
+    updates = view(spark, d, _PAGE3).withColumn("verifier_score", F.col("verifier_score").cast("double"))
+    return telemetry.write_back(evidence(spark, d), updates, "row_id", _WRITTEN).select("row_id", *_WRITTEN)
+
+
+@query("s07_write_back_dry_run", f"SELECT 2 * count(*) AS n_updates, count(*) AS n_unknown, count(*) FILTER (verifier_verdict IS DISTINCT FROM 'reject') AS changed_verifier_verdict, count(*) FILTER (verifier_score IS DISTINCT FROM 0.25) AS changed_verifier_score, count(*) FILTER (anchor_bbox IS NULL) AS changed_anchor_bbox FROM ({MODELS}) WHERE anchor_page = 3")
+def _(spark, d):
+    updates = view(spark, d, _PAGE3).withColumn("verifier_score", F.col("verifier_score").cast("double"))
+    unknown = updates.withColumn("row_id", F.concat(F.lit("no "), "row_id"))
+    return telemetry.write_back_counts(evidence(spark, d), updates.unionByName(unknown), "row_id", _WRITTEN)
 
 
 _COST = f"(SELECT row_id, cohort_id, CAST(length(cohort_id) * 100 AS DOUBLE) AS cost, length(cohort_id) * 1000 AS tokens, length(cohort_id) * 77 AS latency FROM ({MODELS}))"
@@ -127,29 +141,52 @@ def _(spark, d):
     return telemetry.undo_repeated_cost(rows, ["cohort_id"], ["model"])
 
 
-@query("a21_call_quality", f"SELECT coalesce(stage, 'unknown') AS stage, count(*) AS n_calls, round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END), 6) AS error_rate, CAST(sum(CASE WHEN cost_microusd > 0 THEN cost_microusd ELSE tokens_in + 5 * tokens_out END) AS BIGINT) AS cost FROM ({CALLS}) GROUP BY 1")
+@query("a21_call_quality", f"SELECT coalesce(stage, 'unknown') AS stage, count(*) AS n_calls, round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END), 6) AS error_rate, round(CAST(sum(coalesce(tokens_cached, 0)) AS DOUBLE) / nullif(sum(tokens_in), 0), 6) AS cache_share, CAST(sum(CASE WHEN cost_microusd > 0 THEN cost_microusd ELSE tokens_in + 5 * tokens_out END) AS BIGINT) AS cost FROM ({CALLS}) GROUP BY 1")
+def _(spark, d):
+    return telemetry.call_quality(view(spark, d, CALLS)).withColumns({c: F.round(c, 6) for c in ("error_rate", "cache_share")})
+
+
+@query("a12_coverage_by_metric", f"SELECT m AS best_metric, count(best_metric) AS n_predictors FROM (SELECT unnest(['AUC', 'c_index', 'OR', 'HR', 'RR']) AS m) LEFT JOIN {RANKED} ON best_metric = m GROUP BY 1")
 def _(spark, d):
-    return telemetry.call_quality(view(spark, d, CALLS)).withColumn("error_rate", F.round("error_rate", 6))
+    return rank.coverage(rank.rank_predictors(cleaned(spark, d)))
+
+
+_TARGETS = "SELECT DISTINCT p_brand AS predictor_canonical FROM {part} WHERE p_brand LIKE '%1'"
+_TEN = f"(SELECT predictor_canonical FROM {RANKED} ORDER BY {RANK_ORDER} LIMIT 10)"
 
 
-@query("a12_coverage_by_metric", f"SELECT effect_type, count(DISTINCT predictor_canonical) AS n_predictors, count(*) AS n_rows FROM {EV} WHERE effect_type IS NOT NULL GROUP BY 1")
+@query("a12_top_overlap", f"SELECT (SELECT count(*) FROM {_TEN}) AS n_top, count(*) AS n_overlap, coalesce(string_agg(predictor_canonical, ',' ORDER BY predictor_canonical), '') AS overlap, count(*) >= 3 AS passed FROM {_TEN} WHERE predictor_canonical IN ({_TARGETS})")
 def _(spark, d):
-    return evidence(spark, d).filter("effect_type is not null").groupBy("effect_type").agg(F.countDistinct("predictor_canonical").alias("n_predictors"), F.count("*").alias("n_rows"))
+    return rank.top_overlap(rank.rank_predictors(cleaned(spark, d)), view(spark, d, _TARGETS))
+
+
+_SHIFT = "CASE WHEN anchor_page % 4 = 0 THEN NULL WHEN anchor_page % 4 = 1 THEN concat(anchor_bbox, '5') ELSE anchor_bbox END"
+_BOXES = f"SELECT *, {_SHIFT} AS found_bbox FROM {EV}"
+_NUMBERS = "list_transform(string_split({}, ','), lambda x: CAST(x AS DOUBLE))"
+_NEAR = f"list_max(list_transform(list_zip({_NUMBERS.format('anchor_bbox')}, {_NUMBERS.format('found_bbox')}), lambda p: abs(p[1] - p[2]))) <= 0.01"
 
 
-@query("a18_quality_rates", f"SELECT paper_ref, round(avg(CASE WHEN anchor_section IS NULL THEN 0.0 ELSE 1.0 END), 6) AS bound_rate, round(avg(CASE WHEN coalesce(verifier_verdict, '') = 'reject' THEN 1.0 ELSE 0.0 END), 6) AS reject_rate FROM {EV} GROUP BY 1")
+@query("a18_quality_rates", f"SELECT paper_ref, round(avg(CASE WHEN anchor_page IS NULL THEN 0.0 ELSE 1.0 END), 6) AS bound_rate, round(avg(CASE WHEN anchor_bbox IS NOT NULL AND found_bbox IS NOT NULL THEN CASE WHEN {_NEAR} THEN 1.0 ELSE 0.0 END END), 6) AS bbox_rate, round(avg(CASE WHEN coalesce(verifier_verdict, '') = 'reject' THEN 1.0 ELSE 0.0 END), 6) AS reject_rate FROM (SELECT * EXCLUDE (anchor_page), nullif(anchor_page, 9) AS anchor_page, anchor_page AS p FROM ({_BOXES})) GROUP BY 1")
 def _(spark, d):
-    rates = {"bound_rate": F.col("anchor_section").isNotNull(), "reject_rate": F.coalesce(F.col("verifier_verdict") == "reject", F.lit(False))}
-    return evidence(spark, d).groupBy("paper_ref").agg(*[F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in rates.items()])
+    rows = evidence(spark, d).withColumns({"found_bbox": F.expr(_SHIFT)}).withColumn("anchor_page", F.nullif("anchor_page", F.lit(9)))
+    return catalog.quality_rates(rows, ["paper_ref"]).withColumns({c: F.round(c, 6) for c in ("bound_rate", "bbox_rate", "reject_rate")})
 
 
-@query("a20_export_manifest", f"SELECT count(*) AS n_rows, count(DISTINCT paper_ref) AS n_papers, bit_xor(CAST(concat('0x', substr(md5(row_id), 1, 12)) AS BIGINT)) AS content FROM {EV} WHERE outcome_type = 'los' AND anchor_page = 2")
+_HASHED = ["row_id", "predictors", "effect_size_str", "anchor_text", "verifier_verdict"]
+_BITS = "CAST(concat('0x', substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}, '')" for c in _HASHED) + ")), 1, 12)) AS BIGINT)"
+
+
+@query("a20_export_manifest", f"SELECT count(*) AS n_rows, count(DISTINCT paper_ref) AS n_papers, concat(bit_xor({_BITS}), '-', CAST(sum({_BITS} % 2147483648) % 2147483648 AS BIGINT)) AS content, '2024-01-01T00:00:00Z' AS generated_at, '1' AS schema_version FROM {EV}")
 def _(spark, d):
-    rows = evidence(spark, d).filter("outcome_type = 'los' and anchor_page = 2")
-    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("paper_ref").alias("n_papers"), F.bit_xor(F.conv(F.substring(F.md5(F.col("row_id").cast("binary")), 1, 12), 16, 10).cast("long")).alias("content"))
+    return catalog.export_manifest(evidence(spark, d), _HASHED, "2024-01-01T00:00:00Z")
+
+
+_SUMMED = "SELECT o_orderkey AS study, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 9 END AS anchor_page, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'warn' ELSE NULL END AS verifier_verdict FROM {orders}"
+_GROUPED = "SELECT l_orderkey AS study, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_partkey % 9 END AS anchor_page, CASE l_returnflag WHEN 'A' THEN 'Pass' WHEN 'R' THEN 'reject' ELSE 'odd' END AS verifier_verdict FROM {lineitem}"
+_FACTS = f"(SELECT study, anchor_page IS NOT NULL AS a, {_BUCKET} AS bucket FROM (SELECT * FROM ({_SUMMED}) UNION ALL SELECT * FROM ({_GROUPED})))"
+_COUNTS = ", ".join(["count(*) AS n", "count(*) FILTER (a) AS n_anchored", "CAST(count(*) FILTER (a) AS DOUBLE) / count(*) AS anchor_rate", *[f"count(*) FILTER (bucket = '{b}') AS n_{b}" for b in catalog.BUCKETS]])
 
 
-@query("a11_phenotype_diagnostics", f"SELECT method, count(*) AS n, round(avg(CASE WHEN cluster_label IS NULL THEN 0.0 ELSE 1.0 END), 6) AS anchored FROM ({_SUMMARY}) s JOIN ({_CLUSTER}) c ON c.summary_id = s.summary_id GROUP BY 1")
+@query("a11_phenotype_diagnostics", f"SELECT study, false AS overall, {_COUNTS} FROM {_FACTS} GROUP BY 1 UNION ALL SELECT NULL, true, {_COUNTS} FROM {_FACTS}")
 def _(spark, d):
-    rows = view(spark, d, _SUMMARY).join(view(spark, d, _CLUSTER), "summary_id")
-    return rows.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg(F.col("cluster_label").isNotNull().cast("double")), 6).alias("anchored"))
+    return catalog.phenotype_diagnostics(view(spark, d, _SUMMED), view(spark, d, _GROUPED))

@@ -60,6 +60,8 @@ SELECT concat(CAST(l.l_orderkey AS VARCHAR(20)), '-', CAST(l.l_linenumber AS VAR
  CAST(l.l_linenumber AS DOUBLE) / 10 AS verifier_score,
  CAST(1 + l.l_suppkey % 9 AS INT) AS anchor_page,
  concat(CASE l.l_returnflag WHEN 'R' THEN 'Non-survivors had ' WHEN 'A' THEN 'Survivors had ' ELSE 'Patients had ' END, CAST(CAST(l.l_quantity AS INT) AS VARCHAR(8)), ' of ', CAST(l.l_partkey % 40 AS VARCHAR(8)), ' and ', CAST(l.l_suppkey % 7 AS VARCHAR(8)), CASE WHEN l.l_suppkey % 4 = 0 THEN ', median 3.5' WHEN l.l_suppkey % 4 = 1 THEN ', t=2.1' ELSE '' END) AS anchor_text,
+ CASE WHEN l.l_suppkey % 6 = 5 THEN NULL ELSE concat(CAST(l.l_partkey % 500 AS VARCHAR(8)), '.00,', CAST(l.l_suppkey % 700 AS VARCHAR(8)), '.00,', CAST(l.l_partkey % 500 + 90 AS VARCHAR(8)), '.00,', CAST(l.l_suppkey % 700 + 9 AS VARCHAR(8)), '.00') END AS anchor_bbox,
+ CASE l.l_suppkey % 5 WHEN 0 THEN 'within 24 h of ICU admission' WHEN 1 THEN 'First 24 hours' WHEN 2 THEN 'Day 3' WHEN 3 THEN 'at admission to hospital' ELSE NULL END AS timing_predictor_measurement,
  CASE l.l_partkey % 6 WHEN 0 THEN 'Table 2' WHEN 1 THEN 'Figure 1' WHEN 2 THEN 'Results' WHEN 3 THEN 'Abstract' WHEN 4 THEN NULL ELSE 'Methods' END AS anchor_section
 FROM {{lineitem}} l JOIN {{part}} p ON p.p_partkey = l.l_partkey JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey
 """
@@ -67,7 +69,8 @@ FROM {{lineitem}} l JOIN {{part}} p ON p.p_partkey = l.l_partkey JOIN {{orders}}
 CALLS = """
 SELECT event_id AS call_id, ts, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS stage, concat('m', CAST(user_id % 3 AS VARCHAR(4))) AS model,
  concat('run_', CAST(user_id % 5 AS VARCHAR(4))) AS run_id, CAST(floor(value) AS BIGINT) AS tokens_in, CAST(floor(value / 4) AS BIGINT) AS tokens_out,
- CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END AS cost_microusd, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE NULL END AS error
+ CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END AS cost_microusd, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE NULL END AS error,
+ CAST(floor(value * 7) AS BIGINT) AS latency_ms, CASE WHEN event_id % 3 = 0 THEN CAST(floor(value / 2) AS BIGINT) ELSE NULL END AS tokens_cached
 FROM {events}
 """
 

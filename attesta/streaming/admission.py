@@ -56,18 +56,37 @@ def admissions(events: DataFrame, limit: int = 5, window_ms: int = 3_600_000, ch
     return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, RESULT)
 
 
-def admission_stream(events: DataFrame, limit: int = 5, window_ms: int = 3_600_000) -> DataFrame:
-    """The same for a stream (key, event_id, at): state per key, dropped when its window has passed."""
+STATE = "kept array<long>, times array<long>, ids array<long>"
+
+
+def admission_stream(events: DataFrame, limit: int = 5, window_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """The same for a stream (key, event_id, ts): decisions in event time, whatever batch an event comes in.
+
+    Events wait in the key's state until the watermark has passed them; then they are decided in order, so a
+    replay gives what ``admissions`` gives. Events later than ``late`` are dropped by the watermark. A timer in
+    event time decides waiting events and drops a key's state once its window has passed.
+    """
 
     def step(key, frames, state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        kept, times, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
+        for f in () if state.hasTimedOut else frames:
+            times += f["at"].tolist()
+            ids += f["event_id"].tolist()
+        now = state.getCurrentWatermarkMs()
+        waiting = sorted(zip(times, ids, strict=True))
+        ready = [x for x in waiting if x[0] <= now]
+        waiting = waiting[len(ready) :]
+        kept = deque(kept)
+        if ready:
+            yield _decide(pd.DataFrame({"key": [key[0]] * len(ready), "event_id": [i for _, i in ready], "at": [t for t, _ in ready]}), kept, limit, window_ms)
+        ends = ([waiting[0][0] + 1] if waiting else []) + ([kept[-1] + window_ms] if kept else [])
+        if not ends or (not waiting and max(ends) <= now):
+            if state.exists:
+                state.remove()
             return
-        kept = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(frames))
-        yield _decide(rows, kept, limit, window_ms)
-        state.update((list(kept),))
-        state.setTimeoutDuration(window_ms)
+        state.update((list(kept), [t for t, _ in waiting], [i for _, i in waiting]))
+        state.setTimeoutTimestamp(max(now + 1, min(ends) if waiting else max(ends)))
 
-    rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("long").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, RESULT, "kept array<long>", "append", "ProcessingTimeTimeout")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_millis("ts").alias("at"), "ts")
+    return rows.groupBy("key").applyInPandasWithState(step, RESULT, STATE, "append", "EventTimeTimeout")

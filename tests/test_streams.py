@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import ingest
 from attesta.sources import files
-from attesta.streaming.admission import admissions, admit
+from attesta.streaming.admission import admission_stream, admissions, admit
 from attesta.streaming.call_log import cost_rollup
 
 
@@ -21,6 +21,23 @@ def test_admissions_by_key(spark):
     assert admissions(events.filter(F.lit(False))).count() == 0
 
 
+def test_admission_stream_decides_in_event_time(spark, tmp_path):
+    start = 1_700_000_000_000
+    rows = [(["a", "b", None][i % 3], i, start + (i * 37 % 90) * 1000) for i in range(90)]
+    want = {r.event_id: (r.admitted, r.retry_after) for r in admissions(spark.createDataFrame(rows, "key string, event_id long, at long"), limit=3, window_ms=20_000).collect()}
+    (tmp_path / "in").mkdir()
+    batches = [rows[:40], rows[40:], [("z", 1000, start + 10_000_000)], [("z", 1001, start + 20_000_000)]]  # out of order within the first two
+    for i, b in enumerate(batches):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"key": k, "event_id": e, "at": t}) for k, e, t in b))
+    stream = spark.readStream.schema("key string, event_id long, at long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = admission_stream(stream.withColumn("ts", F.timestamp_millis("at")), limit=3, window_ms=20_000, late="2 minutes")
+    q = out.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.event_id: (r.admitted, r.retry_after) for r in spark.table("admitted").filter("event_id < 1000").collect()}
+    assert got == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     lines = [{"call_id": str(i), "ts": 1_700_000_000 + i * 600, "stage": ["a", None, ""][i % 3], "model": "m", "tokens_in": i, "tokens_out": 1, "cost_usd": 0.5} for i in range(60)]
     lines.append({"call_id": "last", "ts": 1_700_900_000, "stage": "a", "model": "m", "tokens_in": 0, "tokens_out": 0, "cost_usd": 0})
