@@ -147,20 +147,19 @@ def cross_page_slabs(rows: DataFrame) -> DataFrame:
     return wide.select(*TABLE_KEY, "row", F.lit(2).alias("n"), F.concat_ws(" ", "text", "nxt.text").alias("text"), *BOX, "canon", "page")
 
 
-def _in_scope(anchors: DataFrame, rows: DataFrame, only_named: bool = False) -> DataFrame:
-    """Pairs of anchors (anchor_id, doc_id, anchor, anchor_caption) and rows of their document: of the named
-    caption; without a name, if its tables have one caption only, of that (never, if ``only_named``)."""
+def _in_scope(anchors: DataFrame, candidates: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Pairs of anchors (anchor_id, doc_id, anchor, anchor_caption) and candidates of their document: of the named
+    caption; without a name only where all table rows of the document have one caption (never without rows)."""
     named = text_of(F.col("anchor_caption")) != ""
-    if only_named:
-        pairs, ok = anchors.join(rows, "doc_id"), F.lit(False)
-    else:
+    pairs, alone = anchors.join(candidates, "doc_id"), F.lit(False)
+    if rows is not None:
         one = rows.groupBy("doc_id").agg((F.countDistinct(F.lower(strip_continued(F.col("caption")))) <= 1).alias("__one"))
-        pairs, ok = anchors.join(one, "doc_id").join(rows, "doc_id"), F.col("__one")
-    return pairs.filter(F.when(named, caption_matches(F.col("caption"), F.col("anchor_caption"))).otherwise(ok)).drop("__one")
+        pairs, alone = anchors.join(one, "doc_id").join(candidates, "doc_id"), F.col("__one")
+    return pairs.filter(F.when(named, caption_matches(F.col("caption"), F.col("anchor_caption"))).otherwise(alone)).drop("__one")
 
 
-def _slab_hits(anchors: DataFrame, wide: DataFrame) -> DataFrame:
-    pairs = _in_scope(anchors, wide).withColumns({"aw": words(F.col("anchor")), "sw": words(F.col("text"))})
+def _slab_hits(anchors: DataFrame, wide: DataFrame, rows: DataFrame) -> DataFrame:
+    pairs = _in_scope(anchors, wide, rows).withColumns({"aw": words(F.col("anchor")), "sw": words(F.col("text"))})
     cover = F.size(F.array_intersect("aw", "sw")) / F.greatest(F.size("aw"), F.lit(1))
     needle = norm_anchor(F.col("anchor"))
     ok = (needle != "") & (norm_anchor(F.col("text")).contains(needle) | (cover >= 0.8))
@@ -171,9 +170,9 @@ def _slab_hits(anchors: DataFrame, wide: DataFrame) -> DataFrame:
 def slab_hits(anchors: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     """(anchor_id, kind, n, table, row, box): the smallest union of consecutive rows, in the scope of the anchor's
     caption, that holds the anchor or 0.8 of its words; where there is none, such a union across two pages."""
-    first = _slab_hits(anchors, slabs(rows, most))
+    first = _slab_hits(anchors, slabs(rows, most), rows)
     rest = anchors.join(first.select("anchor_id"), "anchor_id", "left_anti")
-    second = _slab_hits(rest, cross_page_slabs(rows).drop("canon", "page"))
+    second = _slab_hits(rest, cross_page_slabs(rows).drop("canon", "page"), rows)
     return first.withColumn("kind", F.lit("rows")).unionByName(second.withColumn("kind", F.lit("pages")))
 
 
@@ -186,7 +185,7 @@ def fingerprint_hits(anchors: DataFrame, rows: DataFrame) -> DataFrame:
     """(anchor_id, table, row): the one row under the anchor's caption that holds all of its three or more numbers
     with the fewest others."""
     a, r = anchors.withColumn("an", numbers(F.col("anchor"))).filter(F.size("an") >= 3), rows.withColumn("rn", numbers(F.col("text")))
-    held = _in_scope(a, r, only_named=True).filter(F.size(F.array_except("an", "rn")) == 0).withColumn("extra", F.size(F.array_except("rn", "an")))
+    held = _in_scope(a, r).filter(F.size(F.array_except("an", "rn")) == 0).withColumn("extra", F.size(F.array_except("rn", "an")))
     per = held.groupBy("anchor_id", "extra").agg(F.count("*").alias("n"), F.min(F.struct("table", "row")).alias("at"))
     best = per.groupBy("anchor_id").agg(F.min(F.struct("extra", "n", "at")).alias("b"))
     return best.filter("b.n = 1").select("anchor_id", "b.at.*")

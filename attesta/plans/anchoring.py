@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions.effects import with_effect_fields
 from attesta.operators import anchors, ingest, search, verify
 from attesta.plans.evidence import EV, evidence
+from attesta.plans.ingestion import PARSED
 from attesta.plans.registry import query
 from attesta.sources.adapters import COHORTS, MODELS, view
 
@@ -64,12 +65,19 @@ def _(spark, d):
     return ingest.grounding_context(titles, docs.select("doc_id", F.col("text").alias("body")), cells)
 
 
-_VAR = """CASE item % 6 WHEN 0 THEN substr(text, 5, 45) WHEN 1 THEN upper(substr(text, 3, 50)) WHEN 2 THEN replace(substr(text, 1, 40), ' ', '') WHEN 3 THEN concat(substr(text, 1, 25), ' | nothing') WHEN 4 THEN concat('zzz ', substr(text, 1, 200)) ELSE concat(substr(text, 1, 70), ' qqq www') END"""
+_VAR = """CASE item % 6 WHEN 0 THEN substr(text, 5, 45) WHEN 1 THEN upper(substr(text, 3, 50)) WHEN 2 THEN replace(substr(text, 1, 40), ' ', '') WHEN 3 THEN concat(substr(text, 1, 25), ' | nothing') WHEN 4 THEN CASE WHEN item % 12 = 4 THEN concat('Heart rate ', CAST(item AS VARCHAR(9)), ' of 90') ELSE concat('zzz ', substr(text, 1, 200)) END ELSE concat(substr(text, 1, 70), ' qqq www') END"""
 _ANCH = f"(SELECT concat(CAST(doc_id AS VARCHAR(20)), '-', CAST(item AS VARCHAR(20))) AS anchor_id, doc_id, {_VAR} AS anchor, CASE WHEN item % 4 = 0 THEN concat('S', CAST(item % 3 AS VARCHAR(4))) END AS anchor_section FROM {ITEMS} WHERE length(text) >= 60 AND regexp_matches(substr(text, 1, 80), '^[ -~]*$'))"
-_SPAN = f"(SELECT doc_id, item, text, CAST(1 + floor(item / 5) AS INT) AS page, concat('s', CAST(item % 3 AS VARCHAR(4))) AS section FROM {ITEMS})"
+_SPAN = f"(SELECT doc_id, item, text, CAST(1 + floor(item / 5) AS INT) AS page, concat('s', CAST(item % 3 AS VARCHAR(4))) AS section FROM {ITEMS} UNION ALL SELECT doc_id, 100000, 'Heart rate', 3, 's1' FROM documents UNION ALL SELECT doc_id, 100001, 'Heart rate', 5, 's1' FROM documents WHERE doc_id % 3 = 0)"
 
 
 def spans(spark, d) -> DataFrame:
+    """Lines of the documents, and a table cell in each; every third document has the cell on two pages."""
+    cell = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit("Heart rate").alias("text"), F.lit("s1").alias("section"))
+    cells = cell.withColumns({"item": F.lit(100_000), "page": F.lit(3)}).unionByName(cell.filter("doc_id % 3 = 0").withColumns({"item": F.lit(100_001), "page": F.lit(5)}))
+    return _lines(spark, d).unionByName(cells)
+
+
+def _lines(spark, d) -> DataFrame:
     return items(spark, d).withColumns({"page": F.floor(F.col("item") / 5).cast("int") + 1, "section": F.concat(F.lit("s"), (F.col("item") % 3).cast("string"))})
 
 
@@ -92,8 +100,8 @@ s AS (SELECT *, {_n('text')} AS tn, replace({_n('text')}, ' ', '') AS tp, {_w('t
 p AS (SELECT anchor_id, anchor_section, an, item, text, page, section, tn, CASE WHEN contains(text, anchor) THEN 1 WHEN contains(tn, an) THEN 2 WHEN length(ap) >= 12 AND contains(tp, ap) THEN 3
  WHEN contains(anchor, '|') AND length(trim(split_part(an, '|', 1))) >= 6 AND contains(tn, trim(split_part(an, '|', 1))) THEN 4 WHEN length(anchor) >= 30 AND {_JAC.format(a='aw', b='tw')} >= 0.85 THEN 5
  WHEN length(anchor) >= 60 AND contains(tn, substr(an, 1, 60)) THEN 6 WHEN regexp_extract(an, '^([a-z][a-z \\-]{{3,}}?)\\s*\\d', 1) <> '' AND tn = regexp_extract(an, '^([a-z][a-z \\-]{{3,}}?)\\s*\\d', 1) THEN 7 END AS tier FROM a JOIN s USING (doc_id)),
-g AS (SELECT *, count(*) OVER (PARTITION BY anchor_id, tier) AS n FROM p WHERE tier IS NOT NULL)
-SELECT anchor_id, tier, item, page FROM g WHERE NOT (tier = 6 AND n > 1)
+g AS (SELECT *, count(*) OVER (PARTITION BY anchor_id, tier) AS n, count(DISTINCT page) OVER (PARTITION BY anchor_id, tier) AS pages FROM p WHERE tier IS NOT NULL)
+SELECT anchor_id, tier, item, page FROM g WHERE NOT (tier = 6 AND n > 1) AND NOT (tier = 7 AND pages > 1)
  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY tier, CASE WHEN lower(coalesce(anchor_section, '')) = section THEN 0 ELSE 1 END, CASE WHEN tier = 4 AND NOT contains(an, tn) THEN 1 ELSE 0 END, length(text), item) = 1)"""
 
 
@@ -262,7 +270,28 @@ def claims(spark, d) -> DataFrame:
     return with_effect_fields(rows).withColumns({"span": F.concat_ws(" ", "effect_size_str", "anchor_text"), "anchor_unresolved": F.col("anchor_section").isNull(), "cross_check": F.col("cohort_size_n").isNotNull()})
 
 
-@query("v01_numeric_atoms")
+_GIVEN = ("effect_value", "ci_lo", "ci_hi", "p_value", "auc", "auc_ci_lo", "auc_ci_hi", "sens", "spec", "ppv", "npv", "c_index")
+_ABSENT = ("auc_ci_lo", "auc_ci_hi", "sens", "spec", "ppv", "npv")
+_SEEN = "list_transform(regexp_extract_all(regexp_replace(concat_ws(' ', effect_size_str, anchor_text), '(\\d),(\\d{3})', '\\1\\2', 'g'), '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE))"
+
+
+def _near(v: str, percent: bool = False) -> str:
+    one = [f"len(list_filter(seen, lambda x: abs(x - {w}) < 1e-3)) > 0" for w in ([v, f"{v} * 100", f"{v} / 100"] if percent else [v])]
+    return "(" + " OR ".join(one) + ")"
+
+
+def _atom(f: str) -> str:
+    told = f"p.{f}" if f in ("effect_value", "ci_lo", "ci_hi", "p_value", "auc", "auc_ci_lo", "auc_ci_hi", "sens", "spec") else "CAST(NULL AS DOUBLE)"
+    v = f"coalesce(e.{f}, {told})" if f not in _ABSENT else told
+    hit = _near(v, f in ("sens", "spec", "ppv", "npv", "auc"))
+    return f"CASE WHEN {v} IS NOT NULL THEN concat('{f}=', CASE WHEN {hit} THEN 'matched' WHEN {told} <> 0 AND abs({told} - {v}) > 1e-3 THEN 'contradicted' ELSE 'absent' END) END"
+
+
+_EXTRA = f"CASE WHEN size > 100 THEN concat('cohort_size=', CASE WHEN {_near('size')} THEN 'matched' ELSE 'absent' END) END, CASE WHEN mortality_rate_pct IS NOT NULL THEN concat('mortality=', CASE WHEN {_near('mortality_rate_pct')} THEN 'matched' ELSE 'absent' END) END"
+_COHORT_SIZE = "coalesce(TRY_CAST(regexp_extract(replace(coalesce(cohort_size_n, ''), ',', ''), '\\d+') AS BIGINT), 0)"
+
+
+@query("v01_numeric_atoms", f"SELECT e.row_id, concat_ws(';', {', '.join(_atom(f) for f in _GIVEN)}, {_EXTRA}) AS atoms FROM (SELECT *, {_SEEN} AS seen, {_COHORT_SIZE} AS size FROM {EV}) e JOIN {PARSED} p ON p.row_id = e.row_id")
 def _(spark, d):
     rows = verify.atoms(claims(spark, d))
     return rows.select("row_id", F.array_join(F.transform("atoms", lambda a: F.concat_ws("=", a["field"], a["state"])), ";").alias("atoms"))

@@ -24,31 +24,41 @@ def _(spark, d):
     return view(spark, d, CALLS).select("call_id", "ts", F.col("error").isNotNull().alias("failed"))
 
 
-_UPD = "SELECT concat(replace(n_name, ' ', '_'), '_', CAST(1990 + n_nationkey AS VARCHAR(8)), CASE WHEN n_nationkey % 2 = 0 THEN '.pdf' ELSE '' END) AS file_name, concat('New ', n_name) AS title, n_nationkey AS seq FROM {nation} WHERE n_nationkey % 4 > 1 UNION ALL SELECT concat(replace(n_name, ' ', '_'), '_', CAST(1990 + n_nationkey AS VARCHAR(8)), CASE WHEN n_nationkey % 2 = 0 THEN '.pdf' ELSE '' END), 'Last', 99 FROM {nation} WHERE n_nationkey = 6"
+_TARGET = "SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS state, o_custkey FROM {orders}"
+_UPDATES = "SELECT l_orderkey + CASE WHEN l_partkey % 50 = 0 THEN 900000000 ELSE 0 END AS k, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE concat('New ', CAST(l_partkey AS VARCHAR(9))) END AS title, 'X' AS state, CAST(l_partkey AS BIGINT) * 100000 + l_suppkey * 10 + l_linenumber AS seq FROM {lineitem} WHERE l_quantity > 25"
 
 
-@query("s05_upsert", f"SELECT coalesce(p.file_name, u.file_name) AS file_name, CASE WHEN u.file_name IS NOT NULL THEN u.title ELSE p.title END AS title, year, n_regionkey FROM ({PAPERS}) p FULL JOIN (SELECT file_name, arg_max(title, seq) AS title FROM ({_UPD}) GROUP BY 1) u ON u.file_name = p.file_name")
+@query("s05_upsert", f"SELECT coalesce(t.k, u.k) AS k, CASE WHEN u.k IS NOT NULL THEN u.title ELSE t.title END AS title, CASE WHEN u.k IS NOT NULL THEN u.state ELSE t.state END AS state, o_custkey FROM ({_TARGET}) t FULL JOIN (SELECT k, title, state FROM ({_UPDATES}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) u ON u.k = t.k")
 def _(spark, d):
-    return ingest.upsert(view(spark, d, PAPERS), view(spark, d, _UPD), "file_name", ["title"], "seq")
+    return ingest.upsert(view(spark, d, _TARGET), view(spark, d, _UPDATES), "k", ["title", "state"], "seq")
 
 
-@query("s10_pending", f"SELECT file_name FROM ({PAPERS}) WHERE n_regionkey NOT IN (1, 2)")
+@query("s10_pending", f"SELECT k FROM ({_TARGET}) WHERE k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 20) OR state = 'P'")
 def _(spark, d):
-    papers = view(spark, d, PAPERS)
-    done = papers.select("file_name", F.when(F.col("n_regionkey").isin(1, 2), 0).otherwise(1).alias("n_errors"))
-    return ingest.pending(papers, done, "file_name").select("file_name")
+    targets = view(spark, d, _TARGET)
+    runs = view(spark, d, "SELECT l_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS n_errors FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_quantity < 20")
+    return ingest.pending(targets, runs, "k").select("k")
 
 
-_CLAIM = ["predictors", "outcome_type", "anchor_page"]
+#: The claim's fields, its span, the document's text and the judging model.
+_CLAIM = ["predictors", "predictor_canonical", "outcome", "outcome_type", "outcome_window_days", "model_specification", "effect_type", "effect_value", "ci_lo", "ci_hi", "p_value", "effect_size_str", "auc", "c_index", "cutoff", "timing_predictor_measurement", "cohort_id", "paper_ref", "cohort_label", "cohort_size_n", "population_description", "population_location", "study_design", "mortality_rate_pct", "mortality_timepoint", "anchor_section", "anchor_text", "title", "judge"]
+
+
+def _claims(spark, d):
+    return evidence(spark, d).withColumns({"title": F.concat(F.lit("Document of "), "paper_ref"), "judge": F.lit("m1")})
 
 
 def _lookup(spark, d):
-    claims = view(spark, d, MODELS)
-    cache = claims.filter("anchor_page < 5").select(ingest.cache_key(claims, _CLAIM).alias("input_hash"), F.lit("seen").alias("response"), F.lit(1).alias("ts"))
+    claims = _claims(spark, d)
+    cache = claims.filter("anchor_page < 5").select(ingest.cache_key(claims, _CLAIM).alias("input_hash"), F.concat(F.lit("seen "), F.col("anchor_page").cast("string")).alias("response"), "anchor_page")
+    cache = cache.select("input_hash", "response", F.col("anchor_page").alias("ts"))
     return ingest.cached_lookup(claims, cache, _CLAIM)
 
 
-@query("s11_cached_lookup", f"SELECT row_id, CASE WHEN anchor_page < 5 THEN 'seen' END AS response FROM ({MODELS})")
+_SAME = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce(nullif(trim(CAST({c} AS VARCHAR)), ''), chr(30))" for c in _CLAIM if c not in ("title", "judge")) + "))"
+
+
+@query("s11_cached_lookup", f"WITH c AS (SELECT *, {_SAME} AS same FROM {EV}), k AS (SELECT same, arg_max(anchor_page, anchor_page) AS p FROM c WHERE anchor_page < 5 GROUP BY 1) SELECT row_id, 'seen ' || p AS response FROM c LEFT JOIN k ON k.same = c.same")
 def _(spark, d):
     hits, misses = _lookup(spark, d)
     return hits.select("row_id", "response").unionByName(misses.select("row_id", F.lit(None).cast("string").alias("response")))
@@ -60,11 +70,15 @@ def _(spark, d):
     return docs.select("doc_id", "sha256", F.substring("sha256", 1, 12).alias("short"))
 
 
-@query("s13_model_responses")
+_BODY = "CASE WHEN event_id % 5 = 0 THEN 'no object' WHEN event_id % 7 = 0 THEN replace(props, '}', ', \"verdict\": \"maybe\"}') WHEN event_id % 11 = 0 THEN concat(replace(props, '}', ', \"verdict\": \"ok\", \"score\": 1.7}')) ELSE concat('Answer: ', props, ' done') END"
+
+
+@query("s13_model_responses", f"""SELECT event_id, TRY_CAST(json_extract_string(j, '$.k') AS INT) AS k, coalesce(json_extract_string(j, '$.verdict'), 'partial') AS verdict, least(greatest(coalesce(CAST(json_extract_string(j, '$.score') AS DOUBLE), 0.5), 0), 1) AS score,
+ CASE WHEN j IS NULL THEN 'no JSON object' WHEN TRY_CAST(json_extract_string(j, '$.k') AS INT) IS NULL THEN 'missing field' WHEN coalesce(json_extract_string(j, '$.verdict'), 'partial') NOT IN ('ok', 'partial', 'reject') THEN 'verdict not allowed' END AS reason
+ FROM (SELECT event_id, nullif(regexp_extract({_BODY}, '\\{{.*\\}}'), '') AS j FROM events)""")
 def _(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    body = F.when(F.col("event_id") % 5 == 0, "no object").when(F.col("event_id") % 7 == 0, F.regexp_replace("props", r"\}", ', "verdict": "maybe"}')).otherwise(F.concat(F.lit("Answer: "), "props", F.lit(" done")))
-    return ingest.ingest_responses(events.select("event_id", body.alias("response"))).drop("response")
+    return ingest.ingest_responses(events.select("event_id", F.expr(_BODY).alias("response"))).drop("response")
 
 
 _POS = "(SELECT o_orderkey AS study, o_orderstatus <> 'P' AS positive FROM {orders})"
@@ -76,11 +90,18 @@ def _(spark, d):
     return ingest.ingest_phenotypes(view(spark, d, f"SELECT * FROM {_POS}").join(clusters, "study"))[1]
 
 
+@query("s18_phenotype_summaries", f"SELECT CASE WHEN positive THEN sha256(CAST(study AS VARCHAR)) END AS summary_id, study, CASE WHEN positive THEN n END AS n_clusters, positive, 0 AS n_errors FROM {_POS} JOIN (SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM {{lineitem}} GROUP BY 1) ON l_orderkey = study")
+def _(spark, d):
+    clusters = view(spark, d, "SELECT l_orderkey AS study, l_linenumber AS label, CAST(l_quantity AS INT) AS size FROM {lineitem}").groupBy("study").agg(F.collect_list(F.struct("label", "size")).alias("clusters"))
+    summaries, _, done = ingest.ingest_phenotypes(view(spark, d, f"SELECT * FROM {_POS}").join(clusters, "study"))
+    return done.join(summaries, "study", "left").select("summary_id", "study", "n_clusters", "positive", "n_errors")
+
+
 # The twin of the effect parser knows how the test texts are made: clauses apart by "; ", numbers in a fixed order.
 _NUMS = r"list_transform(regexp_extract_all({}, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE))"
 _CLAUSES = f"(SELECT row_id, c, {_NUMS.format('c[1]')} AS h, {_NUMS.format('c[2]')} AS a, {_NUMS.format('c[3]')} AS q, upper(regexp_extract(c[1], '^[A-Za-z]+')) AS label FROM (SELECT row_id, string_split(trim(coalesce(effect_size_str, '')), '; ') AS c FROM {EV}))"
 _RATIO = "label IN ('OR', 'AHR', 'RR')"
-_PARSED = f"""(SELECT row_id, CASE WHEN {_RATIO} THEN right(label, 2) WHEN len(a) > 0 THEN 'AUC' END AS effect_type,
+PARSED = _PARSED = f"""(SELECT row_id, CASE WHEN {_RATIO} THEN right(label, 2) WHEN len(a) > 0 THEN 'AUC' END AS effect_type,
  CASE WHEN {_RATIO} THEN h[1] ELSE a[1] END AS effect_value, CASE WHEN {_RATIO} THEN h[3] ELSE a[3] END AS ci_lo, CASE WHEN {_RATIO} THEN h[4] ELSE a[4] END AS ci_hi,
  h[5] AS p_value, a[1] AS auc, a[3] AS auc_ci_lo, a[4] AS auc_ci_hi, q[1] / 100 AS sens, q[2] AS spec, regexp_extract(c[4], '[0-9.]+$') AS cutoff FROM {_CLAUSES})"""
 _FIELDS = ("effect_type", "effect_value", "ci_lo", "ci_hi", "p_value", "auc", "auc_ci_lo", "auc_ci_hi", "sens", "spec", "cutoff")
@@ -103,18 +124,21 @@ def _(spark, d):
     return ingest.export_rows(evidence(spark, d))
 
 
-@query("s09_export_csv_columns")
+_PREFERRED = ["paper_ref", "predictors"]
+
+
+@query("s09_export_csv_columns", f"SELECT * FROM {EV}")
 def _(spark, d):
     rows = evidence(spark, d).withColumn("_score", F.lit(1.0))
-    return rows.select(*ingest.csv_columns(rows, ["paper_ref", "predictors"]))
+    return rows.select(*ingest.csv_columns(rows, _PREFERRED))
 
 
-_TXT = "SELECT l_orderkey, l_linenumber, l_partkey, concat(CASE l_partkey % 6 WHEN 0 THEN '  Mean   Arterial – Pressure ' WHEN 1 THEN 'Seymour 2016 (Hagel, 2013)  Overall' WHEN 2 THEN '2019 to 2021.' WHEN 3 THEN 'SOFA and saps II, DBP' WHEN 4 THEN '1,234 patients' ELSE 'In-hospital mortality;' END, CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR(8)) END) AS s FROM {lineitem}"
+_TXT = "SELECT l_orderkey, l_linenumber, l_partkey, concat(CASE l_partkey % 6 WHEN 0 THEN '  Mean   Arterial – Pressure ' WHEN 1 THEN 'Seymour 2016 (Hagel, 2013)  Overall' WHEN 2 THEN '2019 to 2021.' WHEN 3 THEN 'SOFA and saps II, DBP' WHEN 4 THEN '１,234 ﬁt patients' ELSE 'In-hospital mortality;' END, CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR(8)) END) AS s FROM {lineitem}"
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "s")
 
 
 def _plain(c: str) -> str:
-    return f"translate({c}, '‐‑‒–—―−', '-------')"
+    return f"translate(replace(replace({c}, '１', '1'), 'ﬁ', 'fi'), '‐‑‒–—―−', '-------')"
 
 
 _FIELD = f"regexp_replace(regexp_replace(regexp_replace(lower(trim({_plain('s')})), '(\\d{{4}})\\s*to\\s*(\\d{{4}})', '\\1-\\2', 'g'), '\\s+', ' ', 'g'), '[.,;:]+$', '')"
@@ -201,9 +225,22 @@ def _(spark, d):
     return evidence(spark, d).select("row_id", vocab.care_setting(F.col("population_description"), F.col("model_specification")).alias("setting"))
 
 
-@query("f17_outcome_class", f"SELECT cohort_id, CASE mortality_timepoint WHEN '28-day' THEN '28D' WHEN 'In-hospital' THEN 'HOSPITAL' WHEN 'ICU mortality' THEN 'ICU' WHEN '1-year mortality' THEN '1Y' ELSE '' END AS class FROM ({COHORTS})")
+_TP = "SELECT c_custkey, concat(CASE c_custkey % 9 WHEN 0 THEN '28-day' WHEN 1 THEN 'In-hospital mortality' WHEN 2 THEN 'ICU' WHEN 3 THEN 'death within one year' WHEN 4 THEN 'One-year  mortality.' WHEN 5 THEN '90 day mortality' WHEN 6 THEN '' WHEN 7 THEN 'mortality at 30d' ELSE 'readmission ' END, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' END) AS s FROM {customer}"
+_TPN = "regexp_replace(regexp_replace(lower(trim(s)), '\\s+', ' ', 'g'), '[.,;:]+$', '')"
+_CUT = f"trim(regexp_replace({_TPN}, '\\s*mortality\\s*$', ''))"
+
+
+def _in(c: str, words: tuple[str, ...]) -> str:
+    return f"{c} IN ({', '.join(repr(w) for w in words)})"
+
+
+def _class_case(test) -> str:
+    return "CASE " + " ".join(f"WHEN {test(w)} THEN '{k}'" for k, w in vocab.OUTCOMES.items()) + " END"
+
+
+@query("f17_outcome_class", f"SELECT c_custkey, coalesce({_class_case(lambda w: _in(_TPN, w))}, {_class_case(lambda w: _in(_CUT, w))}, {_class_case(lambda w: '(' + ' OR '.join(f'contains(concat(chr(32), {_TPN}, chr(32)), {chr(39)} {x} {chr(39)})' for x in w) + ')')}, {_TPN}) AS class FROM ({_TP})")
 def _(spark, d):
-    return view(spark, d, COHORTS).select("cohort_id", vocab.outcome_class(F.col("mortality_timepoint")).alias("class"))
+    return view(spark, d, _TP).select("c_custkey", vocab.outcome_class(F.col("s")).alias("class"))
 
 
 def _expanded() -> str:
@@ -221,7 +258,7 @@ def _(spark, d):
 _TIME = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Within 24 h of ICU admission' WHEN 1 THEN 'First 24 hours' WHEN 2 THEN 'ICU day 1' WHEN 3 THEN 'Day 7.' ELSE 'first day in ICU' END AS s FROM {orders}"
 
 
-@query("f19_timing_bucket", f"SELECT o_orderkey, CASE WHEN s = 'Day 7.' THEN 'day 7' ELSE 'FIRST_24H_ICU' END AS bucket FROM ({_TIME})")
+@query("f19_timing_bucket", f"SELECT o_orderkey, CASE WHEN contains(lower(s), '24 h') OR contains(lower(s), 'icu day 1') OR contains(lower(s), 'first day in icu') THEN 'FIRST_24H_ICU' ELSE rtrim(lower(s), '.') END AS bucket FROM ({_TIME})")
 def _(spark, d):
     return view(spark, d, _TIME).select("o_orderkey", vocab.timing_bucket(F.col("s")).alias("bucket"))
 
@@ -229,7 +266,7 @@ def _(spark, d):
 _DOI = "SELECT o_orderkey, concat(CASE o_orderkey % 3 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'DOI: ' ELSE ' ' END, '10.1/X', CAST(o_custkey AS VARCHAR(9))) AS doi, concat('MIMIC-III', CASE o_orderkey % 4 WHEN 0 THEN ' v1.4' WHEN 1 THEN ' (Johnson)' WHEN 2 THEN ' 2016' ELSE '' END) AS label FROM {orders}"
 
 
-@query("f20_doi_and_dataset", f"SELECT o_orderkey, concat('10.1/x', substr(doi, strpos(doi, '/X') + 2)) AS doi, 'mimic-iii' AS label FROM ({_DOI})")
+@query("f20_doi_and_dataset", f"SELECT o_orderkey, substr(lower(doi), strpos(doi, '10.1')) AS doi, rtrim(replace(split_part(split_part(split_part(lower(label), ' v', 1), ' (', 1), ' 2', 1), ' ', '-'), '-') AS label FROM ({_DOI})")
 def _(spark, d):
     return view(spark, d, _DOI).select("o_orderkey", text.norm_doi(F.col("doi")).alias("doi"), text.norm_dataset(F.col("label")).alias("label"))
 
@@ -247,7 +284,7 @@ def _(spark, d):
 _BB = "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 4 WHEN 0 THEN concat('[', l_partkey, ', 2.5, 3, ', l_suppkey, ']') WHEN 1 THEN concat(l_partkey, ',2,3') WHEN 2 THEN NULL ELSE concat('l: ', l_partkey, ', t: 1, r: 7.126, b: 9') END AS raw, l_suppkey FROM {lineitem}"
 
 
-@query("f25_bbox", f"SELECT l_orderkey, l_linenumber, l_partkey, raw, CASE l_partkey % 4 WHEN 0 THEN concat(l_partkey, '.00,2.50,3.00,', l_suppkey, '.00') WHEN 3 THEN concat(l_partkey, '.00,1.00,7.13,9.00') END AS bbox FROM ({_BB})")
+@query("f25_bbox", f"SELECT l_orderkey, l_linenumber, l_partkey, raw, CASE WHEN len(n) = 4 THEN concat_ws(',', printf('%.2f', n[1]), printf('%.2f', n[2]), printf('%.2f', n[3]), printf('%.2f', n[4])) END AS bbox FROM (SELECT *, list_transform(regexp_extract_all(coalesce(raw, ''), '[0-9.]+'), lambda x: CAST(x AS DOUBLE)) AS n FROM ({_BB}))")
 def _(spark, d):
     return view(spark, d, _BB).select("l_orderkey", "l_linenumber", "l_partkey", "raw", text.bbox_text(F.col("raw")).alias("bbox"))
 

@@ -30,15 +30,23 @@ def test_more_spans_never_lose_a_hit(spark):
     assert resolve(spark, "septic shock. Longer copy") == (anchors.EXACT, 2)
 
 
+ROWS = [(1, "Table 1", "t", 1, "Not present 413 18.2 13", 1), (1, "Table 1", "t", 2, "Present 1858 81.8 126", 1), (1, "Table 1", "t", 4, "Other 5 6 7", 1), (1, "Table 2", "u", 1, "Heart 44 55", 1), (1, "Table 2 (continued)", "v", 1, "rate 66 77", 2)]
+ANCHOR = "anchor_id string, doc_id int, anchor string, anchor_caption string"
+
+
 def test_slabs_and_numbers(spark):
-    rows = spark.createDataFrame([("t", 1, "Not present 413 18.2 13"), ("t", 2, "Present 1858 81.8 126"), ("t", 4, "Other 5 6 7")], "table string, row int, text string")
+    rows = spark.createDataFrame(ROWS, "doc_id int, caption string, table string, row int, text string, page int")
     for c in ("x0", "y0", "x1", "y1"):
         rows = rows.withColumn(c, F.col("row") * 1.0)
-    wide = anchors.slabs(rows)
-    assert [(r.row, r.n, r.y1) for r in wide.collect()] == [(1, 2, 2.0)]
-    a = spark.createDataFrame([("a", "t", "Not present 413 18.2 13 Present 1858 81.8 126"), ("b", "t", "413 of 18.2 and 13")], "anchor_id string, table string, anchor string")
-    assert [tuple(r) for r in anchors.slab_hits(a, wide).collect()][0] == ("a", 1, 2)
-    assert [tuple(r) for r in anchors.fingerprint_hits(a, rows).collect()] == [("b", 1)]
+    assert [(r.table, r.row, r.n, r.y1) for r in anchors.slabs(rows).collect()] == [("t", 1, 2, 2.0)]
+    both = "Not present 413 18.2 13 Present 1858 81.8 126"
+    a = spark.createDataFrame([("a", 1, both, "table 1"), ("b", 1, both, "Table 9"), ("c", 1, both, None), ("d", 1, "Heart 44 55 rate 66 77", "Table 2"), ("e", 1, "", "Table 1")], ANCHOR)
+    got = {r.anchor_id: (r.kind, r.n, r.table, r.row) for r in anchors.slab_hits(a, rows).collect()}
+    assert got == {"a": ("rows", 2, "t", 1), "d": ("pages", 2, "u", 1)}  # another caption; no caption, but two in the document
+    one = rows.filter("table = 't'")
+    assert {r.anchor_id for r in anchors.slab_hits(a, one).collect()} == {"a", "c"}
+    n = spark.createDataFrame([("b", 1, "413 of 18.2 and 13", "Table 1"), ("c", 1, "413 of 18.2 and 13", None), ("d", 1, "44 55", "Table 2")], ANCHOR)
+    assert [tuple(r) for r in anchors.fingerprint_hits(n, rows).collect()] == [("b", "t", 1)]
 
 
 def test_verdicts_of_claims(spark):

@@ -32,7 +32,8 @@ def test_vocabularies(spark):
 
 
 def test_text_forms(spark):
-    assert one(spark, text.norm_anchor, "A – b 1,388", None) == ["a - b 1388", ""]
+    assert one(spark, text.norm_anchor, "A – b 1,388", None, "Ｌactate ﬁt ², e\u0301") == ["a - b 1388", "", "lactate fit 2, \xe9"]
+    assert one(spark, text.norm_field, "２019 to 2021;") == ["2019-2021"]
     assert one(spark, text.norm_id_loose, "Seymour 2016 ALERTS (Hagel et al., 2013)    Overall") == ["seymour2016alertsoverall"]
     assert one(spark, text.bbox_text, "[1, 2, 3, 4]", "1,2,3", None) == ["1.00,2.00,3.00,4.00", None, None]
     assert one(spark, text.year_of_stem, "Author_2019_x", "x_1800", None) == [2019, None, None]
