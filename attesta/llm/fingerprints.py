@@ -1,13 +1,20 @@
-"""MinHash fingerprints of documents, and pairs of alike documents by banded signatures.
+"""MinHash fingerprints of documents, of their edited texts, and classes of alike documents.
 
 A signature holds the least value of each of ``PERMUTATIONS`` multiply-shift
 universal hashes over the five-word shingles of a text, computed in numpy for
 many texts at once. A text of fewer words, but not none, is one shingle; a text
 without words has an empty signature, which is like empty signatures only.
+Signatures are cut into bands, which are joined in Spark; links are verified by
+the Jaccard similarity of the shingle sets (module ``linking``).
+
+Documents are dealt to partitions by ranges of their order, so ids may be sparse,
+repeated or null; the last document of a partition meets the first of the next
+in a second step over one row for each partition.
 
 Defined cases: null text is empty text; documents are ordered by descending
 doc_id, then text, null ids last; repeated rows are documents of their own;
-other columns are ignored; a single document is its own next document.
+other columns are ignored; a single document is its own next document; a text
+without words is alike to none, and its alike_id is its own id.
 """
 
 from __future__ import annotations
@@ -17,25 +24,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm._shared import stage
-from attesta.llm._text import U, Bytes, Words, mix, segment_min, shingles, slices
+from attesta.llm._shared import release, shared_dir, stage
+from attesta.llm._text import U, mix, segment_min, slices
+from attesta.llm.linking import Bags, Flat, document_frequencies, first_rows, links, node_classes
 
-PERMUTATIONS, WORDS = 64, 5
+PERMUTATIONS, BANDS = 64, 16
 _seeds = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 A, B = _seeds[:PERMUTATIONS] | U(1), _seeds[PERMUTATIONS:]
 EMPTY = 0xFFFFFFFF
 
 
-def signatures(texts: pa.Array) -> np.ndarray:
+def signatures(texts: pa.Array, bags: Bags | None = None) -> np.ndarray:
     """(texts, PERMUTATIONS) of 32-bit minima; EMPTY throughout for texts without words."""
-    h, at = shingles(Words(Bytes(texts)), WORDS)
-    x = h >> U(32)
+    bags = bags or Bags(texts)
+    x = bags.feature >> U(12)
     out = np.empty((len(texts), PERMUTATIONS), dtype=np.uint32)
     for k in range(PERMUTATIONS):
-        out[:, k] = segment_min((x * A[k] + B[k]) >> U(32), at, EMPTY)
+        out[:, k] = segment_min((x * A[k] + B[k]) >> U(32), bags.at, EMPTY)
     return out
 
 
@@ -48,101 +57,96 @@ def as_text(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
+def bands(sig: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) hashes of the bands of signatures."""
+    rows = sig.astype(U).reshape(len(sig), BANDS, -1)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U) * U(0x632BE59BD9B4E019), (len(sig), BANDS)).copy()
+    for k in range(rows.shape[2]):
+        h = mix(h + mix(rows[:, :, k] * U(0x9E3779B97F4A7C15)))
+    return h.view(np.int64)
+
+
 def edited(text: str, following: str) -> str:
     """text whose last third of code points is replaced by the first ones of the following text."""
     k = len(text) // 3
     return text[: len(text) - k] + following[:k]
 
 
-def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Lists of (doc_id, text, next text) for rows in order; a row with ``extra`` only serves as next."""
-    held = None
-    for batch in batches:
-        for b in slices(batch, "text"):
-            out: tuple[list, list, list] = ([], [], [])
-            for doc_id, text, extra in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("extra").to_pylist(), strict=True):
-                if held is not None and not held[2]:
-                    for to, value in zip(out, (held[0], held[1], text), strict=True):
-                        to.append(value)
-                held = (doc_id, text, extra)
-            if out[0]:
-                yield out
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PRINTED = f"{RESULT}, uid long, text_key long, node binary, bands array<long>, part int, kind string, text string"
+NAMES = [c.split()[0] for c in PRINTED.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.string()]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _results(ids: list, keys: list, texts: list[str], following: str, uid: int, part: int) -> pa.RecordBatch:
+    """Rows of consecutive documents; ``following`` is the text after the last."""
+    bags = Bags(pa.array([*texts, following], pa.large_string()))
+    sig = signatures(bags.at[:-1], bags)
+    changed = [edited(a, b) for a, b in zip(texts, [*texts[1:], following], strict=True)]
+    own, new, n = sig[:-1], signatures(pa.array(changed, pa.large_string())), len(texts)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands(own).ravel()))
+    columns = [
+        ids, [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
+        [as_text(s) for s in own], [as_text(s) for s in new], likeness(own, new), likeness(own, sig[1:]),
+        np.arange(uid, uid + n), keys, bags.nodes()[:-1], lists, [part] * n, ["row"] * n, [None] * n,
+    ]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
+
+
+def _mark(kind: str, part: int, doc_id: int | None, key: int | None, text: str, uid: int) -> pa.RecordBatch:
+    """The first or last document of a partition, with its text."""
+    told = {"doc_id": doc_id, "text_key": key, "text": text, "uid": uid, "part": part, "kind": kind}
+    return pa.RecordBatch.from_arrays([pa.array([told.get(c)], k) for c, k in zip(NAMES, KINDS, strict=True)], NAMES)
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts, following in _in_order(batches):
-        changed = [edited(a, b) for a, b in zip(texts, following, strict=True)]
-        own, new, nxt = (signatures(pa.array(x, pa.large_string())) for x in (texts, changed, [*texts[1:], following[-1]]))
-        same = np.array([a is b or a == b for a, b in zip([*texts[1:], following[-1]], following, strict=True)])
-        for i in np.flatnonzero(~same):  # a block ended between the two
-            nxt[i] = signatures(pa.array([following[i]], pa.large_string()))[0]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
-                pa.array([as_text(s) for s in own]), pa.array([as_text(s) for s in new]),
-                pa.array(likeness(own, new)), pa.array(likeness(own, nxt)),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
-
-def fingerprint_report(documents: DataFrame, width: int = 1024) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
-
-    Documents are dealt by blocks of ``width`` ids; the first document of each
-    block is also sent to the next block above it that is not empty, so that each
-    block knows all its next documents. The table of first documents has a row
-    for each block.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    place = F.coalesce("doc_id", F.lit(-(2**63)))
-    docs = docs.withColumn("place", place).withColumn("block", F.expr(f"place div {width} - if(place < 0, 1, 0)"))
-    order = Window.partitionBy(F.lit(0)).orderBy("block")
-    heads = docs.groupBy("block").agg(F.max("place").alias("place"))
-    heads = heads.select("place", F.coalesce(F.lead("block").over(order), F.min("block").over(Window.partitionBy(F.lit(0)))).alias("block"))
-    heads = stage(heads, "heads")  # read back with its size, by which Spark broadcasts it or not
-    extra = docs.drop("block").join(heads, "place").select("doc_id", "text", "place", "block", F.lit(True).alias("extra"))
-    rows = docs.select("doc_id", "text", "place", "block", F.lit(False).alias("extra")).unionByName(extra).repartition("block")
-    rows = rows.sortWithinPartitions("block", "extra", F.desc("place"), "text").select("doc_id", "text", "extra")
-    return rows.mapInArrow(_printed, RESULT)
-
-
-def alike(documents: DataFrame, threshold: float = 0.8, bands: int = 16) -> DataFrame:
-    """(a, b, jaccard): each distinct text next to the least one of every signature band that it
-    shares, verified on the shingles themselves; a and b are the least doc_ids of their texts."""
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                sig = signatures(b.column("text")).astype(U)
-                rows = sig.reshape(len(sig), bands, -1)
-                h = np.zeros((len(sig), bands), dtype=U)
-                for k in range(rows.shape[2]):
-                    h = mix(h + rows[:, :, k] + U(k + 1))
-                h = mix(h + np.arange(bands, dtype=U) * U(0x632BE59BD9B4E019)).view(np.int64)
-                empty = (sig[:, 0] == EMPTY) & (sig == EMPTY).all(1)
-                lists = [[] if e else row.tolist() for e, row in zip(empty, h, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text", "bands"])
-
-    texts = documents.groupBy("text").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null and text is not null")
-    rows = stage(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signed, "doc_id long, text string, bands array<long>"), "signed")
-    each = rows.select("doc_id", F.explode("bands").alias("band"))
-    least = each.groupBy("band").agg(F.min("doc_id").alias("a"))
-    pairs = each.join(least, "band").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    left, right = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), rows.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (hx, ax), (hy, ay) = (shingles(Words(Bytes(b.column(c))), WORDS) for c in "xy")
-            jac = []
-            for i in range(b.num_rows):
-                x, y = np.unique(hx[ax[i] : ax[i + 1]]), np.unique(hy[ay[i] : ay[i + 1]])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                jac.append(both / max(1, len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(jac, pa.float64())], ["a", "b", "jaccard"])
-
-    return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
+    """Results of a partition's documents, in order, but the last, and marks of the first and the last."""
+    part, held = TaskContext.get().partitionId(), None
+    uid = part << 40
+    for batch in batches:
+        for b in slices(batch, "text", 1 << 20):
+            ids, keys, texts = (b.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))
+            if held is None:
+                yield _mark("head", part, ids[0], keys[0], texts[0], uid)
+            else:
+                ids, keys, texts = [held[0], *ids], [held[1], *keys], [held[2], *texts]
+            held = ids[-1], keys[-1], texts[-1]
+            if len(ids) > 1:
+                yield _results(ids[:-1], keys[:-1], texts[:-1], texts[-1], uid, part)
+                uid += len(ids) - 1
+    if held is not None:
+        yield _mark("tail", part, *held, uid)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield _results([r["doc_id"]], [r["text_key"]], [r["text"]], r["following"], r["uid"], r["part"])
+
+
+def printed(documents: DataFrame, folder: str) -> DataFrame:
+    """The columns of RESULT, and uid, text_key, node and bands, of every document."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    order = (F.desc_nulls_last("doc_id"), F.asc("text"))
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(ranged.mapInArrow(_printed, PRINTED), "printed", folder)
+    release(spark)
+    parts = [r["part"] for r in rows.filter("kind = 'head'").select("part").orderBy("part").collect()]  # numbers of partitions
+    following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part int, next int")
+    heads = rows.filter("kind = 'head'").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    tails = rows.filter("kind = 'tail'").select("part", "doc_id", "text_key", "uid", "text").join(following, "part").join(heads, "next").drop("next")
+    ends = stage(tails.mapInArrow(_ended, PRINTED), "ends", folder)
+    return rows.filter("kind = 'row'").unionByName(ends).drop("part", "kind", "text")
+
+
+def fingerprint_report(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Fingerprints of every text and of its edited text, their likeness, and alike_id: the least doc_id of the
+    documents that links of Jaccard similarity ``threshold`` or more connect with it."""
+    spark, folder = documents.sparkSession, shared_dir(documents.sparkSession)
+    rows = printed(documents, folder)
+    shared = spark.sparkContext.broadcast(document_frequencies(documents, Flat))
+    nodes = stage(first_rows(rows.select("uid", "doc_id", "text_key", "node", "bands")), "nodes", folder)
+    classes = node_classes(nodes, links(nodes, documents, shared, threshold, folder)).select("node", "class_id", F.lit(True).alias("known"))
+    out = rows.join(classes, "node", "left")
+    return out.select(*[c.split()[0] for c in RESULT.split(", ")], F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("alike_id"))

@@ -15,26 +15,72 @@ def test_words_and_shingles():
     assert at.tolist() == [0, 1, 3, 3, 4]
 
 
-def test_fingerprint_report(spark):
-    rng = random.Random(4)
-    docs = [(rng.randrange(10**6), " ".join(rng.choices(["ä", "bb", "ccc", "𝒳"], k=rng.randint(0, 60)))) for _ in range(300)] + [(5, None)]
-    docs = list({d[0]: d for d in docs}.values())
-    got = {r.doc_id: r for r in fingerprints.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string"), width=5000).collect()}
-    order = sorted(docs, reverse=True)
-    for i, (k, t) in enumerate(order):
-        t, following = t or "", order[(i + 1) % len(order)][1] or ""
+def minima(text):
+    """The signature of a text, one permutation and shingle at a time, in whole numbers."""
+    words = Words(Bytes(pa.array([text], pa.large_string())))
+    h, _ = shingles(words, 5)
+    out = []
+    for a, b in zip(fingerprints.A.tolist(), fingerprints.B.tolist(), strict=True):
+        out.append(min((((x >> 32) * a + b) % 2**64 >> 32 for x in h.tolist()), default=fingerprints.EMPTY))
+    return out
+
+
+def check_report(docs, rows):
+    """Every row against its own texts; docs are (doc_id, text) in the order of the operator."""
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append(r)
+    for i, (k, t) in enumerate(docs):
+        t, following = t or "", docs[(i + 1) % len(docs)][1] or ""
         cut = len(t) // 3
         new = t[: len(t) - cut] + following[:cut]
-        assert got[k].n_chars == len(t) and got[k].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert got[k].edited_fingerprint == fingerprints.as_text(fingerprints.signatures(pa.array([new]))[0])
-        assert got[k].near_next == (fingerprints.signatures(pa.array([t]))[0] == fingerprints.signatures(pa.array([following]))[0]).mean()
+        mine, its, nxt = minima(t), minima(new), minima(following)
+        want = (len(t), hashlib.sha256(new.encode()).hexdigest(), "".join(f"{x:08x}" for x in mine), "".join(f"{x:08x}" for x in its))
+        want += (sum(x == y for x, y in zip(mine, its, strict=True)) / 64, sum(x == y for x, y in zip(mine, nxt, strict=True)) / 64)
+        assert want in [(r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got[k]]
+
+
+def test_fingerprint_report(spark):
+    rng = random.Random(4)
+    docs = [(rng.randrange(10**12), " ".join(rng.choices(["ä", "bb", "ccc", "𝒳"], k=rng.randint(0, 60)))) for _ in range(150)] + [(5, None), (7, "x"), (7, "a b c"), (None, "b"), (None, "a a a a a a")]
+    rows = fingerprints.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    assert len(rows) == len(docs)
+    check_report(sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1] or "")), rows)
+
+
+def test_alike_documents_against_all_pairs(spark):
+    rng = random.Random(5)
+    words, docs = [f"w{i}" for i in range(4000)], []
+    for _ in range(40):
+        base = rng.choices(words, k=80)
+        for _ in range(rng.randint(1, 5)):
+            new = list(base)
+            for _ in range(rng.randint(0, 2)):
+                new[rng.randrange(80)] = rng.choice(words)
+            docs.append((len(docs) * 1009, " ".join(new)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.alike_id for r in fingerprints.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d[0]: docs[find(i)][0] for i, d in enumerate(docs)} and len(set(got.values())) < len(docs)
 
 
 def test_fingerprints_odd_rows(spark):
-    assert fingerprints.fingerprint_report(odd(spark)).count() == 9
+    rows = fingerprints.fingerprint_report(odd(spark)).collect()
+    assert len(rows) == 9 and {r.doc_id: r.alike_id for r in rows} == {1: 1, 2: 2, None: None, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
     assert fingerprints.fingerprint_report(empty(spark)).count() == 0
-    pairs = {(r.a, r.b) for r in fingerprints.alike(odd(spark)).collect()}
-    assert pairs == {(4, 5)}
+    one = fingerprints.fingerprint_report(odd(spark).filter("doc_id = 5")).first()
+    assert one.near_next == 1.0
 
 
 def test_url_rules_and_hosts(spark):
