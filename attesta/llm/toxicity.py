@@ -9,7 +9,7 @@ most ``max_labelled`` labelled documents of each class (those of the least
 hash); in each epoch a document is represented by its highest window.
 
 Defined cases: null text is empty text, which is one window of padding;
-repeated rows are scored each; labels, lang, source and doc_id are no inputs;
+repeated rows are scored each; of several texts of a labelled id the least is learned from; labels, lang, source and doc_id are no inputs;
 without labels of both classes every score is 0.
 """
 
@@ -286,7 +286,7 @@ def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = 1500) ->
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (part != 0))
     order = (F.xxhash64("doc_id"), "doc_id")
     known = known.filter("label = 1").orderBy(*order).limit(max_labelled).unionByName(known.filter("label = 0").orderBy(*order).limit(max_labelled))
-    learn = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    learn = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b.to_pandas() for b in batches if b.num_rows]

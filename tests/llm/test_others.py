@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
+import re
 
 import pyarrow as pa
+import xxhash
 
 from attesta.llm import _shared, fingerprints, packing, token_counts, urls
 from attesta.llm._text import Bytes, Words, shingles
@@ -86,7 +89,7 @@ def test_fingerprints_odd_rows(spark):
 def test_url_rules_and_hosts(spark):
     rows = [
         (1, "https://a.EXAMPLE.com/en/71?x"), (2, "http://com/en/"), (3, "http://x.example.net/de/8/9#y"), (4, "http://x.net/de/1"), (5, "ftp://y.org/es/"),
-        (6, None), (7, "no scheme"), (8, "http://spam-farm.example.org/en/1"), (9, "http://blog.thether.example.org/fr/1"), (10, "http://a://b/c"), (11, "http://notexample.com/en/7"),
+        (6, None), (7, "no scheme"), (8, "http://spam-mails.example.org/en/1"), (9, "http://blog.thether.example.org/fr/1"), (10, "http://a://b/c"), (11, "http://notexample.com/en/7"),
     ]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert [(got[i].rule, got[i].verdict) for i in range(1, 6)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
@@ -95,6 +98,31 @@ def test_url_rules_and_hosts(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_scores_by_hand(spark):
+    weights, bias = urls.fit(spark, urls.LABELLED[::9], rounds=5)
+    given = ["https://www.Free-Pills.test/En/7?x", "http://library.test/", None, "http://ünï.test/ä/1"]
+    rows = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    got = {r.page_id: r.score for r in urls.judge(rows, model=(weights, bias)).collect()}
+    for i, url in enumerate(given):
+        host, path = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url).groups() if url else ("", "")
+        total, n = 0.0, 0
+        for name, text in (("host", re.sub("[A-Z]", lambda m: m[0].lower(), host)), ("path", path)):
+            framed = f"^{text}$"
+            for size in (3, 4):
+                for at in range(len(framed) - size + 1):
+                    h = xxhash.xxh64_intdigest(framed[at : at + size].encode(), seed=xxhash.xxh64_intdigest(name.encode(), seed=42))
+                    total, n = total + weights[h % urls.BUCKETS], n + 1
+        assert abs(got[i] - 1 / (1 + math.exp(-bias - total / math.sqrt(max(1, n))))) < 1e-9
+
+
+def test_url_model_tells_other_names(spark):
+    bad = ["casino-lucky", "xxx-films", "spam-robot", "free-pills", "ads-network", "warez-world"]
+    good = ["botany", "sailing-club", "old-maps", "river-history", "tax-office", "children-books"]
+    rows = spark.createDataFrame([(i, f"http://www.{h}.test/en/{i}") for i, h in enumerate(bad + good)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(rows).collect()}
+    assert sum(got[i] == ("block" if i < 6 else "allow") for i in range(12)) >= 10
+
+
 def test_rollup_is_idempotent(spark):
     rollup = token_counts.Rollup(spark)
     kind = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"

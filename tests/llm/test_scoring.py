@@ -44,6 +44,26 @@ def test_quality_odd_rows(spark):
     assert quality.quality_scores(empty(spark), labels).count() == 0
 
 
+def test_scores_are_those_of_each_text_alone(spark):
+    docs, labels = labelled(spark, 60)
+    docs = docs.unionByName(odd(spark).select("doc_id", "text"))
+    model = quality.fitted(docs, labels, 8000)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in quality.quality_scores(docs, labels).collect())
+    want = sorted((r.doc_id is None, r.doc_id or 0, float(quality.scores_of(model, pa.array([r.text], pa.string()))[0])) for r in docs.collect())
+    assert np.allclose([g[2] for g in got], [w[2] for w in want]) and [g[:2] for g in got] == [w[:2] for w in want]
+    x = quality.features(pa.array(["Ab ab 1!", None], pa.string()))
+    assert np.allclose(x[0, -9:-4], [1 / 8, 3 / 8, 1 / 8, 0, 1 / 8]) and np.isclose(x[0, -1], 1 / 3) and np.isclose(x[0, -2], 2 / 3) and not x[1].any()
+
+
+def test_repeated_labelled_ids_are_learned_once(spark):
+    docs, labels = labelled(spark, 40)
+    again = docs
+    for _ in range(3):
+        again = again.unionByName(docs)
+    a, b = quality.fitted(docs, labels, 20), quality.fitted(again, labels.unionByName(labels), 20)
+    assert np.allclose(a[0], b[0]) and a[3] == b[3]
+
+
 def test_pairs_prefer_the_better():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
