@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Every benchmark item becomes windows of ``n`` consecutive words (an item of
-fewer words, but not none, is one shorter window). A bit set of fixed size over
+fewer words, but not none, is one shorter window). A bit set over
 the hashes of the windows' leading words travels with the plan; one scan over
 the documents keeps the windows whose bits are set. Only those are joined with
 the set of benchmark windows, which is broadcast when it holds at most
@@ -46,28 +46,33 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id"
     return grams.groupBy("len", F.xxhash64("gram").alias("h"), "gram").agg(F.collect_set("item").alias("items"))
 
 
-#: Size of the bit set: longs of 64 bits.
-SLOTS = 1 << 14
+#: Least and most longs of 64 bits in the bit set; beyond what these hold well, more windows are verified by the join.
+SLOT_BITS, MOST_SLOT_BITS = 14, 17
 LEAD = 3
 
 
-def _probes(words_: list[Column]) -> list[tuple[Column, Column]]:
+def slot_bits(n_windows: int) -> int:
+    """Size of the bit set, as a power of two: 16 bits or more for each window, within the bounds."""
+    return min(MOST_SLOT_BITS, max(SLOT_BITS, (n_windows // 4).bit_length()))
+
+
+def _probes(words_: list[Column], bits: int) -> list[tuple[Column, Column]]:
     """(slot, bit) of two independent probes for a window that begins with these words."""
     h = F.xxhash64(*words_)
-    return [(F.shiftrightunsigned(h, shift).bitwiseAND(SLOTS - 1).cast("int"), F.shiftrightunsigned(h, shift + 14).bitwiseAND(63).cast("int")) for shift in (0, 20)]
+    return [(F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1).cast("int"), F.shiftrightunsigned(h, shift + bits).bitwiseAND(63).cast("int")) for shift in (0, bits + 6)]
 
 
-def _bit_set(grams: DataFrame) -> Column:
-    """The bit set as a constant column; at most SLOTS rows reach the driver."""
+def _bit_set(grams: DataFrame, size: int) -> Column:
+    """The bit set of 2 to the ``size`` longs as a constant column; at most as many rows reach the driver."""
     lead = F.transform(F.slice("gram", 1, LEAD), lambda w: w)
     one = grams.withColumn("lead", lead)
     parts = []
     for length in range(1, LEAD + 1):
         own = one.filter(F.size("lead") == length)
-        parts += [own.select(slot.alias("slot"), F.expr("1L").alias("unit"), bit.alias("bit")) for slot, bit in _probes([F.get("lead", F.lit(i)) for i in range(length)])]
+        parts += [own.select(slot.alias("slot"), F.expr("1L").alias("unit"), bit.alias("bit")) for slot, bit in _probes([F.get("lead", F.lit(i)) for i in range(length)], size)]
     bits = reduce(DataFrame.unionByName, parts).select("slot", F.expr("shiftleft(unit, bit)").alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask"))
     filled = {r["slot"]: r["mask"] for r in bits.collect()}
-    return F.split(F.lit(",".join(str(filled.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(filled.get(i, 0)) for i in range(1 << size))), ",").cast("array<bigint>")
 
 
 def scan(documents: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,11 +80,12 @@ def scan(documents: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_co
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n rows
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), words(F.col(text_col)).alias("w"))
     docs = docs.withColumn("size", F.size("w"))
-    bits = _bit_set(grams)
+    size = slot_bits(grams.count())
+    bits = _bit_set(grams, size)
 
     def kept(length: int) -> Column:
         def set_at(i: Column) -> Column:
-            tests = [F.get(bits, slot).bitwiseAND(F.call_function("shiftleft", F.expr("1L"), bit)) != 0 for slot, bit in _probes([F.get("w", i + k) for k in range(min(LEAD, length))])]
+            tests = [F.get(bits, slot).bitwiseAND(F.call_function("shiftleft", F.expr("1L"), bit)) != 0 for slot, bit in _probes([F.get("w", i + k) for k in range(min(LEAD, length))], size)]
             return tests[0] & tests[1]
 
         starts = F.when(F.col("size") >= length, F.sequence(F.lit(0), F.col("size") - length))
@@ -90,7 +96,7 @@ def scan(documents: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_co
     return docs.select("doc_id", "text_key", F.col("size").cast("long").alias("n_words"), found.alias("candidates"))
 
 
-def hits(scanned: DataFrame, grams: DataFrame, max_broadcast_windows: int = 2_000_000) -> DataFrame:
+def hits(scanned: DataFrame, grams: DataFrame, max_broadcast_windows: int = 500_000) -> DataFrame:
     """(hit_id, hit_key, start, len, items): each place where a benchmark window occurs."""
     rows = scanned.filter(F.size("candidates") > 0).select("doc_id", "text_key", F.explode("candidates").alias("c"))
     rows = rows.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "c.start", F.col("c.gram").alias("own"), F.xxhash64("c.gram").alias("h"))
@@ -129,5 +135,4 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, n: int = 10) ->
     """The rows of documents, all their columns, in which no benchmark window occurs."""
     grams = stage(benchmark_windows(benchmark, n), "windows")
     dirty = hits(stage(scan(documents, grams), "scan"), grams).select("hit_id", "hit_key").distinct()
-    docs = documents.withColumn("__text_key", F.xxhash64("text"))
-    return docs.join(dirty, docs.doc_id.eqNullSafe(dirty.hit_id) & (docs["__text_key"] == dirty.hit_key), "left_anti").drop("__text_key")
+    return documents.join(dirty, documents["doc_id"].eqNullSafe(dirty["hit_id"]) & (F.xxhash64(documents["text"]) == dirty["hit_key"]), "left_anti")

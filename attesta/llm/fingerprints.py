@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm._shared import release, shared_dir, stage
@@ -57,13 +57,10 @@ def as_text(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) hashes of the bands of signatures."""
-    rows = sig.astype(U).reshape(len(sig), BANDS, -1)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U) * U(0x632BE59BD9B4E019), (len(sig), BANDS)).copy()
-    for k in range(rows.shape[2]):
-        h = mix(h + mix(rows[:, :, k] * U(0x9E3779B97F4A7C15)))
-    return h.view(np.int64)
+def bands(fingerprint: Column) -> Column:
+    """Array of hashes of the bands of a signature's text."""
+    width = 8 * PERMUTATIONS // BANDS
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(fingerprint, i * width + 1, width)) for i in range(BANDS)])
 
 
 def edited(text: str, following: str) -> str:
@@ -73,9 +70,9 @@ def edited(text: str, following: str) -> str:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-PRINTED = f"{RESULT}, uid long, text_key long, node binary, bands array<long>, part int, kind string, text string"
+PRINTED = f"{RESULT}, uid long, text_key long, node binary, part int, kind string, text string"
 NAMES = [c.split()[0] for c in PRINTED.split(", ")]
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.string()]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.string()]
 
 
 def _results(ids: list, keys: list, texts: list[str], following: str, uid: int, part: int) -> pa.RecordBatch:
@@ -84,11 +81,10 @@ def _results(ids: list, keys: list, texts: list[str], following: str, uid: int,
     sig = signatures(bags.at[:-1], bags)
     changed = [edited(a, b) for a, b in zip(texts, [*texts[1:], following], strict=True)]
     own, new, n = sig[:-1], signatures(pa.array(changed, pa.large_string())), len(texts)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands(own).ravel()))
     columns = [
         ids, [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
         [as_text(s) for s in own], [as_text(s) for s in new], likeness(own, new), likeness(own, sig[1:]),
-        np.arange(uid, uid + n), keys, bags.nodes()[:-1], lists, [part] * n, ["row"] * n, [None] * n,
+        np.arange(uid, uid + n), keys, bags.nodes()[:-1], [part] * n, ["row"] * n, [None] * n,
     ]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
 
@@ -125,7 +121,7 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def printed(documents: DataFrame, folder: str) -> DataFrame:
-    """The columns of RESULT, and uid, text_key, node and bands, of every document."""
+    """The columns of RESULT, and uid, text_key and node, of every document."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     order = (F.desc_nulls_last("doc_id"), F.asc("text"))
@@ -146,7 +142,7 @@ def fingerprint_report(documents: DataFrame, threshold: float = 0.8) -> DataFram
     spark, folder = documents.sparkSession, shared_dir(documents.sparkSession)
     rows = printed(documents, folder)
     shared = spark.sparkContext.broadcast(document_frequencies(documents, Flat))
-    nodes = stage(first_rows(rows.select("uid", "doc_id", "text_key", "node", "bands")), "nodes", folder)
+    nodes = stage(first_rows(rows.select("uid", "doc_id", "text_key", "node", bands(F.col("fingerprint")).alias("bands"))), "nodes", folder)
     classes = node_classes(nodes, links(nodes, documents, shared, threshold, folder)).select("node", "class_id", F.lit(True).alias("known"))
     out = rows.join(classes, "node", "left")
     return out.select(*[c.split()[0] for c in RESULT.split(", ")], F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("alike_id"))

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm._shared import stage
 from attesta.llm.decontaminate import word_count, words
 
 RESULT = "doc_id long, piece int, n_tokens long, bin_id string, offset long"
@@ -72,6 +73,7 @@ def _packer(capacity: int, max_per_source: int) -> Callable[[pd.DataFrame], pd.D
 
 def pack(lengths: DataFrame, capacity: int = 2048, max_per_source: int = 4, part_rows: int = 4096) -> DataFrame:
     """(doc_id, piece, n_tokens, bin_id, offset) of rows (doc_id, n_tokens, source, cluster)."""
+    lengths = stage(lengths.select("doc_id", "n_tokens", "source", "cluster"), "lengths")  # texts are read once
     parts = max(1, -(-lengths.count() // part_rows))
     rest = F.col("n_tokens") % capacity
     part = F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens"), F.lit(parts))

@@ -14,6 +14,8 @@ one before the next arrival. Levels are bucketed by anchor, so that scans and
 merges move no data. Entries with equal anchors but different runs may still
 share some of their strings: those are compared string by string.
 
+What is ordered by hash instead of by bytes, and why, is in the README.
+
 Defined cases: null text is empty; texts shorter than ``length`` are never
 touched; matches never cross documents; repeated rows are repeats of each other
 and both lose what they share; other columns are ignored; an empty table gives
@@ -61,8 +63,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def entries(own: Bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, anchor, run, lo, n): runs of n strings from byte lo of a text that have one anchor."""
+def entries(own: Bytes, length: int = LENGTH, most: int = 1 << 26) -> tuple[np.ndarray, ...]:
+    """(text, anchor, run, lo, n): runs of n strings from byte lo of a text that have one anchor.
+
+    A text of more than ``most`` bytes comes alone and is read in pieces that share length - 1 bytes: a string
+    is in one piece, and a run that a piece cuts is one of several runs of its anchor.
+    """
+    if len(own.at) == 2 and len(own.buf) > most:
+        parts = []
+        for start in range(0, len(own.buf) - length + 1, most):
+            piece = Bytes.__new__(Bytes)
+            piece.buf = own.buf[start : start + most + length - 1]
+            piece.at = np.array([0, len(piece.buf)])
+            text, anchor, run, lo, n = entries(piece, length, len(piece.buf))
+            parts.append((text, anchor, run, lo + start, n))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     none = tuple(np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64))
     count = np.maximum(np.diff(own.at) - length + 1, 0)
     if not count.sum():

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from attesta.llm.decontaminate import clean_documents, contamination_report
+from attesta.llm.decontaminate import clean_documents, contamination_report, slot_bits
 from tests.llm.common import empty, odd
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -50,3 +50,13 @@ def test_odd_rows_and_empty_tables(spark):
     rows = contamination_report(odd(spark), some).filter("contaminated").collect()
     assert [(r.doc_id, r.n_hit, r.n_items) for r in rows] == [(None, 6, 0)]
     assert contamination_report(empty(spark), some).count() == 0
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two three", "k", 1, "h")], "doc_id long, text string, __text_key string, hit_id int, hit_key string")
+    items = spark.createDataFrame([(1, "not there at all")], "item_id long, text string")
+    assert [tuple(r) for r in clean_documents(docs, items).collect()] == [(1, "one two three", "k", 1, "h")]
+
+
+def test_the_bit_set_grows_with_the_windows():
+    assert slot_bits(0) == 14 and slot_bits(100_000) == 15 and slot_bits(10**9) == 17

@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from attesta.llm import suffix_dedup as S
+from attesta.llm._text import Bytes
 from tests.llm.common import empty, odd
 
 
@@ -53,6 +56,25 @@ def test_large_groups_are_compared_by_rows(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute(docs, 200)
 
 
+def test_long_texts_are_read_in_pieces():
+    rng = random.Random(7)
+    text = "".join(rng.choices("abcdef ", k=4000)).encode()
+    own = Bytes(pa.array([text.decode()]))
+    whole, cut = S.entries(own), S.entries(own, most=700)
+    strings = [sorted((int(lo) + i, int(a)) for a, lo, n in zip(e[1], e[3], e[4], strict=True) for i in range(int(n))) for e in (whole, cut)]
+    assert strings[0] == strings[1] and len(strings[0]) == 4000 - 199  # every string once, with its anchor
+    assert len(cut[0]) > len(whole[0])
+
+
+def test_cut_runs_give_the_same_result(spark, monkeypatch):
+    entries = S.entries
+    monkeypatch.setattr(S, "entries", lambda own, length=200, most=300: entries(own, length, most) if len(own.at) == 2 else entries(own, length))
+    monkeypatch.setattr(S, "slices", lambda batch, column, limit=0: (batch.slice(i, 1) for i in range(batch.num_rows)))
+    docs = corpus()
+    got = S.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(docs, 200)
+
+
 def test_odd_rows(spark):
     got = {r.doc_id: r for r in S.without_repeats(odd(spark)).collect()}
     assert got[1].n_bytes == 0 and got[4].n_removed == got[4].n_bytes and got[5].n_removed == got[4].n_bytes
