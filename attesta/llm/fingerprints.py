@@ -125,7 +125,8 @@ def printed(documents: DataFrame, folder: str) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     order = (F.desc_nulls_last("doc_id"), F.asc("text"))
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges are told by the start of a text: equal starts stay together, and whole texts do not reach the driver
+    ranged = docs.repartitionByRange(order[0], F.substring("text", 1, 16)).sortWithinPartitions(*order)
     rows = stage(ranged.mapInArrow(_printed, PRINTED), "printed", folder)
     release(spark)
     parts = [r["part"] for r in rows.filter("kind = 'head'").select("part").orderBy("part").collect()]  # numbers of partitions

@@ -139,10 +139,34 @@ class Texts:
         release(self.spark, self.path)
 
 
-def _texts_of(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, from the first row of each; repeated rows bring a text several times."""
-    named = nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")).join(wanted, "node")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+#: The longs of the bit set that keeps texts at home which no node wants: 2 MB, whatever the size of the corpus.
+BIT_SET = 1 << 18
+
+
+def _wanted_bits(keys: DataFrame) -> np.ndarray:
+    """Bit set of the text_keys; at most BIT_SET rows reach the driver."""
+    slot, bit = F.shiftrightunsigned("text_key", 46), F.shiftrightunsigned("text_key", 40).bitwiseAND(63).cast("int")
+    rows = keys.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bits = np.zeros(BIT_SET, np.int64)
+    bits[rows["slot"].to_numpy()] = rows["mask"].to_numpy()
+    return bits.view(U)
+
+
+def _texts_of(wanted: DataFrame, nodes: DataFrame, documents: DataFrame, folder: str) -> DataFrame:
+    """(node, text) of the wanted nodes, from the first row of each; repeated rows bring a text several times.
+
+    Texts whose key is not in the bit set of the wanted ones are dropped before the join, so they are not moved.
+    """
+    spark = documents.sparkSession
+    named = stage(nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "named", folder)
+    shared = spark.sparkContext.broadcast(_wanted_bits(named.select(F.col("first_key").alias("text_key"))))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("text_key").to_numpy().view(U)
+            yield b.filter(pa.array(((shared.value[key >> U(46)] >> ((key >> U(40)) & U(63))) & U(1)).astype(bool)))
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(near, "doc_id long, text_key long, text string")
     return docs.join(named, docs.doc_id.eqNullSafe(F.col("first_id")) & (docs.text_key == F.col("first_key"))).select("node", "text")
 
 
@@ -217,7 +241,7 @@ def links(nodes: DataFrame, documents: DataFrame, shared: Broadcast, threshold:
     leaders = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("y"))
     met = stage(members.join(leaders, "band").select("band", F.col("node").alias("x"), "y"), "met", folder)
     release(spark)
-    texts = Texts(_texts_of(members.select("node").distinct(), nodes, documents), folder)
+    texts = Texts(_texts_of(members.select("node").distinct(), nodes, documents, folder), folder)
     release(spark, f"{folder}/members")
     star = stage(verified(met.filter("x <> y").select("x", "y").distinct(), texts.table(), shared).filter(F.col("sim") >= threshold).select("x", "y"), "star", folder)
     release(spark)
