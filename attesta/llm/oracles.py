@@ -42,8 +42,48 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN p USING (doc_id)
 """
 
+_TERMS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+BALL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+total AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+c AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM c GROUP BY t),
+x AS (SELECT r, doc_id, t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT)
+  * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * nd) // nt)))) AS s FROM c JOIN f USING (t), total),
+g AS (SELECT item_id, r, doc_id, CAST(sum(s * times) AS BIGINT) AS score FROM q JOIN x USING (t) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+# A checksum is the exclusive or of one constant for each byte and its distance from the end, and one for the length.
+SPELLING = f"""
+WITH RECURSIVE base AS (SELECT b, list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS b)),
+far AS (SELECT 0 AS k, b, v FROM base UNION ALL SELECT k + 1, far.b, xor(far.v >> 8, base.v) FROM far JOIN base ON base.b = far.v & 255 WHERE k < 400),
+begins AS (SELECT 0 AS len, CAST(4294967295 AS BIGINT) AS v UNION ALL SELECT len + 1, xor(begins.v >> 8, base.v) FROM begins JOIN base ON base.b = begins.v & 255 WHERE len < 400),
+runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+named AS (SELECT doc_id, run, times, hex(encode(doc_id || ':' || run)) AS h FROM runs),
+bytes AS (SELECT doc_id, run, length(h) // 2 AS len, unnest(range(length(h) // 2)) AS i, h FROM named),
+parts AS (SELECT doc_id, run, len, bit_xor(v) AS v FROM bytes JOIN far ON far.k = len - 1 - i AND far.b = CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) GROUP BY ALL),
+sums AS (SELECT doc_id, run, xor(xor(parts.v, begins.v), 4294967295) AS crc FROM parts JOIN begins USING (len)),
+slips AS (SELECT times, CASE WHEN crc % 199 = 0 THEN substr(run, 1, CAST(crc % length(run) AS INTEGER)) || substr(run, CAST(crc % length(run) AS INTEGER) + 2) ELSE run END AS word FROM runs JOIN sums USING (doc_id, run)),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slips WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+holes AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.rest = w.word UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS form, max(near_n) AS form_n FROM pairs GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT ways.word, forms.form, step + 1 FROM ways JOIN forms ON forms.word = ways.root WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM forms JOIN roots USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_token_counts": TOKEN_COUNTS,
     "op6_suffix_dedup": SUFFIX_DEDUP,
     "op9_decontaminate": DECONTAMINATE,
+    "op11_ball_search": BALL_SEARCH,
+    "op13_spelling": SPELLING,
 }

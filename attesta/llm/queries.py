@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import decontaminate, fingerprints, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity, urls
+from attesta.llm import ball_search, decontaminate, fingerprints, near_dedup, online_packing, packing, quality, sharding, spelling, suffix_dedup, token_counts, toxicity, urls
 from attesta.llm._shared import table
 
 
@@ -51,7 +52,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.document_lengths(table(spark, sf_dir, "documents")))
 
 
+def op11_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_fingerprints, op3_urls, op4_token_counts, op5_near_dedup, op6_suffix_dedup, op7_toxicity, op8_sharding, op9_decontaminate, op10_packing)
+    for f in (op1_quality, op2_fingerprints, op3_urls, op4_token_counts, op5_near_dedup, op6_suffix_dedup, op7_toxicity, op8_sharding, op9_decontaminate, op10_packing, op11_ball_search, op12_online_packing, op13_spelling)
 }
