@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,8 +39,8 @@ from attesta.llm._text import slices
 
 #: Characters of one class in every version of Unicode: ASCII, Latin letters, general punctuation.
 SAFE = re.compile("[\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
-#: The public pre-token rule of byte-level BPE, for SAFE characters.
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The public pre-token rule of byte-level BPE, its classes written out for SAFE characters.
+PRE_TOKEN = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Where a pre-token always ends: a letter before a blank and a letter.
 SEAM = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 CHUNK = 1 << 20
@@ -52,16 +52,19 @@ class Ids:
     def __init__(self, path: str, remembered: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered, self.known = Tokenizer.from_file(path), remembered, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.remembered = remembered
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, tokens: list[str]) -> None:
-        new = list({t for t in tokens if t not in self.known})
+    def _learn(self, tokens: set[str]) -> None:
+        """Know these pre-tokens; the others are forgotten if there are too many."""
+        new = [t for t in tokens if t not in self.known]
         if len(self.known) + len(new) > self.remembered:
-            self.known, new = {}, list(set(tokens))
+            self.known, new = {}, list(tokens)
         self.known.update(zip(new, self._encoded(new), strict=True))
 
     def _chunks(self, text: str) -> Iterator[str]:
@@ -76,21 +79,9 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         plain = [SAFE.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        tokens = [[PRE_TOKEN.findall(c) for c in self._chunks(t)] if p else [] for t, p in zip(texts, plain, strict=True)]
-        if missing := [t for parts in tokens for part in parts for t in part if t not in self.known]:
-            self._learn(missing)
-        out = []
-        for text, p, parts in zip(texts, plain, tokens, strict=True):
-            if not p:
-                out.append(self._encoded([text])[0])
-                continue
-            try:
-                out.append(b"".join(self.known[t] for part in parts for t in part))
-            except KeyError:  # what a text of this list needs was forgotten for another
-                for part in parts:
-                    self._learn(part)
-                out.append(b"".join(self._encoded([t])[0] if t not in self.known else self.known[t] for part in parts for t in part))
-        return out
+        tokens = [[t for c in self._chunks(text) for t in PRE_TOKEN.findall(c)] if p else [] for text, p in zip(texts, plain, strict=True)]
+        self._learn({t for own in tokens for t in own})
+        return [b"".join(map(self.known.__getitem__, own)) if p else self._encoded([text])[0] for text, p, own in zip(texts, plain, tokens, strict=True)]
 
 
 _loaded: dict[str, Ids] = {}

@@ -208,7 +208,7 @@ def misspelt(seed):
             at = rng.randrange(len(w))
             text.append(rng.choice([w, w, w, w, w[:at] + w[at + 1 :], w[:at] + rng.choice("eßÿ") + w[at:], w[:at] + rng.choice("ab") + w[at + 1 :]]))
         docs.append((i * 37, " ".join(text)))
-    docs += [(1000 + i, w * n) for w, n, times in (("kettedc ", 20, 12), ("ketteac ", 8, 4), ("ketteab ", 3, 2)) for i in range(times)]
+    docs += [(1000 + i, w * n) for w, n, times in (("kettedc ", 20, 20), ("ketteac ", 12, 5), ("ketteab ", 3, 2)) for i in range(times)]
     return docs + [(None, docs[0][1]), (5, None), (5, ""), (5, docs[1][1]), (5, docs[1][1])]
 
 
