@@ -1,9 +1,8 @@
 """Binding of verbatim anchors to spans of documents.
 
-Anchors and spans meet on the document key only. Every span's normal forms are
-computed once, before the join; a case expression tries the tiers from exact to
-loose, and one aggregation per anchor with partial combine keeps the first tier
-that hits.
+Anchors meet the spans that an inverted index names (``anchor_index``). On these
+pairs a case expression tries the tiers from exact to loose, and one aggregation
+per anchor with partial combine keeps the first tier that hits.
 """
 
 from __future__ import annotations
@@ -14,50 +13,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import jaccard, norm_anchor, text_of, words
+from attesta.operators.anchor_index import ALIKE, ALIKE_LENGTH, HEAD_LENGTH, PROBE_LENGTH, candidates, label_of, prepared, probe_of
 
 EXACT, NORMAL, PACKED, PIPE, TOKENS, HEAD, LABEL = range(1, 8)
 
 
-def with_forms(rows: DataFrame, text: str = "text") -> DataFrame:
-    norm = norm_anchor(F.col(text))
-    return rows.withColumns({f"{text}_norm": norm, f"{text}_packed": F.regexp_replace(norm, r"\s", ""), f"{text}_words": words(F.col(text))})
-
-
 def tier() -> Column:
     """Tier of a pair of anchor and span, NULL if none holds."""
     n = F.length("anchor")
-    probe = F.trim(F.substring_index("anchor_norm", "|", 1))
-    label = F.regexp_extract("anchor_norm", r"^([a-z][a-z \-]{3,}?)\s*\d", 1)
+    probe, label = probe_of(F.col("anchor_norm")), label_of(F.col("anchor_norm"))
     return (
         F.when(F.col("text").contains(F.col("anchor")), EXACT)
-        .when(F.col("text_norm").contains(F.col("anchor_norm")), NORMAL)
+        .when((F.col("anchor_norm") != "") & F.col("text_norm").contains(F.col("anchor_norm")), NORMAL)
         .when((F.length("anchor_packed") >= 12) & F.col("text_packed").contains(F.col("anchor_packed")), PACKED)
-        .when(F.col("anchor").contains("|") & (F.length(probe) >= 6) & F.col("text_norm").contains(probe), PIPE)
-        .when((n >= 30) & (jaccard(F.col("anchor_words"), F.col("text_words")) >= 0.85), TOKENS)
-        .when((n >= 60) & F.col("text_norm").contains(F.substring("anchor_norm", 1, 60)), HEAD)
-        .when((label != "") & (F.col("text_norm") == label), LABEL)
+        .when(F.col("anchor").contains("|") & (F.length(probe) >= PROBE_LENGTH) & F.col("text_norm").contains(probe), PIPE)
+        .when((n >= ALIKE_LENGTH) & (jaccard(F.col("anchor_words"), F.col("text_words")) >= ALIKE), TOKENS)
+        .when((n >= HEAD_LENGTH) & F.col("text_norm").contains(F.substring("anchor_norm", 1, HEAD_LENGTH)), HEAD)
+        .when((label != "") & (F.col("kind") == "table_cell") & (F.col("text_norm") == label), LABEL)
     )
 
 
 def resolve(anchors: DataFrame, spans: DataFrame) -> DataFrame:
     """(anchor_id, tier, item, text, page) of anchors (anchor_id, doc_id, anchor, anchor_section).
 
-    Spans are (doc_id, item, text, page, section). Of a tier's hits those of the
-    anchor's section come first, then spans inside a piped anchor, the shortest
-    text, the least item. Heads must hit once, labels on one page; a tier that
-    fails so gives way to the next.
+    Spans are (doc_id, item, text, page, section, kind). Of a piped anchor's hits
+    table cells and spans inside the anchor come first; then those of the anchor's
+    section, the shortest text, the least item. Heads must hit once, labels are
+    table cells on one page; a tier that fails so gives way to the next. Empty
+    anchors have no hit.
     """
-    pairs = with_forms(anchors, "anchor").join(with_forms(spans), "doc_id").withColumn("tier", tier()).filter("tier is not null")
+    spans = prepared(spans.select("doc_id", "item", "text", "page", "section", "kind"))
+    named = candidates(anchors.filter("anchor <> ''").select("anchor_id", "doc_id", "anchor", "anchor_section"), spans).withColumnRenamed("doc_id", "own")
+    pairs = named.join(spans, "span").filter("own = doc_id").withColumn("tier", tier()).filter("tier is not null")
     section = F.lower(F.trim(text_of(F.col("anchor_section"))))
     miss = F.when((section != "") & (F.lower(F.trim(text_of(F.col("section")))) == section), 0).otherwise(1)
-    outside = F.when((F.col("tier") == PIPE) & ~F.col("anchor_norm").contains(F.col("text_norm")), 1).otherwise(0)
-    order = F.struct(miss, outside, F.length("text"), F.col("item"))
-    per = pairs.groupBy("anchor_id", "tier").agg(F.min_by(F.struct("item", "text", "page"), order).alias("hit"), F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
-    per = per.filter(~((F.col("tier") == HEAD) & (F.col("n") > 1)) & ~((F.col("tier") == LABEL) & (F.col("pages") > 1)))
+    inside = F.col("anchor_norm").contains(F.col("text_norm")) | F.coalesce(F.col("kind") == "table_cell", F.lit(False))
+    outside = F.when((F.col("tier") == PIPE) & ~inside, 1).otherwise(0)
+    order = F.struct(outside, miss, F.length("text"), F.col("item"))
+    per = pairs.groupBy("anchor_id", "tier").agg(F.min_by(F.struct("item", "text", "page"), order).alias("hit"), F.count("*").alias("n"), (F.min("page") != F.max("page")).alias("pages"))
+    per = per.filter(~((F.col("tier") == HEAD) & (F.col("n") > 1)) & ~((F.col("tier") == LABEL) & F.coalesce("pages", F.lit(False))))
     best = per.groupBy("anchor_id").agg(F.min(F.struct("tier", "hit")).alias("b"))
     return best.select("anchor_id", "b.tier", "b.hit.item", "b.hit.text", "b.hit.page")
 
 
+def contained(anchors: DataFrame, spans: DataFrame) -> DataFrame:
+    """(anchor_id, item) of every span of the anchor's document that holds the anchor as it stands."""
+    spans = prepared(spans.select("doc_id", "item", "text", "page", "section", "kind"))
+    named = candidates(anchors.filter("anchor <> ''").select("anchor_id", "doc_id", "anchor"), spans, full=False).withColumnRenamed("doc_id", "own")
+    return named.join(spans, "span").filter((F.col("own") == F.col("doc_id")) & F.col("text").contains(F.col("anchor"))).select("anchor_id", "item")
+
+
 def rebind(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows (row_id, page, section, bbox) with the hit's values; a bbox is never replaced by NULL."""
     new = hits.select("row_id", *[F.col(c).alias(f"__{c}") for c in ("page", "section", "bbox")], F.lit(True).alias("__hit"))
@@ -104,11 +109,15 @@ TABLE_KEY = ("doc_id", "caption", "table")
 BOX = ("x0", "y0", "x1", "y1")
 
 
+def table_rows(cells: DataFrame) -> DataFrame:
+    """(doc_id, caption, table, row, c, x0, y0, x1, y1, page): c holds the row's cells (col, text) in order."""
+    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    return cells.groupBy(*TABLE_KEY, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"), *box, F.min("page").alias("page"))
+
+
 def row_union(cells: DataFrame) -> DataFrame:
     """(doc_id, caption, table, row, text, x0, y0, x1, y1, page) of cells of these and col."""
-    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
-    out = cells.groupBy(*TABLE_KEY, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("c"), *box, F.min("page").alias("page"))
-    return out.withColumn("text", F.array_join("c.text", " ")).drop("c")
+    return table_rows(cells).withColumn("text", F.array_join("c.text", " ")).drop("c")
 
 
 def slabs(rows: DataFrame, most: int = 3) -> DataFrame:

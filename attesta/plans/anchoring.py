@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.effects import with_effect_fields
 from attesta.operators import anchors, ingest, search, verify
+from attesta.operators.spans import build_spans
 from attesta.plans.evidence import EV, evidence
 from attesta.plans.ingestion import PARSED
 from attesta.plans.registry import query
@@ -65,25 +66,56 @@ def _(spark, d):
     return ingest.grounding_context(titles, docs.select("doc_id", F.col("text").alias("body")), cells)
 
 
-_VAR = """CASE item % 6 WHEN 0 THEN substr(text, 5, 45) WHEN 1 THEN upper(substr(text, 3, 50)) WHEN 2 THEN replace(substr(text, 1, 40), ' ', '') WHEN 3 THEN concat(substr(text, 1, 25), ' | nothing') WHEN 4 THEN CASE WHEN item % 12 = 4 THEN concat('Heart rate ', CAST(item AS VARCHAR(9)), ' of 90') ELSE concat('zzz ', substr(text, 1, 200)) END ELSE concat(substr(text, 1, 70), ' qqq www') END"""
-_ANCH = f"(SELECT concat(CAST(doc_id AS VARCHAR(20)), '-', CAST(item AS VARCHAR(20))) AS anchor_id, doc_id, {_VAR} AS anchor, CASE WHEN item % 4 = 0 THEN concat('S', CAST(item % 3 AS VARCHAR(4))) END AS anchor_section FROM {ITEMS} WHERE length(text) >= 60 AND regexp_matches(substr(text, 1, 80), '^[ -~]*$'))"
-_SPAN = f"(SELECT doc_id, item, text, CAST(1 + floor(item / 5) AS INT) AS page, concat('s', CAST(item % 3 AS VARCHAR(4))) AS section FROM {ITEMS} UNION ALL SELECT doc_id, 100000, 'Heart rate', 3, 's1' FROM documents UNION ALL SELECT doc_id, 100001, 'Heart rate', 5, 's1' FROM documents WHERE doc_id % 3 = 0)"
+_UPPER = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_VAR = f"""CASE item % 6 WHEN 0 THEN substr(text, 5, 45) WHEN 1 THEN translate(substr(text, 3, 50), {_UPPER}) WHEN 2 THEN replace(substr(text, 1, 40), ' ', '')
+ WHEN 3 THEN CASE item % 18 WHEN 3 THEN concat('Heart rate | ', CAST(item AS VARCHAR(9))) WHEN 9 THEN concat('SPECIFIED | ', CAST(item AS VARCHAR(9)), ' | 7') ELSE concat(substr(text, 1, 25), ' | nothing') END
+ WHEN 4 THEN CASE WHEN item % 12 = 4 THEN concat('Heart rate ', CAST(item AS VARCHAR(9)), ' of 90') ELSE concat('zzz ', substr(text, 1, 200)) END
+ ELSE concat(substr(text, 1, 70), ' qqq www') END"""
+_ANCH = f"""(SELECT concat(CAST(doc_id AS VARCHAR(20)), '-', CAST(item AS VARCHAR(20))) AS anchor_id, doc_id, {_VAR} AS anchor,
+ CASE WHEN item % 4 = 0 THEN concat('S', CAST(item % 3 AS VARCHAR(4))) END AS anchor_section FROM {ITEMS})"""
+
+#: Offsets: the lines of a document in its text. Cells: a heart rate in each document (in every third one on two pages),
+#: and the orders of the corpus as rows of the documents' tables.
+_OFFSETS = f"""(SELECT doc_id, item, start, start + n AS "end", CAST(1 + floor(item / 5) AS INT) AS page, concat('s', CAST(item % 3 AS VARCHAR(4))) AS section,
+ CASE WHEN n < 40 THEN 'heading' END AS kind, text FROM (SELECT doc_id, item, length(text) AS n, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {ITEMS}))"""
+_DOC = "(SELECT count(*) FROM documents)"
+_TABLE_CELLS = f"""(SELECT doc_id, 's1' AS caption, 0 AS tab, r, unnest([0, 1, 2]) AS col, unnest(['Heart rate', CAST(doc_id % 200 AS VARCHAR), '90']) AS text, 3 + 2 * r AS page, 5 * r AS y FROM (SELECT doc_id, unnest(range(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END)) AS r FROM documents)
+ UNION ALL SELECT o_orderkey % {_DOC}, concat('Table ', CAST(o_orderkey % 7 AS VARCHAR(9))), o_orderkey, 0, unnest([0, 1, 2]), unnest([o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, CAST(o_custkey AS VARCHAR)]), CAST(o_orderkey % 11 AS INT), 0 FROM orders)"""
+_PLACE = "1152921504606846976 + tab * 1073741824 + r * 1024"
+_FILLED = f"(SELECT * FROM {_TABLE_CELLS} WHERE text <> '')"
+_SPAN = f"""(SELECT doc_id, CAST(item AS BIGINT) AS item, text, page, section, coalesce(kind, 'body') AS kind, CAST(NULL AS DOUBLE) AS y1 FROM {_OFFSETS} WHERE text <> ''
+ UNION ALL SELECT doc_id, {_PLACE} + col, text, page, caption, 'table_cell', CAST(y + 4 AS DOUBLE) FROM {_FILLED}
+ UNION ALL SELECT doc_id, {_PLACE} + 1023, string_agg(text, ' ' ORDER BY col), min(page), caption, 'table_row', CAST(max(y + 4) AS DOUBLE) FROM {_FILLED} GROUP BY doc_id, caption, tab, r)"""
+
+
+def _offsets(spark, d) -> DataFrame:
+    rows = items(spark, d).withColumn("n", F.length("text"))
+    before = Window.partitionBy("doc_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))
+    rows = rows.select("doc_id", "item", start.alias("start"), (start + F.col("n")).alias("end"), (F.floor(F.col("item") / 5) + 1).cast("int").alias("page"), F.concat(F.lit("s"), (F.col("item") % 3).cast("string")).alias("section"), F.when(F.col("n") < 40, "heading").alias("kind"))
+    return rows.withColumns({c: F.lit(None).cast("double") for c in anchors.BOX})
+
+
+def _table_cells(spark, d) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    own = docs.select("doc_id", F.lit("s1").alias("caption"), F.lit(0).cast("long").alias("table"), F.explode(F.sequence(F.lit(0), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0))).alias("row"), F.array(F.lit("Heart rate"), (F.col("doc_id") % 200).cast("string"), F.lit("90")).alias("texts"))
+    own = own.withColumns({"page": F.col("row") * 2 + 3, "y0": F.col("row") * 5})
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    key = F.col("o_orderkey")
+    orders = spark.read.parquet(f"{d}/orders.parquet").join(F.broadcast(n), F.lit(True)).select((key % F.col("n")).alias("doc_id"), F.concat(F.lit("Table "), (key % 7).cast("string")).alias("caption"), key.alias("table"), F.lit(0).alias("row"), F.array("o_orderpriority", status, F.col("o_custkey").cast("string")).alias("texts"), (key % 11).cast("int").alias("page"), F.lit(0).alias("y0"))
+    rows = own.unionByName(orders).select("*", F.posexplode("texts").alias("col", "text")).drop("texts")
+    return rows.withColumns({"x0": F.col("col") * 10, "x1": F.col("col") * 10 + 8, "y1": F.col("y0") + 4})
 
 
 def spans(spark, d) -> DataFrame:
-    """Lines of the documents, and a table cell in each; every third document has the cell on two pages."""
-    cell = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit("Heart rate").alias("text"), F.lit("s1").alias("section"))
-    cells = cell.withColumns({"item": F.lit(100_000), "page": F.lit(3)}).unionByName(cell.filter("doc_id % 3 = 0").withColumns({"item": F.lit(100_001), "page": F.lit(5)}))
-    return _lines(spark, d).unionByName(cells)
-
-
-def _lines(spark, d) -> DataFrame:
-    return items(spark, d).withColumns({"page": F.floor(F.col("item") / 5).cast("int") + 1, "section": F.concat(F.lit("s"), (F.col("item") % 3).cast("string"))})
+    """Lines of the documents by their offsets, table cells and table rows."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("full_text"))
+    return build_spans(docs, _offsets(spark, d), _table_cells(spark, d))
 
 
 def anchored(spark, d) -> DataFrame:
-    rows = items(spark, d).filter((F.length("text") >= 60) & F.substring("text", 1, 80).rlike("^[ -~]*$"))
-    return rows.select(F.concat_ws("-", "doc_id", "item").alias("anchor_id"), "doc_id", F.expr(_VAR).alias("anchor"), F.expr("CASE WHEN item % 4 = 0 THEN concat('S', CAST(item % 3 AS STRING)) END").alias("anchor_section"))
+    return items(spark, d).select(F.concat_ws("-", "doc_id", "item").alias("anchor_id"), "doc_id", F.expr(_VAR).alias("anchor"), F.expr("CASE WHEN item % 4 = 0 THEN concat('S', CAST(item % 3 AS STRING)) END").alias("anchor_section"))
 
 
 def _n(c: str) -> str:
@@ -97,17 +129,17 @@ def _w(c: str) -> str:
 _JAC = "len(list_intersect({a}, {b})) / greatest(len(list_distinct(list_concat({a}, {b}))), 1)"
 _RESOLVED = f"""(WITH a AS (SELECT *, {_n('anchor')} AS an, replace({_n('anchor')}, ' ', '') AS ap, {_w('anchor')} AS aw FROM {_ANCH}),
 s AS (SELECT *, {_n('text')} AS tn, replace({_n('text')}, ' ', '') AS tp, {_w('text')} AS tw FROM {_SPAN}),
-p AS (SELECT anchor_id, anchor_section, an, item, text, page, section, tn, CASE WHEN contains(text, anchor) THEN 1 WHEN contains(tn, an) THEN 2 WHEN length(ap) >= 12 AND contains(tp, ap) THEN 3
+p AS (SELECT anchor_id, anchor_section, an, item, text, page, section, kind, tn, CASE WHEN contains(text, anchor) THEN 1 WHEN an <> '' AND contains(tn, an) THEN 2 WHEN length(ap) >= 12 AND contains(tp, ap) THEN 3
  WHEN contains(anchor, '|') AND length(trim(split_part(an, '|', 1))) >= 6 AND contains(tn, trim(split_part(an, '|', 1))) THEN 4 WHEN length(anchor) >= 30 AND {_JAC.format(a='aw', b='tw')} >= 0.85 THEN 5
- WHEN length(anchor) >= 60 AND contains(tn, substr(an, 1, 60)) THEN 6 WHEN regexp_extract(an, '^([a-z][a-z \\-]{{3,}}?)\\s*\\d', 1) <> '' AND tn = regexp_extract(an, '^([a-z][a-z \\-]{{3,}}?)\\s*\\d', 1) THEN 7 END AS tier FROM a JOIN s USING (doc_id)),
+ WHEN length(anchor) >= 60 AND contains(tn, substr(an, 1, 60)) THEN 6 WHEN regexp_extract(an, '^([a-z][a-z \\-]{{3,}}?)\\s*\\d', 1) <> '' AND kind = 'table_cell' AND tn = regexp_extract(an, '^([a-z][a-z \\-]{{3,}}?)\\s*\\d', 1) THEN 7 END AS tier FROM a JOIN s USING (doc_id) WHERE anchor <> ''),
 g AS (SELECT *, count(*) OVER (PARTITION BY anchor_id, tier) AS n, count(DISTINCT page) OVER (PARTITION BY anchor_id, tier) AS pages FROM p WHERE tier IS NOT NULL)
 SELECT anchor_id, tier, item, page FROM g WHERE NOT (tier = 6 AND n > 1) AND NOT (tier = 7 AND pages > 1)
- QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY tier, CASE WHEN lower(coalesce(anchor_section, '')) = section THEN 0 ELSE 1 END, CASE WHEN tier = 4 AND NOT contains(an, tn) THEN 1 ELSE 0 END, length(text), item) = 1)"""
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY tier, CASE WHEN tier = 4 AND NOT contains(an, tn) AND kind <> 'table_cell' THEN 1 ELSE 0 END, CASE WHEN anchor_section IS NOT NULL AND lower(anchor_section) = lower(section) THEN 0 ELSE 1 END, length(text), item) = 1)"""
 
 
-@query("t00_build_spans", f"SELECT doc_id, item, page, section, length(text) AS n FROM {_SPAN}")
+@query("t00_build_spans", f"SELECT doc_id, item, page, section, kind, y1, md5(text) AS text_md5 FROM {_SPAN}")
 def _(spark, d):
-    return spans(spark, d).select("doc_id", "item", "page", "section", F.length("text").alias("n"))
+    return spans(spark, d).select("doc_id", "item", "page", "section", "kind", "y1", F.md5("text").alias("text_md5"))
 
 
 @query("t10_resolve_anchors", f"SELECT * FROM {_RESOLVED}")
@@ -122,12 +154,12 @@ for _name, _tier in (("t01_exact", 1), ("t02_normalised", 2), ("t03_packed", 3),
         return anchors.resolve(anchored(spark, d), spans(spark, d)).filter(F.col("tier") == tier).select("anchor_id", "item")
 
 
-@query("j09_anchor_containment", f"SELECT anchor_id, s.item FROM {_ANCH} a JOIN {_SPAN} s ON s.doc_id = a.doc_id AND contains(s.text, a.anchor)")
+@query("j09_anchor_containment", f"SELECT anchor_id, s.item FROM {_ANCH} a JOIN {_SPAN} s ON s.doc_id = a.doc_id AND a.anchor <> '' AND contains(s.text, a.anchor)")
 def _(spark, d):
-    return anchored(spark, d).join(spans(spark, d), "doc_id").filter(F.col("text").contains(F.col("anchor"))).select("anchor_id", "item")
+    return anchors.contained(anchored(spark, d), spans(spark, d))
 
 
-@query("t12_verbatim_gate", f"SELECT anchor_id, CASE WHEN NOT contains(regexp_replace(text, '\\s+', ' ', 'g'), trim(regexp_replace(anchor, '\\s+', ' ', 'g'))) THEN 'not verbatim' END AS reason FROM {_ANCH} a JOIN documents d USING (doc_id)")
+@query("t12_verbatim_gate", f"SELECT anchor_id, CASE WHEN trim(regexp_replace(anchor, '\\s+', ' ', 'g')) = '' THEN 'empty anchor' WHEN NOT contains(regexp_replace(text, '\\s+', ' ', 'g'), trim(regexp_replace(anchor, '\\s+', ' ', 'g'))) THEN 'not verbatim' END AS reason FROM {_ANCH} a JOIN documents d USING (doc_id)")
 def _(spark, d):
     return anchors.verbatim_gate(anchored(spark, d), spark.read.parquet(f"{d}/documents.parquet")).select("anchor_id", "reason")
 

@@ -1,33 +1,80 @@
+import random
+
 from pyspark.sql import functions as F
 
-from attesta.operators import anchors, ingest, search, verify
+from attesta.functions.text import norm_anchor, words
+from attesta.operators import anchor_index, anchors, ingest, search, spans, verify
 
 SPANS = [
-    (1, 0, "Introduction", 1, "Intro"), (1, 1, "The odds ratio of lactate was 2.56 in 1,388 adults with septic shock.", 1, "Results"),
-    (1, 2, "The odds ratio of lactate was 2.56 in 1,388 adults with septic shock. Longer copy.", 2, "Table 1"), (1, 3, "Heart rate", 3, "T"),
+    (1, 0, "Introduction", 1, "Intro", "heading"), (1, 1, "The odds ratio of lactate was 2.56 in 1,388 adults with septic shock.", 1, "Results", "body"),
+    (1, 2, "The odds ratio of lactate was 2.56 in 1,388 adults with septic shock. Longer copy.", 2, "Table 1", "body"), (1, 3, "Heart rate", 3, "T", "table_cell"),
+    (1, 4, "Heart rate 1 2", 3, "T", "table_row"), (1, 5, "Body temperature of all", 3, "T", "table_cell"), (1, 6, "Body temperature", 3, "T", "body"),
 ]
-
-
-def resolve(spark, anchor, section=None):
-    s = spark.createDataFrame(SPANS, "doc_id int, item int, text string, page int, section string")
-    a = spark.createDataFrame([("a", 1, anchor, section)], "anchor_id string, doc_id int, anchor string, anchor_section string")
-    r = anchors.resolve(a, s).first()
-    return r and (r.tier, r.item)
+SPAN = "doc_id int, item int, text string, page int, section string, kind string"
 
 
 def test_tiers(spark):
-    assert resolve(spark, "odds ratio of lactate") == (anchors.EXACT, 1)
-    assert resolve(spark, "odds ratio of lactate", "table 1") == (anchors.EXACT, 2)
-    assert resolve(spark, "ODDS  RATIO of lactate was 2.56 in 1388") == (anchors.NORMAL, 1)
-    assert resolve(spark, "oddsratiooflactatewas2.56") == (anchors.PACKED, 1)
-    assert resolve(spark, "odds ratio of | nothing") == (anchors.PIPE, 1)
-    assert resolve(spark, "in 1,388 adults the odds ratio of lactate was 2.56 with septic shock") == (anchors.TOKENS, 1)
-    assert resolve(spark, "Heart rate 85 90") == (anchors.LABEL, 3)
-    assert resolve(spark, "nothing like it") is None
-
-
-def test_more_spans_never_lose_a_hit(spark):
-    assert resolve(spark, "septic shock. Longer copy") == (anchors.EXACT, 2)
+    want = [
+        ("odds ratio of lactate", None, (anchors.EXACT, 1)), ("odds ratio of lactate", "table 1", (anchors.EXACT, 2)), ("ODDS  RATIO of lactate was 2.56 in 1388", None, (anchors.NORMAL, 1)),
+        ("oddsratiooflactatewas2.56", None, (anchors.PACKED, 1)), ("odds ratio of | nothing", None, (anchors.PIPE, 1)),
+        ("in 1,388 adults the odds ratio of lactate was 2.56 with septic shock", None, (anchors.TOKENS, 1)), ("Heart rate 85 90", None, (anchors.LABEL, 3)), ("nothing like it", None, None), ("", None, None),
+        ("septic shock. Longer copy", None, (anchors.EXACT, 2)), ("Heart rate | 7", None, (anchors.PIPE, 3)),  # the cell, which the anchor holds, not the row
+        ("Body temp | 7", None, (anchors.PIPE, 5)),  # the longer text, since it is a cell
+        ("he", None, (anchors.EXACT, 1)), ("H", None, (anchors.EXACT, 3)),
+    ]
+    a = spark.createDataFrame([(str(i), 1, anchor, section) for i, (anchor, section, _) in enumerate(want)], "anchor_id string, doc_id int, anchor string, anchor_section string")
+    got = {r.anchor_id: (r.tier, r.item) for r in anchors.resolve(a, spark.createDataFrame(SPANS, SPAN)).collect()}
+    assert [got.get(str(i)) for i in range(len(want))] == [w for _, _, w in want]
+
+
+def all_pairs(spark, a, s):
+    """The resolution with every span of the document as a candidate."""
+    own = a.join(s.withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("own")).filter("anchor <> ''")
+    forms = {}
+    for side, c in (("anchor", "anchor"), ("text", "text")):
+        norm = norm_anchor(F.col(c))
+        forms |= {f"{side}_norm": norm, f"{side}_packed": F.regexp_replace(norm, r"\s", ""), f"{side}_words": words(F.col(c))}
+    return {(r.anchor_id, r.item, r.tier) for r in own.withColumns(forms).withColumn("tier", anchors.tier()).filter("tier is not null").collect()}
+
+
+def test_index_names_every_hit(spark):
+    rng = random.Random(21)
+    vocabulary = ["the", "septic", "shock", "3,500", "1.97", "Ärzte", "é", "e\u0301", "ΑΣ", "ﬁrst", "—", "a|b", "|", "\u2009", "mortality", "risk", "of", "12"]
+    s = [(d, i, "".join(w + rng.choice([" ", " ", "", "  "]) for w in rng.choices(vocabulary, k=rng.randint(1, 40))), i % 4, "S", rng.choice(["body", "table_cell", "table_row"])) for d in range(6) for i in range(40)]
+    s += [(d, 900 + i, t, 1, "S", "table_cell") for d in range(6) for i, t in enumerate(("Heart rate", "age", ""))] + s[:5]
+    a = []
+    for n, (d, i, text, *_) in enumerate(s[:200]):
+        at = rng.randrange(len(text))
+        part = text[at : at + rng.choice([1, 3, 6, 9, 14, 40, 90, 400])]
+        a.append((f"{n}", d, rng.choice([part, part.upper(), part.replace(" ", ""), part + "zz", part[:7] + " | q", " ".join(sorted(part.split())), "Heart rate 12 of 90", part[:60] + "x" * 30]), None))
+    a += [("n", None, "septic", None), ("m", 1, None, None), ("e", 1, "", None), ("b", 1, "  ", None), ("o", 77, "septic shock", None), ("d", 2, "mortality", None), ("d", 2, "mortality", None)]
+    a, s = spark.createDataFrame(a, "anchor_id string, doc_id int, anchor string, anchor_section string"), spark.createDataFrame(s, SPAN)
+    table = anchor_index.prepared(s)
+    pairs = anchor_index.candidates(a.filter("anchor <> ''"), table).withColumnRenamed("doc_id", "own").join(table, "span").filter("own = doc_id").withColumn("tier", anchors.tier()).filter("tier is not null")
+    want = all_pairs(spark, a, s)
+    assert {(r.anchor_id, r.item, r.tier) for r in pairs.collect()} == want and {t for _, _, t in want} == set(range(1, 8))
+    assert {(r.anchor_id, r.item) for r in anchors.contained(a, s).collect()} == {(k, i) for k, i, t in want if t == anchors.EXACT}
+
+
+def test_hot_features_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(anchor_index, "SALT_ROWS", 7)
+    s = spark.createDataFrame([(1, i, "always the same words here", 1, "S", "body") for i in range(100)] + [(2, 0, "other", 1, "S", "body")], SPAN)
+    a = spark.createDataFrame([("a", 1, "the same words"), ("b", 1, "same"), ("c", 2, "the same words")], "anchor_id string, doc_id int, anchor string")
+    assert sorted((r.anchor_id, r.item) for r in anchors.contained(a, s).collect()) == [(k, i) for k in "ab" for i in range(100)]
+
+
+def test_spans_of_three_kinds(spark):
+    text = "Häading\n" + "x" * 5000 + "\nlast 🙂 line"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, full_text string")
+    box = ", ".join(f"{c} double" for c in anchors.BOX)
+    given = [(1, 0, 0, 7, 1, "s", "heading"), (1, 1, 8, 5008, 1, "s", None), (1, 2, 5009, 9999, 2, "s", "body"), (1, 3, 5, 5, 1, "s", None), (1, 4, -3, 2, 1, None, None), (2, 0, 0, 5, 1, "s", None), (9, 0, 0, 5, 1, "s", None)]
+    offsets = spark.createDataFrame([(*g, None, None, None, None) for g in given], f"doc_id int, item int, start int, end int, page int, section string, kind string, {box}")
+    cells = [(1, None, 0, 0, 0, "Age", 4, 0.0, 1.0, 5.0, 2.0), (1, None, 0, 0, 1, "61", 4, 6.0, 0.0, 9.0, 2.0), (1, None, 0, 0, 2, None, 4, 0.0, 0.0, 99.0, 99.0), (1, "T", 1, 3, 0, " ", 5, 0.0, 0.0, 1.0, 1.0)]
+    cells = spark.createDataFrame(cells, f"doc_id int, caption string, table int, row int, col int, text string, page int, {box}")
+    got = spans.build_spans(docs, offsets, cells).orderBy("item").collect()
+    assert [(r.kind, r.text) for r in got if r.kind not in ("table_cell", "table_row")] == [("heading", "Häading"), ("body", "x" * 5000), ("body", "last 🙂 line"), ("body", "Hä")]
+    assert [(r.kind, r.text, r.section, r.page, r.x0, r.y0, r.x1, r.y1) for r in got if r.section is None and r.kind != "body"] == [("table_cell", "Age", None, 4, 0, 0, 9, 2), ("table_cell", "61", None, 4, 0, 0, 9, 2), ("table_row", "Age 61", None, 4, 0, 0, 9, 2)]
+    assert [(r.kind, r.text) for r in got if r.section == "T"] == [("table_cell", " ")]
 
 
 ROWS = [(1, "Table 1", "t", 1, "Not present 413 18.2 13", 1), (1, "Table 1", "t", 2, "Present 1858 81.8 126", 1), (1, "Table 1", "t", 4, "Other 5 6 7", 1), (1, "Table 2", "u", 1, "Heart 44 55", 1), (1, "Table 2 (continued)", "v", 1, "rate 66 77", 2)]
