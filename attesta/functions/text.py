@@ -37,9 +37,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: Characters that the compatibility form keeps and that do not combine: ASCII, most of Latin-1 and Latin Extended-A, plain punctuation.
+STABLE = r"\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2010\u2012-\u2015\u2018-\u201F"
+
+
 def nfkc(c: Column) -> Column:
-    """Unicode compatibility form; only texts with other characters than ASCII leave the JVM, in Arrow batches."""
-    odd = c.rlike(r"[^\x00-\x7F]")
+    """Unicode compatibility form; only texts with characters that are not STABLE leave the JVM, in Arrow batches."""
+    odd = c.rlike(f"[^{STABLE}]")
     return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
 
 

@@ -87,6 +87,8 @@ def _blocks(size: int) -> Column:
 def _index(spans: DataFrame, short: DataFrame, full: bool) -> DataFrame:
     """(feature, span, size): one row for each feature of each span; short has the doc_id of short needles."""
 
+    spans = spans.withColumns({"text_words": words(F.col("text")), "text_packed": packed(F.col("text_norm"))})
+
     def rows(of: DataFrame, kind: str, values: Column) -> DataFrame:
         return of.select("doc_id", "span", F.size("text_words").alias("size"), F.explode(values).alias("v")).select(_feature(kind, F.col("v")), "span", "size")
 
@@ -133,9 +135,8 @@ def _met(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def prepared(spans: DataFrame) -> DataFrame:
-    """Spans with their key and forms, written once: every step of a resolution reads this table."""
-    rows = spans.withColumns({"span": span_key(), "text_norm": norm_anchor(F.col("text")), "text_words": words(F.col("text"))})
-    return stage(rows.withColumn("text_packed", packed(F.col("text_norm"))), "spans")
+    """Spans with their key and normal form, written once: every step of a resolution reads this table."""
+    return stage(spans.withColumns({"span": span_key(), "text_norm": norm_anchor(F.col("text"))}), "spans")
 
 
 def candidates(anchors: DataFrame, spans: DataFrame, full: bool = True) -> DataFrame:

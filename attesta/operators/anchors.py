@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import jaccard, norm_anchor, text_of, words
-from attesta.operators.anchor_index import ALIKE, ALIKE_LENGTH, HEAD_LENGTH, PROBE_LENGTH, candidates, label_of, prepared, probe_of
+from attesta.operators.anchor_index import ALIKE, ALIKE_LENGTH, HEAD_LENGTH, PROBE_LENGTH, candidates, label_of, packed, prepared, probe_of
 
 EXACT, NORMAL, PACKED, PIPE, TOKENS, HEAD, LABEL = range(1, 8)
 
 
+def with_forms(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"text_packed": packed(F.col("text_norm")), "text_words": words(F.col("text"))})
+
+
 def tier() -> Column:
     """Tier of a pair of anchor and span, NULL if none holds."""
     n = F.length("anchor")
@@ -44,7 +48,7 @@ def resolve(anchors: DataFrame, spans: DataFrame) -> DataFrame:
     """
     spans = prepared(spans.select("doc_id", "item", "text", "page", "section", "kind"))
     named = candidates(anchors.filter("anchor <> ''").select("anchor_id", "doc_id", "anchor", "anchor_section"), spans).withColumnRenamed("doc_id", "own")
-    pairs = named.join(spans, "span").filter("own = doc_id").withColumn("tier", tier()).filter("tier is not null")
+    pairs = with_forms(named.join(spans, "span").filter("own = doc_id")).withColumn("tier", tier()).filter("tier is not null")
     section = F.lower(F.trim(text_of(F.col("anchor_section"))))
     miss = F.when((section != "") & (F.lower(F.trim(text_of(F.col("section")))) == section), 0).otherwise(1)
     inside = F.col("anchor_norm").contains(F.col("text_norm")) | F.coalesce(F.col("kind") == "table_cell", F.lit(False))

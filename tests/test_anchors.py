@@ -50,7 +50,8 @@ def test_index_names_every_hit(spark):
     a += [("n", None, "septic", None), ("m", 1, None, None), ("e", 1, "", None), ("b", 1, "  ", None), ("o", 77, "septic shock", None), ("d", 2, "mortality", None), ("d", 2, "mortality", None)]
     a, s = spark.createDataFrame(a, "anchor_id string, doc_id int, anchor string, anchor_section string"), spark.createDataFrame(s, SPAN)
     table = anchor_index.prepared(s)
-    pairs = anchor_index.candidates(a.filter("anchor <> ''"), table).withColumnRenamed("doc_id", "own").join(table, "span").filter("own = doc_id").withColumn("tier", anchors.tier()).filter("tier is not null")
+    pairs = anchor_index.candidates(a.filter("anchor <> ''"), table).withColumnRenamed("doc_id", "own").join(table, "span").filter("own = doc_id")
+    pairs = anchors.with_forms(pairs).withColumn("tier", anchors.tier()).filter("tier is not null")
     want = all_pairs(spark, a, s)
     assert {(r.anchor_id, r.item, r.tier) for r in pairs.collect()} == want and {t for _, _, t in want} == set(range(1, 8))
     assert {(r.anchor_id, r.item) for r in anchors.contained(a, s).collect()} == {(k, i) for k, i, t in want if t == anchors.EXACT}

@@ -55,3 +55,12 @@ def test_questions(spark):
 def test_label_match(spark, gold, found, want):
     df = spark.createDataFrame([(gold, found)], "g string, f string")
     assert tuple(effects.with_label_match(df, "g", "f").select("hit", "total").first()) == want
+
+
+def test_stable_characters_need_no_normal_form():
+    import re
+    import unicodedata
+
+    kept = [chr(i) for i in range(0x3000) if re.fullmatch(f"[{text.STABLE}]", chr(i))]
+    assert len(kept) > 370 and all(unicodedata.normalize("NFKC", c) == c for c in kept)
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in "aeAÉßž" for b in kept)
