@@ -336,7 +336,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, batches: int = 4, carry:
     whole = only.mapInArrow(_emit(False, length), ENTRY).select(*KEYS, "doc", "lo", "size").join(found, KEYS, "left_semi")
     marks = stage(whole.select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("size") + length - 1).alias("end")), "whole", folder)
     release(spark)
-    per_doc = partial.groupBy("doc").agg(F.collect_list(F.struct("anchor", "runs", "lo", "size", "n")).alias("parts"))
+    per_doc = partial.distinct().groupBy("doc").agg(F.collect_list(F.struct("anchor", "runs", "lo", "size", "n")).alias("parts"))
     pieces = stage(only.join(per_doc, "doc").mapInArrow(_pieces(length), PART), "pieces", folder)
     release(spark)
     by_anchor = pieces.filter(F.col("runs") <= GROUP).repartition("anchor").sortWithinPartitions("anchor")
@@ -358,7 +358,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, keep_text: bool
     kept_text lacks code points of which a byte was removed; ``carry`` names text columns to keep.
     """
     texts, marks = repeats(documents, length, carry=carry)
-    spans = marks.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    spans = marks.distinct().groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,11 +10,13 @@ few files however many batches there were.
 Defined cases: null or empty text has 0 tokens and counts as a document; null
 source or language is a group of its own, other types are read as text; rows are
 told apart by position, so repeated rows count each; other columns are ignored;
-an empty table gives no groups.
+an empty table gives no groups. Corpora that are added to one folder at the same
+time keep their order of recording, which decides whose copy stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -57,7 +59,7 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of changes once; False if the batch was applied before."""
-        if batch in names(self.spark, f"{self.folder}/commits"):
+        if self.committed(batch):
             return False
         data = f"{batch}-{uuid.uuid4().hex}"
         signed(changes).groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.folder}/data/{data}")
@@ -66,6 +68,10 @@ class Rollup:
             self.fold()
         return done
 
+    def committed(self, batch: str) -> bool:
+        fs, Path = filesystem(self.spark, self.folder)
+        return fs.exists(Path(f"{self.folder}/commits/{batch}"))
+
     def _state(self) -> tuple[dict, list[str]]:
         """The newest snapshot and the names of the batches that it lacks."""
         number = max((int(n) for n in names(self.spark, f"{self.folder}/snapshots")), default=0)
@@ -117,27 +123,64 @@ def by_tokenizer(rows: DataFrame, tokenizers: dict = TOKENIZERS) -> DataFrame:
     return rows.select("source", "lang", each.alias("t")).select("source", "lang", "t.tokenizer", "t.n_tokens")
 
 
+def _digest(rows: DataFrame) -> str:
+    """Name of a corpus by its content: the order of its rows doesn't matter, how often a row comes does."""
+    counts = [c for c in rows.columns if c.startswith("n_")]
+    h = F.xxhash64("doc_id", "source", "lang", "content", *counts)
+    parts = [F.sum(F.pmod(F.xxhash64(h, F.lit(i)), F.lit(1 << 31))).alias(f"s{i}") for i in range(4)]
+    r = rows.agg(F.count("*").alias("n"), *parts).first()
+    return hashlib.sha256(":".join(str(x) for x in r).encode()).hexdigest()[:32]
+
+
+class Contents:
+    """Contents of the corpora of a folder, in the order in which they were recorded: one numbered commit each."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def recorded(self) -> list[dict]:
+        return [json.loads(content(self.spark, f"{self.folder}/order/{n}")) for n in names(self.spark, f"{self.folder}/order")]
+
+    def record(self, corpus: str, contents: DataFrame) -> list[str]:
+        """Write the contents of a corpus once; the tables of the corpora recorded before it."""
+        known = self.recorded()
+        if corpus not in [k["corpus"] for k in known]:
+            data = f"{corpus}-{uuid.uuid4().hex}"
+            contents.write.parquet(f"{self.folder}/data/{data}")
+            while not commit_once(self.spark, f"{self.folder}/order/{len(known):012d}", json.dumps({"corpus": corpus, "data": data})):
+                known = self.recorded()
+            known = self.recorded()
+        return [f"{self.folder}/data/{k['data']}" for k in known[: [k["corpus"] for k in known].index(corpus)]]
+
+
 def corpus_rollup(documents: DataFrame, folder: str | None = None, tokenizers: dict = TOKENIZERS) -> DataFrame:
-    """(group, n_docs, n_tokens, unique_docs, unique_tokens) of all documents and tokenizers.
+    """(group, n_docs, n_tokens, unique_docs, unique_tokens) over the corpora that were added to the folder.
 
-    The load counts every tokenizer by the first one, the cheapest; a second batch revises what the others count
-    differently. These totals are n_docs and n_tokens. A third batch, sent twice, deletes exact copies but the
-    one of the least doc_id, which leaves unique_docs and unique_tokens.
+    A corpus is named by its content: the same one again adds nothing, another one adds to what is there, and a call
+    that broke off is finished by the next. Two rollups get its load, which counts every tokenizer by the first one,
+    the cheapest, and then a batch that revises what the others count differently. A third batch deletes the exact
+    copies from the second rollup: all but the row of the least doc_id of the first corpus that has the content.
     """
-    rows, rollup = counted(documents, tokenizers), Rollup(documents.sparkSession, folder)
+    spark, folder = documents.sparkSession, folder or shared_dir(documents.sparkSession)
+    rows = counted(documents, tokenizers)
+    corpus = _digest(rows)
+    everything, unique = Rollup(spark, f"{folder}/all"), Rollup(spark, f"{folder}/unique")
     none = F.lit(0).cast("long").alias("old_tokens")
     load = by_tokenizer(rows.withColumns({f"n_{i}": F.col("n_0") for i in range(len(tokenizers))}), tokenizers).select(F.lit("insert").alias("op"), "*", none)
     both = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.col(f"n_{i}").alias("n_tokens")) for i, t in enumerate(tokenizers)]))
     seen = rows.select("source", "lang", F.col("n_0").alias("old_tokens"), both.alias("t")).select(F.lit("revise").alias("op"), "source", "lang", "t.tokenizer", "t.n_tokens", "old_tokens")
-    firsts = rows.groupBy("content").agg(F.min_by("uid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("uid"))).alias("uid")).select("uid")
-    copies = by_tokenizer(rows.join(firsts, "uid", "left_anti"), tokenizers).select(F.lit("delete").alias("op"), "*", none)
-    rollup.commit("1-load", load)
-    rollup.commit("2-revise", seen.filter("n_tokens <> old_tokens"))
-    everything = stage(rollup.totals(), "totals", rollup.folder)
-    rollup.commit("3-copies", copies)
-    rollup.commit("3-copies", copies)  # a retry changes nothing
-    unique = rollup.totals().select(*[F.col(c).alias(f"u_{c}") for c in GROUP], F.col("n_docs").alias("unique_docs"), F.col("n_tokens").alias("unique_tokens"))
+    for rollup in (everything, unique):
+        rollup.commit(f"{corpus}-1-load", load)
+        rollup.commit(f"{corpus}-2-revise", seen.filter("n_tokens <> old_tokens"))
+    if not unique.committed(f"{corpus}-3-copies"):
+        earlier = Contents(spark, f"{folder}/contents").record(corpus, rows.select("content").distinct())
+        firsts = rows.groupBy("content").agg(F.min_by("uid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("uid"))).alias("uid"))
+        if earlier:
+            firsts = firsts.join(spark.read.schema("content string").parquet(*earlier), "content", "left_anti")
+        copies = by_tokenizer(rows.join(firsts.select("uid"), "uid", "left_anti"), tokenizers).select(F.lit("delete").alias("op"), "*", none)
+        unique.commit(f"{corpus}-3-copies", copies)
+    least = unique.totals().select(*[F.col(c).alias(f"u_{c}") for c in GROUP], F.col("n_docs").alias("unique_docs"), F.col("n_tokens").alias("unique_tokens"))
     same = F.lit(True)
     for c in GROUP:
         same = same & F.col(c).eqNullSafe(F.col(f"u_{c}"))
-    return everything.join(unique, same).select(*GROUP, "n_docs", "n_tokens", "unique_docs", "unique_tokens")
+    return everything.totals().join(least, same).select(*GROUP, "n_docs", "n_tokens", "unique_docs", "unique_tokens")

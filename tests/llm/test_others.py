@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pyarrow as pa
 import xxhash
@@ -156,6 +157,57 @@ def test_corpus_rollup_counts_whole_documents(spark):
     assert token_counts.corpus_rollup(empty(spark)).count() == 0
 
 
+def totals(frame):
+    return {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.unique_docs, r.unique_tokens) for r in frame.collect()}
+
+
+def test_corpora_add_to_one_folder(spark, monkeypatch):
+    kind = "doc_id long, text string, lang string, source string"
+    one = spark.createDataFrame([(2, "a b c", "en", "s"), (1, "a b c", "en", "t"), (3, "a-b", None, "s")], kind)
+    two = spark.createDataFrame([(7, "a b c", "en", "u"), (8, "new", "en", "u"), (8, "new", "en", "u")], kind)
+    folder = _shared.shared_dir(spark)
+    first = totals(token_counts.corpus_rollup(one, folder))
+    assert first[("s", "en", "spaces-1")] == (1, 3, 0, 0) and first[("t", "en", "words-1")] == (1, 3, 1, 3) and first[("s", None, "words-1")] == (1, 2, 1, 2)
+    assert totals(token_counts.corpus_rollup(one, folder)) == first  # the same again
+
+    real, calls = token_counts.Rollup.commit, []
+
+    def breaks(self, batch, changes):
+        calls.append(batch)
+        if len(calls) == 4:
+            raise RuntimeError("lost")
+        return real(self, batch, changes)
+
+    monkeypatch.setattr(token_counts.Rollup, "commit", breaks)
+    try:
+        token_counts.corpus_rollup(two, folder)
+        raise AssertionError("it should have broken off")
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(token_counts.Rollup, "commit", real)
+    both = totals(token_counts.corpus_rollup(two.repartition(3), folder))
+    assert {k: v for k, v in both.items() if k in first} == first and both[("u", "en", "words-1")] == (3, 5, 1, 1)
+    assert totals(token_counts.corpus_rollup(one, folder)) == both
+
+
+def test_repeated_rows_have_bins_of_their_own(spark):
+    rows = [(7, 5000, "s", 1)] * 3 + [(None, 2048, None, None)] * 3 + [(8, 30, "s", 2)] * 50 + [(None, 30, "s", None)] * 50 + [(2**60 + 1, 9, None, -(2**62) - 1)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster long").repartition(3), max_per_source=4, part_rows=40).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.bin_id, []).append(r)
+    assert all(sum(r.n_tokens for r in own) <= 2048 for own in held.values()) and sum(r.n_tokens for r in got) == sum(r[1] for r in rows)
+    assert all(sum(r.doc_id == 8 for r in own) <= 1 and sum(r.n_tokens == 30 for r in own) <= 4 for own in held.values()) and any(r.doc_id == 2**60 + 1 for r in got)
+
+
+def test_a_run_of_like_items_is_not_quadratic():
+    start = time.perf_counter()
+    bins, _ = packing.best_fit([30] * 20_000, [0] * 20_000, [0] * 20_000, 2048, 4)
+    assert bins == list(range(20_000)) and time.perf_counter() - start < 5
+    bins, _ = packing.best_fit([30] * 20_000, [0] * 20_000, [-1] * 20_000, 2048, 4)
+    assert bins == [i // 4 for i in range(20_000)] and time.perf_counter() - start < 10
+
+
 def test_best_fit_takes_the_tightest_compatible_bin(spark):
     rng = random.Random(6)
     docs = [(i, rng.randint(0, 300), f"s{rng.randrange(4)}", rng.choice([None, rng.randrange(30)])) for i in range(400)] + [(None, 5, None, None)]
