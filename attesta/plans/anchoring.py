@@ -377,6 +377,19 @@ def _(spark, d):
     return search.vector_top_k(rows, rows.filter("vec_id = 0")).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("v05_phrase_search")
+_BLANKS = "[ \\t\\n\\r\\f\\x{00A0}]"
+_KEPT = f"list_filter(range(length(text)), lambda i: NOT regexp_matches(substr(text, CAST(i AS INTEGER) + 1, 1), '{_BLANKS}') OR (i > 0 AND NOT regexp_matches(substr(text, CAST(i AS INTEGER), 1), '{_BLANKS}')))"
+
+
+@query("v05_phrase_search", f"""WITH b AS (SELECT doc_id, item, text, lower(regexp_replace(regexp_replace(text, '^{_BLANKS}+', ''), '{_BLANKS}+', ' ', 'g')) AS body FROM {ITEMS}),
+n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY item) AS nxt FROM b WHERE body <> ''),
+p AS (SELECT *, CASE WHEN text LIKE '%-' AND regexp_matches(nxt, '^[A-Za-z]') THEN left(body, -1) WHEN body LIKE '% ' THEN body ELSE concat(body, ' ') END AS piece FROM n),
+s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+t AS (SELECT doc_id, string_split(string_agg(piece, '' ORDER BY item), 'of the') AS parts FROM p GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(range(1, len(parts))) AS k, parts FROM t),
+h AS (SELECT doc_id, k, 6 * (k - 1) + list_sum(list_transform(parts[1:k], lambda x: length(x))) AS at FROM u),
+e AS (SELECT h.doc_id, h.k, h.at, s.item, ({_KEPT})[CAST(h.at - s.start AS INTEGER) + 1] AS start_offset FROM h JOIN s ON s.doc_id = h.doc_id AND h.at >= s.start AND h.at < s.start + length(piece)),
+z AS (SELECT h.doc_id, h.k, s.item, ({_KEPT})[CAST(h.at + 5 - s.start AS INTEGER) + 1] AS last FROM h JOIN s ON s.doc_id = h.doc_id AND h.at + 5 >= s.start AND h.at + 5 < s.start + length(piece))
+SELECT e.doc_id, e.item AS start_item, e.start_offset, z.item AS end_item, z.last + 1 AS end_offset FROM e JOIN z ON z.doc_id = e.doc_id AND z.k = e.k""")
 def _(spark, d):
     return search.phrase_hits(items(spark, d), "of the")

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -112,9 +113,44 @@ def test_unresolved_rows_are_demoted_once(spark):
 
 
 def test_phrase_over_line_ends(spark):
-    items = spark.createDataFrame([(1, 0, "A septic sho-"), (1, 1, "ck and septic   shock"), (1, 2, "septic"), (1, 3, "shock")], "doc_id int, item int, text string")
-    hits = sorted(tuple(r) for r in search.phrase_hits(items, "septic SHOCK").collect())
-    assert hits == [(1, 0, 2, 1, 2), (1, 1, 7, 1, 19), (1, 2, 0, 3, 5)]
+    items = spark.createDataFrame([(1, 0, "A septic sho-"), (1, 1, "ck and septic   shock"), (1, 2, "septic"), (1, 3, "shock"), (None, 0, "Septic sh\u00adock")], "doc_id int, item int, text string")
+    hits = sorted((tuple(r) for r in search.phrase_hits(items, " septic  SHOCK").collect()), key=str)
+    assert hits == [(1, 0, 2, 1, 2), (1, 1, 7, 1, 21), (1, 2, 0, 3, 5), (None, 0, 0, 0, 13)]
+    assert search.phrase_hits(items, " \u00ad ").count() == 0 and search.phrase_hits(items.limit(0), "a").count() == 0
+
+
+def searched(texts, needle):
+    """Hits in the joined text of one document, letter by letter."""
+    joined, kept = [], [(i, t) for i, t in enumerate(texts) if t and re.search("[^ \\t\\n\\r\\f\u00a0\u00ad]", t)]
+    for n, (i, t) in enumerate(kept):
+        letters = []
+        for at, c in enumerate(t):
+            blank = c in " \t\n\r\f\u00a0"
+            if c == "\u00ad" or (blank and (not letters or letters[-1][0] == " ")):
+                continue
+            letters.append((" " if blank else c.lower(), i, at))
+        if t.endswith("-") and n + 1 < len(kept) and re.match("[A-Za-z]", kept[n + 1][1]):
+            letters.pop()
+        elif letters[-1][0] != " ":
+            letters.append((" ", None, None))
+        joined += letters
+    text, out, at = "".join(c for c, _, _ in joined), [], 0
+    while (at := text.find(needle, at)) >= 0:
+        (_, a, b), (_, c, d) = joined[at], joined[at + len(needle) - 1]
+        out.append((a, b, c, d + 1))
+        at += len(needle)
+    return out
+
+
+def test_phrases_equal_a_search_letter_by_letter(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(search, "STRETCH", 16)
+    rng = random.Random(31)
+    docs = {d: ["".join(rng.choices(["a", "aa", "b", " ", "  ", "-", "\u00ad", "\u00a0", "A", "\n", "é"], k=rng.randint(0, 12))) + rng.choice(["", "", "-"]) for _ in range(rng.randint(1, 14))] for d in range(60)}
+    items = spark.createDataFrame([(d, i, t) for d, own in docs.items() for i, t in enumerate(own)], "doc_id int, item int, text string").repartition(3)
+    for needle in ("aa", "a b", "aba a"):
+        want = {(d, *h) for d, own in docs.items() for h in searched(own, needle)}
+        assert {tuple(r) for r in search.phrase_hits(items, needle).collect()} == want and want
 
 
 def test_offsets_and_titles(spark):
