@@ -34,13 +34,6 @@ def cache_key(rows: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*named)), 256)
 
 
-def cached_lookup(claims: DataFrame, cache: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(hits with their response, misses), by content key; one response per key is used."""
-    claims = claims.withColumn("input_hash", cache_key(claims, columns))
-    known = cache.groupBy("input_hash").agg(F.max_by("response", "ts").alias("response"))
-    return claims.join(known, "input_hash"), claims.join(known, "input_hash", "left_anti")
-
-
 def ingest_responses(raw: DataFrame, schema: str = "k int, score double, verdict string", verdicts: tuple[str, ...] = ("ok", "partial", "reject")) -> DataFrame:
     """Adds the parsed fields of ``response`` and reason (NULL if it is valid).
 

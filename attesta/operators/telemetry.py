@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.versions import Versions
+
 MEASURES = (("n_calls", F.count, "call_id"), ("cost", F.sum, "cost_microusd"), ("tokens_in", F.sum, "tokens_in"), ("tokens_out", F.sum, "tokens_out"))
 
 
@@ -83,6 +85,14 @@ def write_back(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
+def publish_verdicts(table: Versions, updates: DataFrame, key: str, columns: list[str], dry_run: bool = False) -> DataFrame:
+    """Write updates back as the next version of the table, which is returned; a dry run changes nothing and returns
+    what the same version would change."""
+    if dry_run:
+        return write_back_counts(table.read(), updates, key, columns)
+    return table.read(table.change(lambda rows: write_back(rows, updates, key, columns)))
+
+
 def write_back_counts(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """What write_back would do, in one row: updates, updates of unknown keys, and changed values of each column."""
     new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__u"))

@@ -10,6 +10,8 @@ from attesta.operators import ingest
 from attesta.plans.evidence import EV, evidence, norm
 from attesta.plans.registry import query
 from attesta.sources.adapters import CALLS, COHORTS, MODELS, PAPERS, view
+from attesta.sources.staging import shared_folder, stage
+from attesta.sources.versions import Responses, Versions
 
 SCHEMA = T.StructType([T.StructField("row_id", T.StringType()), T.StructField("auc", T.DoubleType()), T.StructField("sens", T.DoubleType()), T.StructField("anchor_page", T.IntegerType())])
 
@@ -30,7 +32,9 @@ _UPDATES = "SELECT l_orderkey + CASE WHEN l_partkey % 50 = 0 THEN 900000000 ELSE
 
 @query("s05_upsert", f"SELECT coalesce(t.k, u.k) AS k, CASE WHEN u.k IS NOT NULL THEN u.title ELSE t.title END AS title, CASE WHEN u.k IS NOT NULL THEN u.state ELSE t.state END AS state, o_custkey FROM ({_TARGET}) t FULL JOIN (SELECT k, title, state FROM ({_UPDATES}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) u ON u.k = t.k")
 def _(spark, d):
-    return ingest.upsert(view(spark, d, _TARGET), view(spark, d, _UPDATES), "k", ["title", "state"], "seq")
+    table = Versions(spark, shared_folder(spark))
+    table.publish(view(spark, d, _TARGET), 0)
+    return table.read(table.change(lambda rows: ingest.upsert(rows, view(spark, d, _UPDATES), "k", ["title", "state"], "seq")))
 
 
 @query("s10_pending", f"SELECT k FROM ({_TARGET}) WHERE k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 20) OR state = 'P'")
@@ -48,19 +52,18 @@ def _claims(spark, d):
     return evidence(spark, d).withColumns({"title": F.concat(F.lit("Document of "), "paper_ref"), "judge": F.lit("m1")})
 
 
-def _lookup(spark, d):
-    claims = _claims(spark, d)
-    cache = claims.filter("anchor_page < 5").select(ingest.cache_key(claims, _CLAIM).alias("input_hash"), F.concat(F.lit("seen "), F.col("anchor_page").cast("string")).alias("response"), "anchor_page")
-    cache = cache.select("input_hash", "response", F.col("anchor_page").alias("ts"))
-    return ingest.cached_lookup(claims, cache, _CLAIM)
-
-
 _SAME = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce(nullif(trim(CAST({c} AS VARCHAR)), ''), chr(30))" for c in _CLAIM if c not in ("title", "judge")) + "))"
 
 
-@query("s11_cached_lookup", f"WITH c AS (SELECT *, {_SAME} AS same FROM {EV}), k AS (SELECT same, arg_max(anchor_page, anchor_page) AS p FROM c WHERE anchor_page < 5 GROUP BY 1) SELECT row_id, 'seen ' || p AS response FROM c LEFT JOIN k ON k.same = c.same")
+@query("s11_cached_lookup", f"WITH c AS (SELECT *, {_SAME} AS same FROM {EV}), k AS (SELECT same, arg_max(anchor_page, anchor_page) AS p FROM c WHERE anchor_page < 5 GROUP BY 1) SELECT row_id, coalesce('seen ' || p, 'asked') AS response FROM c LEFT JOIN k ON k.same = c.same")
 def _(spark, d):
-    hits, misses = _lookup(spark, d)
+    claims, store = _claims(spark, d), Responses(spark, shared_folder(spark))
+    claims = stage(claims.select("row_id", "anchor_page", ingest.cache_key(claims, _CLAIM).alias("input_hash")), "claims")
+    seen = claims.filter("anchor_page < 5").select("input_hash", F.concat(F.lit("seen "), F.col("anchor_page").cast("string")).alias("response"), (-F.col("anchor_page")).alias("ts"))
+    store.append("seen", seen)
+    _, misses = store.lookup(claims)
+    store.append("asked", misses.select("input_hash", F.lit("asked").alias("response"), F.lit(9).alias("ts")))
+    hits, misses = store.lookup(claims)
     return hits.select("row_id", "response").unionByName(misses.select("row_id", F.lit(None).cast("string").alias("response")))
 
 

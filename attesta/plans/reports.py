@@ -8,6 +8,8 @@ from attesta.operators import catalog, rank, telemetry
 from attesta.plans.evidence import EV, RANK_ORDER, RANKED, cleaned, evidence
 from attesta.plans.registry import query
 from attesta.sources.adapters import CALLS, COHORTS, MODELS, PAPERS, view
+from attesta.sources.staging import shared_folder
+from attesta.sources.versions import Versions
 
 _STEM = "regexp_replace(file_name, '(?i)\\.pdf$', '')"
 _BUCKET = "CASE lower(trim(coalesce(verifier_verdict, ''))) WHEN 'ok' THEN 'ok' WHEN 'pass' THEN 'ok' WHEN 'weak' THEN 'weak' WHEN 'warn' THEN 'weak' WHEN 'partial' THEN 'weak' WHEN 'fail' THEN 'fail' WHEN 'reject' THEN 'fail' ELSE 'unverified' END"
@@ -113,17 +115,23 @@ _PAGE3 = f"SELECT row_id, 'reject' AS verifier_verdict, 0.25 AS verifier_score,
 _WRITTEN = ["verifier_verdict", "verifier_score", "anchor_bbox"]
 
 
+def _stored(spark, d) -> Versions:
+    table = Versions(spark, shared_folder(spark))
+    table.publish(evidence(spark, d).select("row_id", *_WRITTEN), 0)
+    return table
+
+
 @query("s07_write_back_verdicts", f"SELECT row_id, CASE WHEN anchor_page = 3 THEN 'reject' ELSE verifier_verdict END AS verifier_verdict, CASE WHEN anchor_page = 3 THEN 0.25 ELSE verifier_score END AS verifier_score, CASE WHEN anchor_page = 3 THEN coalesce(anchor_bbox, '0,0,1,1') ELSE anchor_bbox END AS anchor_bbox FROM {EV}")
 def _(spark, d):
     updates = view(spark, d, _PAGE3).withColumn("verifier_score", F.col("verifier_score").cast("double"))
-    return telemetry.write_back(evidence(spark, d), updates, "row_id", _WRITTEN).select("row_id", *_WRITTEN)
+    return telemetry.publish_verdicts(_stored(spark, d), updates, "row_id", _WRITTEN)
 
 
 @query("s07_write_back_dry_run", f"SELECT 2 * count(*) AS n_updates, count(*) AS n_unknown, count(*) FILTER (verifier_verdict IS DISTINCT FROM 'reject') AS changed_verifier_verdict, count(*) FILTER (verifier_score IS DISTINCT FROM 0.25) AS changed_verifier_score, count(*) FILTER (anchor_bbox IS NULL) AS changed_anchor_bbox FROM ({MODELS}) WHERE anchor_page = 3")
 def _(spark, d):
     updates = view(spark, d, _PAGE3).withColumn("verifier_score", F.col("verifier_score").cast("double"))
     unknown = updates.withColumn("row_id", F.concat(F.lit("no "), "row_id"))
-    return telemetry.write_back_counts(evidence(spark, d), updates.unionByName(unknown), "row_id", _WRITTEN)
+    return telemetry.publish_verdicts(_stored(spark, d), updates.unionByName(unknown), "row_id", _WRITTEN, dry_run=True)
 
 
 _COST = f"(SELECT row_id, cohort_id, CAST(length(cohort_id) * 100 AS DOUBLE) AS cost, length(cohort_id) * 1000 AS tokens, length(cohort_id) * 77 AS latency FROM ({MODELS}))"
