@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import relevance, text_of
+from attesta.sources.staging import stage
 
 PRIORITY = ("AUC", "c_index", "OR", "HR", "RR")
 RELEVANT = ("paper_ref", "cohort_label", "predictors", "outcome", "model_specification", "effect_size_str", "population_description")
@@ -23,6 +26,37 @@ def top_rows(rows: DataFrame, *order: Column, limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
+def medians(values: DataFrame, keys: list[str], value: str, few: int = 10_000, buckets: int = 1024) -> DataFrame:
+    """(keys, median, k) of each group's values, exact.
+
+    Groups of up to ``few`` values are aggregated as they are. In larger ones the ranks in the middle are found by
+    counting: values are counted in equal ranges, the range that holds a rank is cut anew between its least and its
+    greatest value, until these are one. No task or group ever holds a group's values, only its counts.
+    """
+    rows = values.select(*keys, F.col(value).alias("v")).filter("v is not null")
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    small = whole.filter(F.col("k") <= few)
+    exact = rows.join(small.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.median("v").alias("median"), F.count("*").alias("k"))
+    large = stage(whole.filter(F.col("k") > few).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor((F.col("k") - 1) / 2), F.floor(F.col("k") / 2))))).withColumn("want", F.col("rank")), "ranks")
+    found = []
+    while not large.isEmpty():
+        done = large.filter("lo = hi").select(*keys, "k", "rank", F.col("lo").alias("v"))
+        found.append(done)
+        left = large.filter("lo < hi")
+        if left.isEmpty():
+            break
+        inside = rows.join(left, keys).filter("v between lo and hi")
+        # halves first: the width of the widest range of doubles is not a double
+        at = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * buckets), F.lit(buckets - 1))
+        counts = inside.withColumn("b", at).groupBy(*keys, "k", "rank", "want", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        chosen = counts.withColumn("before", before).filter("want >= before and want < before + n")
+        large = stage(chosen.select(*keys, "k", "lo", "hi", "rank", (F.col("want") - F.col("before")).alias("want")), "ranks")
+    if not found:
+        return exact
+    return exact.unionByName(reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.avg("v").alias("median"), F.first("k").alias("k")))
+
+
 def metric_value(metric: str) -> Column:
     if metric in ("AUC", "c_index"):
         return F.col(metric.lower()).cast("double")
@@ -36,7 +70,7 @@ def rankable(rows: DataFrame) -> DataFrame:
 def rank_predictors(rows: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
     """One row per predictor: its first metric that has values, the best value and where it stands.
 
-    Two aggregations with partial combine. ``ord`` is the order of the rows.
+    Aggregations with partial combine; the median of the values is counted (``medians``). ``ord`` is the order of the rows.
     """
     rows = rankable(rows)
     studies = rows.groupBy("predictor_canonical").agg(F.countDistinct(F.when(F.col("cohort_id") != "", F.col("cohort_id"))).alias("d"), F.count("*").alias("n"), F.min("ord").alias("first_ord"))
@@ -46,15 +80,18 @@ def rank_predictors(rows: DataFrame, priority: tuple[str, ...] = PRIORITY) -> Da
     good = F.when(F.col("m.rank") < 2, F.col("m.value")).otherwise(F.abs(F.col("m.value") - 1))
     best = F.struct("m.value", "ci_lo", "ci_hi", "paper_ref", "cohort_id", "ord")
     per = values.groupBy("predictor_canonical", F.col("m.rank").alias("rank"), F.col("m.metric").alias("metric")).agg(
-        F.min_by(best, F.struct(-good, F.col("ord"))).alias("best"), F.median("m.value").alias("median"), F.count("*").alias("k")
+        F.min_by(best, F.struct(-good, F.col("ord"))).alias("best")
     )
-    chosen = per.groupBy("predictor_canonical").agg(F.min(F.struct("rank", "metric", "best", "median", "k")).alias("c"))
+    chosen = per.groupBy("predictor_canonical").agg(F.min(F.struct("rank", "metric", "best")).alias("c"))
+    asked = values.select("predictor_canonical", F.col("m.rank").alias("rank"), F.col("m.value").alias("value"))
+    asked = asked.join(chosen.select("predictor_canonical", F.col("c.rank").alias("rank")), ["predictor_canonical", "rank"], "left_semi")
+    middle = medians(asked, ["predictor_canonical"], "value")
     ratio = F.col("c.rank") >= 2
-    return chosen.join(studies, "predictor_canonical").select(
+    return chosen.join(studies, "predictor_canonical").join(middle, "predictor_canonical").select(
         "predictor_canonical", "n_studies", F.col("c.metric").alias("best_metric"), F.col("c.best.value").alias("best_value"),
         F.when(ratio, F.col("c.best.ci_lo")).alias("best_ci_lo"), F.when(ratio, F.col("c.best.ci_hi")).alias("best_ci_hi"),
         F.col("c.best.paper_ref").alias("best_paper_ref"), F.col("c.best.cohort_id").alias("best_cohort_id"),
-        F.when(F.col("c.k") >= 2, F.col("c.median")).alias("median_value"), F.col("c.rank").alias("metric_rank"), F.col("c.best.ord").alias("best_ord"), "first_ord",
+        F.when(F.col("k") >= 2, F.col("median")).alias("median_value"), F.col("c.rank").alias("metric_rank"), F.col("c.best.ord").alias("best_ord"), "first_ord",
     )
 
 

@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESULT = "key string, event_id long, at long, admitted boolean, retry_after long"
@@ -35,25 +35,43 @@ def _decide(rows: pd.DataFrame, kept: deque, limit: int, window_ms: int) -> pd.D
     return rows[["key", "event_id", "at"]].assign(admitted=[a for a, _ in said], retry_after=[r for _, r in said])
 
 
-def admissions(events: DataFrame, limit: int = 5, window_ms: int = 3_600_000, chunk_ms: int = 0) -> DataFrame:
+def chunked(events: DataFrame, window_ms: int, parts: int = 8) -> DataFrame:
+    """Events (key, at, ...) with ``chunk``: between two chunks of a key lies a gap longer than the window.
+
+    Time is cut into bins, ``parts`` to a window; where as many bins in a row have no event, nothing that was admitted
+    before still counts. Only the bins that hold events, not the events, are put in order by key.
+    """
+    width = max(1, -(-window_ms // parts))
+    rows = events.withColumn("bin", F.floor(F.col("at") / width))
+    order = Window.partitionBy("key").orderBy("bin")
+    bins = rows.select("key", "bin").distinct()
+    gap = F.coalesce((F.col("bin") - F.lag("bin").over(order) > parts).cast("long"), F.lit(0))
+    bins = bins.withColumn("gap", gap).withColumn("chunk", F.sum("gap").over(order)).select(F.col("key").alias("of_key"), F.col("bin").alias("of_bin"), "chunk")
+    return rows.join(bins, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("bin") == F.col("of_bin"))).drop("bin", "of_key", "of_bin")
+
+
+def admissions(events: DataFrame, limit: int = 5, window_ms: int = 3_600_000) -> DataFrame:
     """(key, event_id, at, admitted, retry_after) of a table (key, event_id, at in ms).
 
-    Rows of a key stream through one task in order; the task holds ``limit`` times, not the key's rows.
+    A key is cut into chunks at its gaps, which are decided apart from each other; rows of a chunk stream through one
+    task in order, which holds ``limit`` times. Events of one key without any gap follow from each other and stay
+    together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, deque] = {}
+        kept: dict[tuple, deque] = {}
         for b in batches:
             out = []
-            for key, rows in b.groupby("key", sort=False, dropna=False):
+            for key, rows in b.groupby(["key", "chunk"], sort=False, dropna=False):
                 if key not in kept:
-                    kept.clear()  # rows come key by key
+                    kept.clear()  # rows come chunk by chunk
                 out.append(_decide(rows, kept.setdefault(key, deque()), limit, window_ms))
             if out:
                 yield pd.concat(out)
 
     rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("long").alias("at"))
-    return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, RESULT)
+    rows = chunked(rows.filter("at is not null"), window_ms)
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "at", "event_id").mapInPandas(run, RESULT)
 
 
 STATE = "kept array<long>, times array<long>, ids array<long>"

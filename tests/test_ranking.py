@@ -1,5 +1,8 @@
 """The seven-row ranking fixture and its expected order."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,12 @@ def test_rejected_first_copy_hides_the_accepted_second(evidence):
     one = evidence.filter("row_id = 'r1'").withColumn("verifier_verdict", F.lit("reject"))
     two = evidence.filter("row_id = 'r1'").withColumns({"row_id": F.lit("r9"), "verifier_verdict": F.lit("ok")})
     assert ranked(one.unionByName(two)).filter("outcome_window_days = 28").count() == 0
+
+
+def test_medians_by_counting(spark):
+    rng = random.Random(51)
+    values = {"even": [rng.gauss(0, 1) for _ in range(200)], "odd": [float(rng.randint(-5, 5)) for _ in range(151)], "same": [2.5] * 90, "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(120)], "ends": [-1.7e308] * 30 + [1.7e308] * 31, "few": [3.0, 1.0], None: [1.0] * 40}
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own] + [("few", None)], "g string, v double").repartition(3)
+    got = {r.g: (r.median, r.k) for r in rank.medians(rows.filter("g is not null"), ["g"], "v", few=20, buckets=8).collect()}
+    assert got == {k: (statistics.median(own), len(own)) for k, own in values.items() if k}
+    assert rank.medians(rows.limit(0), ["g"], "v").count() == 0

@@ -1,11 +1,13 @@
 import json
+import os
+import random
 from collections import deque
 
 from pyspark.sql import functions as F
 
 from attesta.operators import ingest
 from attesta.sources import files
-from attesta.streaming.admission import admission_stream, admissions, admit
+from attesta.streaming.admission import admission_stream, admissions, admit, chunked
 from attesta.streaming.call_log import cost_rollup
 
 
@@ -21,6 +23,26 @@ def test_admissions_by_key(spark):
     assert admissions(events.filter(F.lit(False))).count() == 0
 
 
+def test_chunks_change_no_decision(spark):
+    rng = random.Random(41)
+    rows, at = [], {k: 0 for k in ("a", "b", None)}
+    for i in range(600):
+        k = rng.choice(list(at))
+        at[k] += rng.choice([0, 1, 5, 40, 99, 100, 101, 111, 112, 113, 125, 300, 5000])
+        rows.append((k, i, at[k]))
+    events = spark.createDataFrame(rows, "key string, event_id long, at long").repartition(3)
+    want = {}
+    for key in at:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1]))
+        want |= {r[1]: d for r, d in zip(own, admit([r[2] for r in own], deque(), 2, 100), strict=True)}
+    assert {r.event_id: (r.admitted, r.retry_after) for r in admissions(events, limit=2, window_ms=100).collect()} == want
+    chunks = {(r.key, r.chunk) for r in chunked(events, 100).collect()}
+    assert len(chunks) > 100
+    for key in at:  # a gap of more than the window lies between chunks
+        own = sorted((r.at, r.chunk) for r in chunked(events, 100).collect() if r.key == key)
+        assert all(b[0] - a[0] > 100 for a, b in zip(own, own[1:], strict=False) if a[1] != b[1])
+
+
 def test_admission_stream_decides_in_event_time(spark, tmp_path):
     start = 1_700_000_000_000
     rows = [(["a", "b", None][i % 3], i, start + (i * 37 % 90) * 1000) for i in range(90)]
@@ -29,6 +51,7 @@ def test_admission_stream_decides_in_event_time(spark, tmp_path):
     batches = [rows[:40], rows[40:], [("z", 1000, start + 10_000_000)], [("z", 1001, start + 20_000_000)]]  # out of order within the first two
     for i, b in enumerate(batches):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"key": k, "event_id": e, "at": t}) for k, e, t in b))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))  # files are read by age
     stream = spark.readStream.schema("key string, event_id long, at long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     out = admission_stream(stream.withColumn("ts", F.timestamp_millis("at")), limit=3, window_ms=20_000, late="2 minutes")
     q = out.writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
