@@ -10,6 +10,10 @@ from attesta.functions.text import text_of
 COMMON_WINDOWS = (28, 30, 60, 90, 180, 365)
 
 
+#: Letters of the grams by which references are looked up.
+GRAM = 3
+
+
 def like(c: Column, part: str) -> Column:
     """Case-insensitive LIKE %part%; wildcards in part keep their meaning."""
     return F.lower(c).like(f"%{part.lower()}%")
@@ -81,17 +85,37 @@ def capped(rows: DataFrame, limit: int = 200) -> DataFrame:
     return rows.orderBy("row_id").limit(limit)
 
 
-def scope_rows(rows: DataFrame, refs: DataFrame, held_out: DataFrame | None = None) -> DataFrame:
-    """Rows whose paper_ref and cohort_id hold a reference (column ref), case-insensitively, and no held-out one.
+def _holding(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """The names (name) that hold a reference (ref): each reference is looked up by its rarest gram among the names.
+
+    References too short to have a gram are few different ones, whatever their number; they are tested on every name.
+    """
+    refs = refs.select(F.lower("ref").alias("ref")).filter("ref is not null").distinct()
+
+    def grams(rows: DataFrame, c: str) -> DataFrame:
+        return rows.select(c, F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("gram"))
+
+    index = grams(names, "name")
+    known = grams(refs.filter(F.length("ref") >= GRAM), "ref").join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = known.groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("ref", "g.gram")
+    long = index.join(rarest, "gram").filter(F.col("name").contains(F.col("ref"))).select("name")
+    short = names.join(refs.filter(F.length("ref") < GRAM), F.col("name").contains(F.col("ref")), "left_semi")
+    return long.unionByName(short).distinct()
+
+
+def scope_rows(rows: DataFrame, refs: DataFrame, held_out: DataFrame | None = None, run_id: str | None = None) -> DataFrame:
+    """Rows whose paper_ref and cohort_id hold a reference (column ref), case-insensitively, and no held-out one;
+    with a run_id, of that run alone.
 
     Names repeat over many rows, so the distinct names are tested, and rows are kept by an equi-join on the name.
     """
+    rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
     rows = rows.withColumn("__name", F.lower(F.concat_ws(" ", "paper_ref", "cohort_id")))
-    names = rows.select("__name").distinct()
-    names = names.join(refs.select(F.lower("ref").alias("__ref")), F.col("__name").contains(F.col("__ref")), "left_semi")
+    names = rows.select(F.col("__name").alias("name")).distinct()
+    wanted = _holding(names, refs)
     if held_out is not None:
-        names = names.join(held_out.select(F.lower("ref").alias("__ref")), F.col("__name").contains(F.col("__ref")), "left_anti")
-    return rows.join(names, "__name", "left_semi").drop("__name")
+        wanted = wanted.join(_holding(wanted, held_out), "name", "left_anti")
+    return rows.join(wanted.withColumnRenamed("name", "__name"), "__name", "left_semi").drop("__name")
 
 
 def key_hashes(keys: list[Column]) -> list[Column]:

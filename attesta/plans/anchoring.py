@@ -323,19 +323,16 @@ _EXTRA = f"CASE WHEN size > 100 THEN concat('cohort_size=', CASE WHEN {_near('si
 _COHORT_SIZE = "coalesce(TRY_CAST(regexp_extract(replace(coalesce(cohort_size_n, ''), ',', ''), '\\d+') AS BIGINT), 0)"
 
 
-@query("v01_numeric_atoms", f"SELECT e.row_id, concat_ws(';', {', '.join(_atom(f) for f in _GIVEN)}, {_EXTRA}) AS atoms FROM (SELECT *, {_SEEN} AS seen, {_COHORT_SIZE} AS size FROM {EV}) e JOIN {PARSED} p ON p.row_id = e.row_id")
+_V1 = f"SELECT e.row_id, concat_ws(';', {', '.join(_atom(f) for f in _GIVEN)}, {_EXTRA}) AS atoms FROM (SELECT *, {_SEEN} AS seen, {_COHORT_SIZE} AS size FROM {EV}) e JOIN {PARSED} p ON p.row_id = e.row_id"
+
+
+@query("v01_numeric_atoms", _V1)
 def _(spark, d):
     rows = verify.atoms(claims(spark, d))
     return rows.select("row_id", F.array_join(F.transform("atoms", lambda a: F.concat_ws("=", a["field"], a["state"])), ";").alias("atoms"))
 
 
-_AT = f"(SELECT row_id, l_state FROM (SELECT row_id, CASE WHEN anchor_page % 3 = 0 THEN ['matched', 'contradicted'] WHEN anchor_page % 3 = 1 THEN ['matched', 'matched', 'absent'] WHEN anchor_page = 2 THEN [] ELSE ['matched', 'absent', 'absent'] END AS l_state FROM {EV}))"
-
-
-def _states(spark, d) -> DataFrame:
-    names = "CASE WHEN anchor_page % 3 = 0 THEN array('matched', 'contradicted') WHEN anchor_page % 3 = 1 THEN array('matched', 'matched', 'absent') WHEN anchor_page = 2 THEN array() ELSE array('matched', 'absent', 'absent') END"
-    rows = evidence(spark, d).withColumn("s", F.expr(names))
-    return rows.withColumn("atoms", F.transform("s", lambda x, i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("field"), x.alias("state"))))
+_AT = f"(SELECT row_id, list_filter(list_transform(string_split(atoms, ';'), lambda x: split_part(x, '=', 2)), lambda x: x <> '') AS l_state FROM ({_V1}))"
 
 
 def _cnt(state: str) -> str:
@@ -344,12 +341,12 @@ def _cnt(state: str) -> str:
 
 @query("v02_verdicts", f"SELECT row_id, CASE WHEN c > 0 THEN 'reject' WHEN s + a = 0 THEN 'partial' WHEN (s + 0.5 * a) / (s + a) >= 0.7 THEN 'ok' ELSE 'partial' END AS verdict, round(CASE WHEN c > 0 THEN greatest(0, s / (s + c) - 0.2) WHEN s + a = 0 THEN 0.5 ELSE (s + 0.5 * a) / (s + a) END, 6) AS score FROM (SELECT row_id, {_cnt('matched')} AS s, {_cnt('contradicted')} AS c, {_cnt('absent')} AS a FROM {_AT})")
 def _(spark, d):
-    return verify.verdicts(_states(spark, d)).select("row_id", "verdict", F.round("score", 6).alias("score"))
+    return verify.verdicts(verify.atoms(claims(spark, d))).select("row_id", "verdict", F.round("score", 6).alias("score"))
 
 
 @query("v03_needs_judge", f"SELECT row_id, anchor_section IS NOT NULL AND {_cnt('contradicted')} = 0 AND NOT (len(l_state) > 0 AND {_cnt('matched')} = len(l_state) AND cohort_size_n IS NULL) AS needs_judge FROM {_AT} JOIN {EV} USING (row_id)")
 def _(spark, d):
-    rows = _states(spark, d).withColumns({"anchor_unresolved": F.col("anchor_section").isNull(), "cross_check": F.col("cohort_size_n").isNotNull()})
+    rows = verify.atoms(claims(spark, d))
     return verify.needs_judge(rows).select("row_id", "needs_judge")
 
 

@@ -82,12 +82,19 @@ def _(spark, d):
     return filters.drop_rejected(evidence(spark, d)).select("row_id", "verifier_verdict")
 
 
-@query("p16_scope_rows", f"SELECT row_id FROM {EV} WHERE (lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%nation_3%' OR lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%c12%') AND lower(concat_ws(' ', paper_ref, cohort_id)) NOT LIKE '%c121%'")
+@query("p16_scope_rows", f"SELECT row_id FROM {EV} WHERE (lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%nation_3%' OR lower(concat_ws(' ', paper_ref, cohort_id)) LIKE '%c12%') AND lower(concat_ws(' ', paper_ref, cohort_id)) NOT LIKE '%c121%' AND anchor_page < 8")
 def _(spark, d):
     def refs(*x):
         return spark.sql("SELECT explode(array({})) AS ref".format(", ".join(f"'{v}'" for v in x)))
 
-    return filters.scope_rows(evidence(spark, d), refs("Nation_3", "c12"), refs("C121")).select("row_id")
+    rows = evidence(spark, d).withColumn("run_id", F.when(F.col("anchor_page") < 8, "r1"))
+    return filters.scope_rows(rows, refs("Nation_3", "c12"), refs("C121"), run_id="r1").select("row_id")
+
+
+@query("p16_scope_rows_many", f"SELECT row_id FROM {EV} WHERE EXISTS (SELECT 1 FROM supplier WHERE contains(lower(concat_ws(' ', paper_ref, cohort_id)), lower(concat('c', CAST(100 + s_suppkey AS VARCHAR)))))")
+def _(spark, d):
+    refs = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("C"), (F.col("s_suppkey") + 100).cast("string")).alias("ref"))
+    return filters.scope_rows(evidence(spark, d), refs).select("row_id")
 
 
 @query("l04_row_cap", f"SELECT row_id FROM {EV} WHERE outcome_type = 'mortality' ORDER BY row_id LIMIT 200")

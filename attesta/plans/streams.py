@@ -16,7 +16,7 @@ def _(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("x02_admission", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_ms(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+@query("x02_admission", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
 r AS (SELECT key, n, event_id, tm, [tm] AS kept, true AS admitted, CAST(0 AS BIGINT) AS retry_after FROM e WHERE n = 1
  UNION ALL SELECT key, n, event_id, tm, CASE WHEN len(k) < 5 THEN list_append(k, tm) ELSE k END, len(k) < 5, CASE WHEN len(k) < 5 THEN 0 ELSE greatest(1, CAST(ceil((k[1] + 3600000 - tm) / 1000) AS BIGINT)) END
  FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e.tm - 3600000) AS k FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
