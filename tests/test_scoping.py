@@ -46,3 +46,16 @@ def test_best_match_equals_all_pairs(spark):
                 want[k] = (round(-met[0][0], 9), met[0][1])
         got = {r.gold_id: (round(r.f1, 9), r.found_id) for r in scoring.best_match(g, f, least=least).collect()}
         assert got == want and len(want) > 20
+
+
+def test_the_scoping_query_keeps_rows_of_every_page(spark):
+    from attesta.plans import registry
+    from attesta.plans.evidence import evidence
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["p16_scope_rows"](spark, sf)
+    name = "lower(concat_ws(' ', paper_ref, cohort_id))"
+    want = evidence(spark, sf).filter(f"({name} LIKE '%nation_3%' OR {name} LIKE '%c12%') AND {name} NOT LIKE '%c121%'")
+    assert {r.row_id for r in got.collect()} == {r.row_id for r in want.collect()}
+    assert not want.filter("anchor_page >= 8").isEmpty()
+    assert "anchor_page" not in registry.oracle_sql()["p16_scope_rows"].rpartition("WHERE")[2]
