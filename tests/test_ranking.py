@@ -86,3 +86,17 @@ def test_medians_by_counting(spark):
     got = {r.g: (r.median, r.k) for r in rank.medians(rows.filter("g is not null"), ["g"], "v", few=20, buckets=8).collect()}
     assert got == {k: (statistics.median(own), len(own)) for k, own in values.items() if k}
     assert rank.medians(rows.limit(0), ["g"], "v").count() == 0
+
+
+def test_distinct_facts_are_both_passes_in_one_reading(evidence):
+    for scored in (True, False):
+        want = dedupe.cross_cohort(dedupe.exact_evidence(evidence), scored).select("row_id", "auc", "ord")
+        got = dedupe.distinct_facts(evidence, ["auc"], scored)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 2
+
+
+def test_first_of_a_key_is_found_without_a_join(evidence):
+    plan = dedupe.exact_evidence(evidence)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
