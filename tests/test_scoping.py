@@ -59,3 +59,11 @@ def test_the_scoping_query_keeps_rows_of_every_page(spark):
     assert {r.row_id for r in got.collect()} == {r.row_id for r in want.collect()}
     assert not want.filter("anchor_page >= 8").isEmpty()
     assert "anchor_page" not in registry.oracle_sql()["p16_scope_rows"].rpartition("WHERE")[2]
+
+
+def test_best_match_meets_equal_names_before_postings(spark):
+    g = spark.createDataFrame([("g1", "c1", "heart rate", "OR 2"), ("g2", "c1", "heart", "x"), ("g3", "c9", "heart", "y")], "gold_id string, cohort_id string, predictor string, effect string")
+    f = spark.createDataFrame([("f2", "c1", "heart rate"), ("f1", "c1", "rate heart"), ("f0", "c1", "heart rate score"), ("f3", "c2", "heart")], "found_id string, cohort_id string, predictors string")
+    out = scoring.best_match(g, f, least=0.5, keep=("effect",), how="left")
+    got = {r.gold_id: (r.effect, r.f1 and round(r.f1, 6), r.found_id) for r in out.collect()}
+    assert got == {"g1": ("OR 2", 1.0, "f1"), "g2": ("x", 0.666667, "f1"), "g3": ("y", None, None)}
