@@ -156,3 +156,24 @@ def test_phrases_equal_a_search_letter_by_letter(spark, monkeypatch):
 def test_offsets_and_titles(spark):
     items = spark.createDataFrame([(1, 0, "Heading"), (1, 1, " " * 3), (1, 2, "x" * 50)], "doc_id int, item int, text string")
     assert [(r.item, r.start, r.end, r.section) for r in ingest.text_offsets(items).orderBy("item").collect()] == [(0, 0, 7, "Heading"), (2, 8, 58, "Heading")]
+
+
+def test_index_keeps_only_what_anchors_look_up(spark, monkeypatch):
+    kept, write = {}, anchor_index.stage
+    monkeypatch.setattr(anchor_index, "stage", lambda rows, name: kept.setdefault(name, write(rows, name)))
+    s = spark.createDataFrame([(1, i, f"line {i} tells of septic shock and much else that nobody asks for", 1, "S", "body") for i in range(30)], SPAN)
+    a = spark.createDataFrame([("a", 1, "line 7 tells of septic shock", None), ("b", 1, "line 7", None)], "anchor_id string, doc_id int, anchor string, anchor_section string")
+    got = {(r.anchor_id, r.item) for r in anchors.contained(a, s).collect()}
+    assert got == {("a", 7), ("b", 7)}
+    assert kept["index"].join(kept["asked"], "feature", "left_anti").isEmpty() and not kept["index"].isEmpty()
+
+
+def test_scope_meets_on_the_table_number(spark):
+    rows = [(1, c, i, 1, f"{i} {i + 1} {i + 2}") for i, c in enumerate(["Table 1", "TABLE 1 (continued)", "Table 2", "Patients", "All patients", None, " "])] + [(2, "x", 9, 1, "9 10 11")]
+    asked = [("a", 1, "Table 1"), ("b", 1, "patients"), ("c", 1, None), ("d", 2, None), ("e", 1, "Table 9"), ("f", 2, " "), ("g", 3, "x")]
+    r = spark.createDataFrame(rows, "doc_id int, caption string, table int, row int, text string")
+    a = spark.createDataFrame(asked, "anchor_id string, doc_id int, anchor_caption string")
+    got = {(x.anchor_id, x.table) for x in anchors._in_scope(a, r, r).collect()}
+    assert got == {("a", 0), ("a", 1), ("b", 3), ("b", 4), ("d", 9)}
+    plan = anchors._in_scope(a, r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__tag" in plan[plan.index("Join") :].split("\n")[0]
