@@ -59,15 +59,14 @@ def admissions(events: DataFrame, limit: int = 5, window_ms: int = 3_600_000) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[tuple, deque] = {}
+        own, kept = None, deque()
         for b in batches:
-            out = []
-            for key, rows in b.groupby(["key", "chunk"], sort=False, dropna=False):
-                if key not in kept:
-                    kept.clear()  # rows come chunk by chunk
-                out.append(_decide(rows, kept.setdefault(key, deque()), limit, window_ms))
-            if out:
-                yield pd.concat(out)
+            said = []
+            for key, chunk, at in zip(b["key"].tolist(), b["chunk"].tolist(), b["at"].tolist(), strict=True):
+                if own != (key, chunk):  # rows come chunk by chunk, in order; most chunks are of few events
+                    own, kept = (key, chunk), deque()
+                said.extend(admit((at,), kept, limit, window_ms))
+            yield b[["key", "event_id", "at"]].assign(admitted=[a for a, _ in said], retry_after=[r for _, r in said])
 
     rows = events.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("long").alias("at"))
     rows = chunked(rows.filter("at is not null"), window_ms)

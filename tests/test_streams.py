@@ -1,3 +1,4 @@
+import inspect
 import json
 import os
 import random
@@ -94,3 +95,12 @@ def test_responses_and_csv(spark, tmp_path):
     assert ingest.csv_columns(rows, ["name"]) == ["name", "z"]
     ingest.write_csv(rows, str(tmp_path / "csv"), ["name"])
     assert '"a""b","1"' in "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
+
+
+def test_a_batch_of_many_chunks_is_not_grouped(spark):
+    from attesta.streaming import admission
+
+    assert "groupby" not in inspect.getsource(admission.admissions)
+    rows = [(k, i, i * 7_200_000 + j) for k in ("a", None) for i in range(50) for j in range(2)]
+    out = admission.admissions(spark.createDataFrame(rows, "key string, event_id long, at long"), limit=1, window_ms=3_600_000).collect()
+    assert len(out) == 200 and sum(r.admitted for r in out) == 100 and all(r.admitted == (r.at % 7_200_000 == 0) for r in out)
