@@ -74,8 +74,17 @@ EXPORT = (
 
 
 def export_rows(rows: DataFrame) -> DataFrame:
-    """Fixed columns in fixed order; what does not fit its type, and '', is NULL."""
-    return rows.select([F.nullif(F.col(c).cast("string"), F.lit("")).try_cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in EXPORT])
+    """Fixed columns in fixed order; what does not fit its type, and '', is NULL. Columns of their type are not cast."""
+    types = dict(rows.dtypes)
+
+    def exported(c: str, t: str) -> Column:
+        if c not in types:
+            return F.lit(None).cast(t)
+        if types[c] == t:
+            return F.nullif(F.col(c), F.lit("")) if t == "string" else F.col(c)
+        return F.nullif(F.col(c).cast("string"), F.lit("")).try_cast(t)
+
+    return rows.select([exported(c, t).alias(c) for c, t in EXPORT])
 
 
 def csv_columns(rows: DataFrame, preferred: list[str]) -> list[str]:
