@@ -81,7 +81,7 @@ def export_rows(rows: DataFrame) -> DataFrame:
         if c not in types:
             return F.lit(None).cast(t)
         if types[c] == t:
-            return F.nullif(F.col(c), F.lit("")) if t == "string" else F.col(c)
+            return F.when(F.col(c) != "", F.col(c)) if t == "string" else F.col(c)
         return F.nullif(F.col(c).cast("string"), F.lit("")).try_cast(t)
 
     return rows.select([exported(c, t).alias(c) for c, t in EXPORT])
