@@ -57,14 +57,14 @@ _SAME = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce(nullif(trim(CAST({c} AS
 
 @query("s11_cached_lookup", f"WITH c AS (SELECT *, {_SAME} AS same FROM {EV}), k AS (SELECT same, arg_max(anchor_page, anchor_page) AS p FROM c WHERE anchor_page < 5 GROUP BY 1) SELECT row_id, coalesce('seen ' || p, 'asked') AS response FROM c LEFT JOIN k ON k.same = c.same")
 def _(spark, d):
-    claims, store = _claims(spark, d), Responses(spark, shared_folder(spark))
-    claims = stage(claims.select("row_id", "anchor_page", ingest.cache_key(claims, _CLAIM).alias("input_hash")), "claims")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()  # from the files' footers
+    claims, store = _claims(spark, d), Responses(spark, shared_folder(spark), Responses.buckets_for(lines))
+    claims = store.keyed(claims.select("row_id", "anchor_page", F.unhex(ingest.cache_key(claims, _CLAIM)).alias("input_hash")))
     seen = claims.filter("anchor_page < 5").select("input_hash", F.concat(F.lit("seen "), F.col("anchor_page").cast("string")).alias("response"), (-F.col("anchor_page")).alias("ts"))
     store.append("seen", seen)
     _, misses = store.lookup(claims)
     store.append("asked", misses.select("input_hash", F.lit("asked").alias("response"), F.lit(9).alias("ts")))
-    hits, misses = store.lookup(claims)
-    return hits.select("row_id", "response").unionByName(misses.select("row_id", F.lit(None).cast("string").alias("response")))
+    return store.answered(claims).select("row_id", "response")
 
 
 @query("s12_fingerprint", "SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 12) AS short FROM documents")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators.ingest import cache_key
@@ -98,23 +98,47 @@ class Versions:
 
 
 class Responses:
-    """Responses by the content key of what was asked, in folders by the key's first two digits.
+    """Responses by the content key of what was asked, in folders by the key's first two digits and in buckets of the key.
 
-    A key keeps its first response. A batch is appended once, whoever sends it again.
+    A key keeps its first response. A batch is appended once, whoever sends it again. Keys are texts or bytes, of one
+    kind in a store. Rows that ``keyed`` wrote are shuffled once, then they meet the store bucket by bucket; buckets
+    should be as many as ``buckets_for`` says, and the same for all writers of a store.
     """
 
-    SCHEMA = "input_hash string, response string, ts long, prefix string"
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1):
+        self.spark, self.folder, self.buckets, self.marks = spark, folder, buckets, Marks(spark, f"{folder}/batches")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.marks = spark, folder, Marks(spark, f"{folder}/batches")
+    @staticmethod
+    def buckets_for(rows: int) -> int:
+        """At most 2 million rows a bucket, and up to 8 buckets of 65,536 rows."""
+        return max(1, min(8, rows >> 16), -(-rows // 2_000_000))
+
+    def _write(self, rows: DataFrame, data: str, *folders: str) -> DataFrame:
+        writer = rows.write.bucketBy(self.buckets, "input_hash").option("compression", "zstd")
+        (writer.partitionBy(*folders) if folders else writer).option("path", f"{self.folder}/data/{data}").saveAsTable(self._table(data))
+        return self.spark.table(self._table(data))
+
+    @staticmethod
+    def _table(data: str) -> str:
+        return f"responses_{data[-32:]}"
+
+    def _batch(self, data: str, kind: str) -> DataFrame:
+        """The table of a batch; one that another session wrote is read from its folder, without its buckets."""
+        if self.spark.catalog.tableExists(self._table(data)):
+            return self.spark.table(self._table(data))
+        return self.spark.read.schema(f"input_hash {kind}, response string, ts long, prefix string").parquet(f"{self.folder}/data/{data}")
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``input_hash``, written in the buckets of the store and read back."""
+        return self._write(rows.repartition(self.buckets, "input_hash"), f"keyed-{uuid.uuid4().hex}")
 
     def known(self, keys: DataFrame) -> DataFrame:
         """(input_hash, response) of the keys' folders alone; these are 256 at most."""
-        asked = [r["p"] for r in keys.select(F.substring("input_hash", 1, 2).alias("p")).distinct().collect() if r["p"]]
-        folders = [f"{self.folder}/data/{self.marks.text(b)}" for b in self.marks.names()]
-        if not folders or not asked:
-            return self.spark.createDataFrame([], "input_hash string, response string")
-        parts = [self.spark.read.schema(self.SCHEMA).parquet(f).filter(F.col("prefix").isin(asked)) for f in folders]
+        kind, batches = keys.schema["input_hash"].dataType.simpleString(), self.marks.names()
+        asked = [r["p"] for r in keys.select(_prefix(keys).alias("p")).distinct().collect() if r["p"]] if batches else []
+        if not asked:
+            return self.spark.createDataFrame([], f"input_hash {kind}, response string")
+        parts = [self._batch(self.marks.text(b), kind).filter(F.col("prefix").isin(asked)) for b in batches]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
@@ -122,12 +146,14 @@ class Responses:
 
     def append(self, batch: str, responses: DataFrame) -> bool:
         """Add (input_hash, response, ts) of keys without one; False if the batch was added before."""
-        if batch in self.marks.names():
+        taken = self.marks.names()
+        if batch in taken:
             return False
-        own = responses.filter("input_hash is not null").groupBy("input_hash").agg(F.min(F.struct("ts", "response")).alias("r")).select("input_hash", "r.response", F.col("r.ts").cast("long").alias("ts"))
-        new = own.join(self.known(own), "input_hash", "left_anti").withColumn("prefix", F.substring("input_hash", 1, 2))
+        new = responses.filter("input_hash is not null").groupBy("input_hash").agg(F.min(F.struct("ts", "response")).alias("r")).select("input_hash", "r.response", F.col("r.ts").cast("long").alias("ts"))
+        if taken:
+            new = new.join(self.known(responses), "input_hash", "left_anti")
         data = f"{batch}-{uuid.uuid4().hex}"
-        new.write.partitionBy("prefix").parquet(f"{self.folder}/data/{data}")
+        self._write(new.withColumn("prefix", _prefix(new)), data, "prefix")
         return self.marks.put(batch, data)
 
     def lookup(self, claims: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -135,3 +161,13 @@ class Responses:
         claims = claims.withColumn("input_hash", cache_key(claims, columns)) if columns else claims
         known = self.known(claims)
         return claims.join(known, "input_hash"), claims.join(known, "input_hash", "left_anti")
+
+    def answered(self, claims: DataFrame) -> DataFrame:
+        """All claims with ``response``, NULL for those without one: both sides of ``lookup`` in one pass."""
+        return claims.join(self.known(claims), "input_hash", "left")
+
+
+def _prefix(rows: DataFrame) -> Column:
+    """First two digits of the key."""
+    kind = rows.schema["input_hash"].dataType.simpleString()
+    return F.lower(F.hex(F.substring("input_hash", 1, 1))) if kind == "binary" else F.substring("input_hash", 1, 2)

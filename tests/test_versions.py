@@ -55,3 +55,39 @@ def test_responses_are_appended_once(spark):
     assert sorted((r.row, r.response) for r in hits.collect()) == [(1, "r1"), (2, "r2"), (3, "r1")] and [r.row for r in misses.collect()] == [4]
     plan = store.known(claims.limit(1).withColumn("input_hash", F.sha2(F.lit("x"), 256)))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "prefix" in plan
+
+
+def _shuffles(spark, rows) -> int:
+    """Shuffles of a plan of large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return rows.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keyed_claims_meet_the_store_without_another_shuffle(spark):
+    store = Responses(spark, shared_folder(spark), 4)
+    claims = store.keyed(spark.range(400).selectExpr("id", "unhex(sha2(cast(id % 300 as string), 256)) AS input_hash"))
+    assert store.append("seen", claims.filter("id < 100").selectExpr("input_hash", "concat('seen ', id) AS response", "1 AS ts"))
+    hits, misses = store.lookup(claims)
+    assert (hits.count(), misses.count()) == (200, 200)
+    assert store.append("asked", misses.selectExpr("input_hash", "'asked' AS response", "9 AS ts"))
+    answered = store.answered(claims)
+    assert not any(_shuffles(spark, rows) for rows in (hits, misses, answered))
+    told = {i: f"seen {i % 300}" if i % 300 < 100 else "asked" for i in range(400)}
+    assert {r.id: r.response for r in answered.collect()} == told
+    for (table,) in spark.sql("SHOW TABLES LIKE 'responses_*'").select("tableName").collect():
+        spark.sql(f"DROP TABLE {table}")  # as in another session, which knows the folder alone
+    rows = spark.range(400).selectExpr("id", "unhex(sha2(cast(id % 300 as string), 256)) AS input_hash")
+    assert {r.id: r.response for r in Responses(spark, store.folder).answered(rows).collect()} == told
+
+
+def test_a_cached_lookup_shuffles_no_claim_after_its_key_is_made(spark):
+    from attesta.plans.registry import queries
+
+    assert not _shuffles(spark, queries()["s11_cached_lookup"](spark, "/root/testdata/sf0.001"))
+
+
+def test_buckets_grow_with_the_rows():
+    assert [Responses.buckets_for(n) for n in (0, 60_000, 600_000, 6_000_000, 216_000_000)] == [1, 1, 8, 8, 108]
