@@ -79,9 +79,9 @@ def reverify_report(results: DataFrame) -> DataFrame:
 
 
 def write_back(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows with the updates' non-NULL values."""
+    """Rows with the updates' non-NULL values. Rows are hashed to the updates, which are fewer: neither side is sorted."""
     new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    out = rows.join(new, key, "left")
+    out = rows.join(new.hint("shuffle_hash"), key, "left")
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
@@ -96,6 +96,6 @@ def publish_verdicts(table: Versions, updates: DataFrame, key: str, columns: lis
 def write_back_counts(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """What write_back would do, in one row: updates, updates of unknown keys, and changed values of each column."""
     new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__u"))
-    both = new.join(rows.select(key, *columns, F.lit(True).alias("__r")), key, "left")
+    both = new.hint("shuffle_hash").join(rows.select(key, *columns, F.lit(True).alias("__r")), key, "left")
     changed = [F.count_if(F.col("__r") & F.col(f"__{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(f"changed_{c}") for c in columns]
     return both.agg(F.count("__u").alias("n_updates"), F.count_if(F.col("__r").isNull()).alias("n_unknown"), *changed)

@@ -80,7 +80,7 @@ class Versions:
     def publish(self, rows: DataFrame, after: int) -> int:
         """Write rows as the version that follows ``after``; LostRace if there is one already."""
         data = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/data/{data}")
+        rows.write.option("compression", "zstd").parquet(f"{self.folder}/data/{data}")
         if not self.marks.put(f"{after + 1:012d}", data):
             raise LostRace(f"version {after + 1} of {self.folder} was published by another writer")
         return after + 1

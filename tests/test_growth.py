@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attesta.operators import ingest
+from attesta.operators import ingest, telemetry
 from attesta.plans.evidence import evidence
 from attesta.sources import adapters
 from attesta.sources.adapters import EVIDENCE, MODELS, plain, view
@@ -35,3 +35,18 @@ def test_export_casts_only_what_has_another_type(spark):
     assert out.dtypes == list(ingest.EXPORT)
     assert [tuple(r) for r in out.select("row_id", "cohort_size_n", "auc", "anchor_page", "anchor_text", "ci_lo").collect()] == [("a", 7, 0.5, 3, None, None), ("b", None, None, 3, "t", None)]
     assert _plan(out).lower().count("cast(") <= 6  # the two texts that become numbers, not 29 columns
+
+
+def test_a_write_back_sorts_neither_side(spark):
+    rows = spark.range(50).selectExpr("cast(id as string) AS id", "'ok' AS v")
+    new = spark.range(40, 60).selectExpr("cast(id as string) AS id", "if(id % 2 = 0, 'reject', null) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written, counts = telemetry.write_back(rows, new, "id", ["v"]), telemetry.write_back_counts(rows, new, "id", ["v"])
+        for out in (written, counts):
+            plan = _plan(out)
+            assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(int(r.id) for r in written.filter("v = 'reject'").collect()) == [40, 42, 44, 46, 48] and written.count() == 50
+        assert tuple(counts.first()) == (20, 10, 5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
